@@ -64,6 +64,15 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
+def load_measures() -> dict[str, Column]:
+    """Figures of parsed flights, to be counted while they are written."""
+    faulty = F.size("rejected_columns") > 0
+    return {
+        "rejected": F.count_if(faulty),
+        "avg_delay": F.avg(F.when(~faulty, F.col("arr_delay_minutes"))),
+    }
+
+
 def reject_accounts(parsed: DataFrame) -> DataFrame:
     """Per month: rows read, rows rejected, and how many cells failed in all.
 

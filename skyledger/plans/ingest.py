@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from skyledger.operators.flights import accepted, parse_flights, rejected, stamp_silver
 from skyledger.operators.loading import is_loaded
-from skyledger.schemas import FLIGHT_COLUMNS, SILVER_FLIGHTS
+from skyledger.operators.quality import load_measures
+from skyledger.schemas import FLIGHT_COLUMNS, SILVER_FLIGHTS, STAGED_FLIGHTS
 from skyledger.sources.payloads import explode_state_vectors, position_records, stamped_lines
-from skyledger.sources.tables import read_flight_files, read_table_or_empty
-from skyledger.sources.writers import Written, append_table, land_lines, write_by_date
+from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
+from skyledger.sources.writers import Written, land_lines, replace_table, write_by_date
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class LoadReport:
     status: str
     rows_loaded: int = 0
     rows_rejected: int = 0
+    avg_delay: float | None = None
 
 
 def land_positions(responses: DataFrame, bronze: str) -> Written:
@@ -49,21 +51,27 @@ def load_month(
 ) -> LoadReport:
     """Load one month of flight files into `<silver>/bts`, once.
 
-    A month that is there already is left alone.  Rows with a cell that does not parse go to
-    `<silver>/bts_rejected` with the names of their bad columns.
+    A month that is there already is left alone.  The files are parsed once, into the staging folder
+    of the month; rows with a cell that does not parse stay there, with the names of their bad
+    columns, and all others go on to silver.
     """
     target = f"{silver}/bts"
     if is_loaded(read_table_or_empty(spark, target, SILVER_FLIGHTS), year, month):
         return LoadReport("already_loaded")
+    folder = f"{silver}/raw_bts_flights/year={year}/month={month:02d}"
     parsed = parse_flights(read_flight_files(spark, files, headers), rename)
-    refused = append_table(
-        rejected(parsed).withColumn("ingestion_timestamp", F.lit(ingested_at)), f"{silver}/bts_rejected"
-    )
-    loaded = write_by_date(
-        stamp_silver(accepted(parsed), F.lit(ingested_at)),
+    staged = replace_table(parsed, folder, load_measures())
+    write_by_date(
+        stamp_silver(accepted(read_table(spark, folder, parsed.schema)), F.lit(ingested_at)),
         target,
         "flight_date",
         ["carrier_code", "origin_airport"],
         mode="append",
     )
-    return LoadReport("success", loaded.rows, refused.rows)
+    refused = staged.measures["rejected"]
+    return LoadReport("success", staged.rows - refused, refused, staged.measures["avg_delay"])
+
+
+def rejected_flights(spark: SparkSession, silver: str) -> DataFrame:
+    """The rows that no load could parse, of all months."""
+    return rejected(read_table_or_empty(spark, f"{silver}/raw_bts_flights", STAGED_FLIGHTS))

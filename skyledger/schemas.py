@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DOUBLE": T.DoubleType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "BOOLEAN": T.BooleanType(),
+    "STRINGS": T.ArrayType(T.StringType()),
+}
 
 
-SILVER_FLIGHTS = _struct(
+def struct(columns: str) -> T.StructType:
+    """Schema from `name TYPE, ...`; unlike `fromDDL` it needs no running session."""
+    fields = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+SILVER_FLIGHTS = struct(
     """flight_date DATE, carrier_code STRING, tail_number STRING, flight_number STRING,
        origin_airport STRING, dest_airport STRING,
        dep_delay_minutes DOUBLE, arr_delay_minutes DOUBLE,
@@ -22,15 +36,21 @@ SILVER_FLIGHTS = _struct(
 # What a flight file delivers: the silver columns before hash and stamp are added.
 FLIGHT_COLUMNS = [n for n in SILVER_FLIGHTS.names if n not in ("row_hash", "ingestion_timestamp")]
 
+# Parsed flight files by month, with the columns whose text did not parse.
+STAGED_FLIGHTS = T.StructType(
+    [SILVER_FLIGHTS[n] for n in FLIGHT_COLUMNS]
+    + struct("rejected_columns STRINGS, year INT, month INT").fields
+)
+
 FACT_FLIGHTS = T.StructType(
     SILVER_FLIGHTS.fields
-    + _struct(
+    + struct(
         """total_delay_minutes DOUBLE, delay_category STRING, route_key STRING,
            flight_surrogate_key STRING"""
     ).fields
 )
 
-ROUTE_PERFORMANCE = _struct(
+ROUTE_PERFORMANCE = struct(
     """flight_date DATE, carrier_code STRING, origin_airport STRING, dest_airport STRING,
        total_flights BIGINT, avg_dep_delay_minutes DOUBLE, avg_arr_delay_minutes DOUBLE,
        median_arr_delay_minutes DOUBLE, p95_arr_delay_minutes DOUBLE, avg_distance_miles DOUBLE,
@@ -38,13 +58,13 @@ ROUTE_PERFORMANCE = _struct(
 )
 
 # One live position as received.  Feeds disagree on the aircraft address: `hex` or `icao24`.
-RAW_POSITION = _struct(
+RAW_POSITION = struct(
     """fr24_id STRING, hex STRING, icao24 STRING, callsign STRING, lat DOUBLE, lon DOUBLE,
        alt BIGINT, gspeed BIGINT, vspeed BIGINT, on_ground BOOLEAN, ingestion_timestamp STRING"""
 )
 
 # Fixed order: a state vector is positional, so these names follow the feed's positions 0..17.
-STATE_VECTOR = _struct(
+STATE_VECTOR = struct(
     """icao24 STRING, callsign STRING, origin_country STRING, time_position BIGINT,
        last_contact BIGINT, longitude DOUBLE, latitude DOUBLE, baro_altitude DOUBLE,
        on_ground BOOLEAN, velocity DOUBLE, true_track DOUBLE, vertical_rate DOUBLE,
@@ -52,30 +72,30 @@ STATE_VECTOR = _struct(
        position_source INT, category INT"""
 )
 
-FACT_POSITIONS = _struct(
+FACT_POSITIONS = struct(
     """position_sk STRING, date_sk STRING, icao24 STRING, callsign STRING,
        latitude DOUBLE, longitude DOUBLE, altitude_metres DOUBLE, velocity_ms DOUBLE,
        vertical_speed DOUBLE, on_ground BOOLEAN, ingestion_timestamp TIMESTAMP,
        position_date DATE"""
 )
 
-DIM_DATE = _struct(
+DIM_DATE = struct(
     """date_sk STRING, full_date DATE, year INT, month INT, day_of_month INT,
        day_name STRING, month_name STRING, quarter INT, is_weekend BOOLEAN"""
 )
 
-DIM_CARRIER = _struct(
+DIM_CARRIER = struct(
     """carrier_sk STRING, carrier_code STRING, carrier_name STRING, row_hash STRING,
        effective_from DATE, effective_to DATE, is_current BOOLEAN"""
 )
 
-DIM_AIRPORT = _struct(
+DIM_AIRPORT = struct(
     """airport_sk STRING, airport_code STRING, airport_name STRING, latitude DOUBLE,
        longitude DOUBLE, row_hash STRING, effective_from DATE, effective_to DATE,
        is_current BOOLEAN"""
 )
 
-STAR_FLIGHTS = _struct(
+STAR_FLIGHTS = struct(
     """flight_sk STRING, date_sk STRING, carrier_sk STRING, origin_airport_sk STRING,
        dest_airport_sk STRING, flight_date DATE, carrier_code STRING,
        origin_airport_code STRING, dest_airport_code STRING,
@@ -85,7 +105,7 @@ STAR_FLIGHTS = _struct(
        nas_delay_minutes DOUBLE"""
 )
 
-RUN_LOG = _struct(
+RUN_LOG = struct(
     """run_id STRING, run_date DATE, run_timestamp TIMESTAMP, source STRING,
        total_rows_loaded BIGINT, rows_rejected BIGINT, avg_delay_minutes DOUBLE,
        gemini_summary STRING, pipeline_status STRING, created_at TIMESTAMP"""

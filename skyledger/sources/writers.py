@@ -61,6 +61,13 @@ def append_table(rows: DataFrame, path: str, measures: Mapping[str, Column] | No
     return _report(path, seen)
 
 
+def replace_table(rows: DataFrame, path: str, measures: Mapping[str, Column] | None = None) -> Written:
+    """Rewrite an unpartitioned table; a repeated run leaves the same state."""
+    counted, seen = _counted(rows, measures)
+    counted.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return _report(path, seen)
+
+
 def land_lines(lines: DataFrame, path: str) -> Written:
     """Write NDJSON text below year=/month=/day= folders of the poll time; nothing if there is none."""
     if lines.isEmpty():
