@@ -222,10 +222,9 @@ def role_playing_airport(spark, folder):
 
 @query
 def fact_flights_dw(spark, folder):
-    silver = testbed.silver(spark, folder)
     return flights.star_flights(
-        silver,
-        dimensions.calendar_of(testbed.table(spark, folder, "lineitem"), "l_shipdate"),
+        testbed.silver(spark, folder),
+        testbed.calendar_table(spark, folder),
         testbed.carriers(spark, folder),
         testbed.airports(spark, folder),
     )
@@ -264,7 +263,8 @@ def mart_carrier_daily(spark, folder):
 
 @query
 def mart_route_dw(spark, folder):
-    return marts.route_overview(testbed.flights(spark, folder), testbed.airports(spark, folder))
+    parts = marts.route_parts(testbed.flights(spark, folder), by_day=False)
+    return marts.route_overview(parts, testbed.airports(spark, folder))
 
 
 @query

@@ -95,22 +95,38 @@ def carrier_daily(flights: DataFrame, carriers: DataFrame) -> DataFrame:
     )
 
 
-def route_overview(flights: DataFrame, airports: DataFrame) -> DataFrame:
-    """Per route and carrier over all time, with names and coordinates of both airports."""
+def route_parts(flights: DataFrame, by_day: bool = True) -> DataFrame:
+    """Sums and counts per route and carrier, from which an average or share of any span follows.
+
+    Kept per day, they let the all-time mart follow new flights without reading old ones again.
+    """
     category = warehouse_category(F.col("arr_delay_minutes"))
-    grouped = flights.groupBy("origin_airport", "dest_airport", "carrier_code").agg(
-        F.count(F.lit(1)).alias("total_flights"),
-        F.avg("arr_delay_minutes").alias("avg_arr_delay"),
+    keys = ["origin_airport", "dest_airport", "carrier_code"]
+    return flights.groupBy(*(["flight_date"] if by_day else []), *keys).agg(
+        F.count(F.lit(1)).alias("flights"),
+        F.sum("arr_delay_minutes").alias("arr_delay_sum"),
+        F.count("arr_delay_minutes").alias("arr_delay_count"),
         F.count_if(category == ON_TIME).alias("on_time"),
         F.count_if(category == SEVERE).alias("severe"),
     )
-    total = F.col("total_flights")
-    rated = grouped.select(
+
+
+def route_overview(parts: DataFrame, airports: DataFrame) -> DataFrame:
+    """Per route and carrier over all time, with names and coordinates of both airports.
+
+    The share of severe delays is a percentage, the on-time rate a fraction.
+    """
+    measures = ["flights", "arr_delay_sum", "arr_delay_count", "on_time", "severe"]
+    summed = parts.groupBy("origin_airport", "dest_airport", "carrier_code").agg(
+        *[F.sum(m).alias(m) for m in measures]
+    )
+    total = F.col("flights")
+    rated = summed.select(
         "origin_airport",
         "dest_airport",
         "carrier_code",
-        total,
-        "avg_arr_delay",
+        total.alias("total_flights"),
+        F.try_divide("arr_delay_sum", "arr_delay_count").alias("avg_arr_delay"),
         share(F.col("on_time"), total).alias("on_time_rate"),
         share(F.col("severe") * 100.0, total).alias("pct_severe_delays"),
     )

@@ -56,13 +56,18 @@ def build_route_aggregates(
     return done.rows
 
 
-def on_days(flights: DataFrame, touched: DataFrame) -> DataFrame:
-    """Flights of the touched days: a literal list prunes partitions, a long list becomes a semi join."""
-    days = touched.select("flight_date").distinct()
+def on_days(flights: DataFrame, touched: DataFrame, period: str | None = None) -> DataFrame:
+    """Flights of the touched days, or of the whole `period` ("month") around each of them.
+
+    A literal list prunes partitions; a list too long for that becomes a semi join.
+    """
+    day = F.col("flight_date")
+    unit = F.trunc(day, period) if period else day
+    days = touched.select(unit.alias("_unit")).distinct()
     listed = [row[0] for row in days.limit(LISTED_DAYS + 1).collect()]
     if len(listed) <= LISTED_DAYS:
-        return flights.filter(F.col("flight_date").isin(listed))
-    return flights.join(days, "flight_date", "left_semi")
+        return flights.filter(unit.isin(listed))
+    return flights.join(days, unit == F.col("_unit"), "left_semi")
 
 
 def silver_to_gold(

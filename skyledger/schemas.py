@@ -105,6 +105,11 @@ STAR_FLIGHTS = struct(
        nas_delay_minutes DOUBLE"""
 )
 
+ROUTE_PARTS = struct(
+    """flight_date DATE, origin_airport STRING, dest_airport STRING, carrier_code STRING,
+       flights BIGINT, arr_delay_sum DOUBLE, arr_delay_count BIGINT, on_time BIGINT, severe BIGINT"""
+)
+
 RUN_LOG = struct(
     """run_id STRING, run_date DATE, run_timestamp TIMESTAMP, source STRING,
        total_rows_loaded BIGINT, rows_rejected BIGINT, avg_delay_minutes DOUBLE,

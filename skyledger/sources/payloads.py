@@ -26,7 +26,8 @@ def position_records(responses: DataFrame) -> DataFrame:
     A response without objects gives no row.
     """
     parsed = F.from_json("payload", "data array<string>")
-    return responses.select(F.explode(parsed["data"]).alias("record"), "polled_at")
+    records = responses.select(F.explode(parsed["data"]).alias("record"), "polled_at")
+    return records.filter(F.col("record").isNotNull())
 
 
 def stamped_lines(records: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """The order and event tables of the test data, seen as flights, positions and their sources.
 
-Carriers are the market segments and airports the regions.  The joins carry no hints: Catalyst
-broadcasts what the file sizes allow and shuffles the rest.
+Carriers are the market segments and airports the regions.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.functions.keys import date_key
+from skyledger.operators.dimensions import calendar, small_side
 from skyledger.operators.flights import stamp_silver
 from skyledger.operators.history import first_versions
 from skyledger.schemas import DIM_AIRPORT, FLIGHT_COLUMNS
@@ -29,33 +28,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def flights(spark: SparkSession, folder: str) -> DataFrame:
     """The columns of a flight file, typed.
 
-    Customers and suppliers get their region first, on small tables, and orders their customer; so the
-    line items pass through three joins instead of eight.
+    Customers and suppliers get their region first, and orders their customer; so the line items pass
+    through three joins instead of eight.  Catalyst takes a joined side to be as large as the product
+    of its inputs, hence the counts: they let a small one be broadcast.
     """
     nation = table(spark, folder, "nation")
     places = nation.join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", "r_name")
+    suppliers = table(spark, folder, "supplier")
     origin = (
-        table(spark, folder, "supplier")
-        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        suppliers.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.col("r_name").alias("origin_airport"))
     )
+    customers = table(spark, folder, "customer")
     buyers = (
-        table(spark, folder, "customer")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.col("c_mktsegment").alias("carrier_code"), F.col("r_name").alias("dest_airport"))
     )
+    orders = table(spark, folder, "orders")
     bookings = (
-        table(spark, folder, "orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(small_side(buyers, within=customers), F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", "carrier_code", "dest_airport")
     )
     sizes = table(spark, folder, "part").select("p_partkey", "p_size")
     joined = (
         table(spark, folder, "lineitem")
-        .join(bookings, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(origin, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(small_side(bookings, within=orders), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(small_side(origin, within=suppliers), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(sizes, F.col("l_partkey") == F.col("p_partkey"))
     )
     kind = F.col("l_partkey") % 20
@@ -84,6 +84,15 @@ def flights(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def calendar_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar over all years of the flights; their first and last day are looked up now."""
+    span = table(spark, folder, "lineitem").agg(
+        F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))
+    )
+    first, last = span.first()
+    return calendar(spark, first.replace(month=1, day=1), last.replace(month=12, day=31))
+
+
 def silver(spark: SparkSession, folder: str) -> DataFrame:
     return stamp_silver(flights(spark, folder), F.lit(INGESTED_AT))
 

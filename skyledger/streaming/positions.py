@@ -19,7 +19,7 @@ def load_positions(raw: DataFrame, facts_path: str) -> Written:
     is found however old it is.  A batch that failed after writing is repeated safely.
     """
     spark = raw.sparkSession
-    batch = drop_copies(fact_positions(silver_positions(raw)), "position_sk")
+    batch = drop_copies(fact_positions(silver_positions(raw)), "position_sk", "position_date")
     target = read_table_or_empty(spark, facts_path, FACT_POSITIONS)
     fresh = only_new(batch, target, "position_sk", "position_date")
     return write_by_date(fresh, facts_path, "position_date", ["icao24", "ingestion_timestamp"], mode="append")
