@@ -1,0 +1,205 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from skyledger.operators.flights import fact_flights
+from skyledger.operators.marts import carrier_daily, delay_analysis, route_overview, route_parts, route_performance
+from skyledger.plans import warehouse
+from skyledger.plans.gold import build_route_aggregates, on_days, silver_to_gold
+from skyledger.plans.ingest import load_month, rejected_flights
+from skyledger.plans.warehouse import LateSnapshot, merge_dimension, read_dimension, refresh, write_calendar
+from skyledger.schemas import (
+    DIM_AIRPORT,
+    DIM_CARRIER,
+    FACT_FLIGHTS,
+    FLIGHT_COLUMNS,
+    ROUTE_PERFORMANCE,
+    RUN_LOG,
+    SILVER_FLIGHTS,
+    STAR_FLIGHTS,
+)
+from skyledger.sources.tables import read_table
+from skyledger.sources.writers import write_by_date
+
+DAY = dt.date(2024, 1, 30)
+
+
+def some_flights(silver_of, first, n, days=4):
+    return silver_of(
+        *[
+            {
+                "flight_date": DAY + dt.timedelta(i % days),
+                "carrier_code": "AB"[i % 2] * 2,
+                "flight_number": str(i),
+                "origin_airport": ("JFK", "LHR")[i % 2],
+                "dest_airport": ("LHR", "JFK", "ORD")[i % 3],
+                "dep_delay_minutes": float(i % 40),
+                "arr_delay_minutes": None if i % 11 == 0 else float(i * 7 % 150),
+                "is_cancelled": i % 11 == 0,
+                "distance_miles": 100.0,
+                "carrier_delay_minutes": float(i % 5),
+                "weather_delay_minutes": float(i % 3),
+                "nas_delay_minutes": 0.0,
+            }
+            for i in range(first, first + n)
+        ]
+    )
+
+
+def rows_of(table):
+    return sorted(map(repr, table.select(*sorted(table.columns)).collect()))
+
+
+def test_silver_to_gold(spark, silver_of, tmp_path):
+    silver, gold = str(tmp_path / "silver"), str(tmp_path / "gold")
+    flights = some_flights(silver_of, 0, 60)
+    write_by_date(flights, f"{silver}/bts", "flight_date")
+    done = silver_to_gold(spark, "20240130", silver, gold)
+    facts = read_table(spark, f"{gold}/fact_flights", FACT_FLIGHTS)
+    mart = read_table(spark, f"{gold}/mart_route_performance", ROUTE_PERFORMANCE)
+    assert done == {"fact_flights": 60, "mart_route_performance": mart.count()}
+    assert rows_of(facts) == rows_of(fact_flights(flights))
+    assert rows_of(mart) == rows_of(route_performance(flights))
+
+    # New flights on two days, one of them rebuilt: only that date moves.
+    write_by_date(some_flights(silver_of, 100, 8, days=2), f"{silver}/bts", "flight_date", mode="append")
+    done = silver_to_gold(spark, "20240130", silver, gold, only_run_date=True)
+    assert done["fact_flights"] == 19
+    facts = read_table(spark, f"{gold}/fact_flights", FACT_FLIGHTS)
+    counts = dict(facts.groupBy("flight_date").count().collect())
+    assert (counts[DAY], counts[DAY + dt.timedelta(1)]) == (19, 15)
+
+
+def test_mart_refresh_of_touched_days(spark, silver_of, tmp_path):
+    silver, gold = str(tmp_path / "silver"), str(tmp_path / "gold")
+    write_by_date(some_flights(silver_of, 0, 60), f"{silver}/bts", "flight_date")
+    build_route_aggregates(spark, silver, gold)
+    batch = some_flights(silver_of, 200, 8, days=2)
+    write_by_date(batch, f"{silver}/bts", "flight_date", mode="append")
+    build_route_aggregates(spark, silver, gold, touched=batch.select("flight_date"))
+    mart = read_table(spark, f"{gold}/mart_route_performance", ROUTE_PERFORMANCE)
+    assert rows_of(mart) == rows_of(route_performance(read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)))
+
+
+@pytest.mark.parametrize("listed", [1000, 0], ids=["list", "semi join"])
+@pytest.mark.parametrize("period", [None, "month"])
+def test_on_days(spark, silver_of, monkeypatch, listed, period):
+    monkeypatch.setattr("skyledger.plans.gold.LISTED_DAYS", listed)
+    flights = some_flights(silver_of, 0, 60)  # 30 and 31 January, 1 and 2 February
+    touched = spark.createDataFrame([(DAY,), (DAY,)], "flight_date date")
+    got = on_days(flights, touched, period)
+    assert got.columns[: len(SILVER_FLIGHTS.names)] == SILVER_FLIGHTS.names and len(got.columns) == len(SILVER_FLIGHTS.names)
+    found = {r[0] for r in got.select("flight_date").distinct().collect()}
+    assert found == ({DAY} if period is None else {DAY, DAY + dt.timedelta(1)})
+
+
+def test_load_month_once(spark, tmp_path):
+    files, silver = tmp_path / "in", str(tmp_path / "silver")
+    files.mkdir()
+    cells = dict.fromkeys(FLIGHT_COLUMNS, "") | {"carrier_code": "AA", "is_cancelled": "false", "is_diverted": "false"}
+    lines = [cells | {"flight_date": f"2024-01-{d:02d}", "arr_delay_minutes": a} for d, a in ((1, "5"), (2, "7"), (3, "oops"))]
+    (files / "m.csv").write_text("\n".join(",".join(r) for r in (FLIGHT_COLUMNS, *[line.values() for line in lines])) + "\n")
+    at = dt.datetime(2024, 2, 1)
+    report = load_month(spark, str(files), silver, 2024, 1, at)
+    assert (report.status, report.rows_loaded, report.rows_rejected, report.avg_delay) == ("success", 2, 1, 6.0)
+    again = load_month(spark, str(files), silver, 2024, 1, at)
+    assert (again.status, again.rows_loaded) == ("already_loaded", 0)
+    table = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
+    assert table.count() == 2 and table.filter("row_hash IS NULL").count() == 0
+    (bad,) = rejected_flights(spark, silver).collect()
+    assert (bad["rejected_columns"], bad["year"], bad["month"]) == (["arr_delay_minutes"], 2024, 1)
+
+
+def carriers(spark, **names):
+    return spark.createDataFrame(list(names.items()), "carrier_code string, carrier_name string")
+
+
+def airports(spark):
+    rows = [("JFK", "Kennedy", 40.6, -73.8), ("LHR", "Heathrow", 51.5, -0.5), ("ORD", "O'Hare", 42.0, -87.9)]
+    return spark.createDataFrame(rows, "airport_code string, airport_name string, latitude double, longitude double")
+
+
+def merge(spark, root, source, day):
+    return merge_dimension(spark, root, "dim_carrier", DIM_CARRIER, source, "carrier_code", ["carrier_name"], day)
+
+
+def test_dimension_states(spark, tmp_path):
+    root = str(tmp_path)
+    assert read_dimension(spark, root, "dim_carrier", DIM_CARRIER).count() == 0
+    assert merge(spark, root, carriers(spark, AA="a", BB="b"), DAY).count() == 2
+    later = DAY + dt.timedelta(5)
+    assert merge(spark, root, carriers(spark, AA="a", BB="c"), later).count() == 3
+    # Repeating the run, also with a corrected source, starts from the state before it.
+    assert merge(spark, root, carriers(spark, AA="a", BB="d"), later).count() == 3
+    state = read_dimension(spark, root, "dim_carrier", DIM_CARRIER)
+    assert {r["carrier_name"] for r in state.filter("is_current").collect()} == {"a", "d"}
+    with pytest.raises(LateSnapshot):
+        merge(spark, root, carriers(spark, AA="z"), DAY + dt.timedelta(1))
+
+
+def check_warehouse(spark, root, silver):
+    facts = read_table(spark, f"{root}/fact_flights", STAR_FLIGHTS)
+    flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
+    assert facts.count() == flights.count()
+    dim_carrier = read_dimension(spark, root, "dim_carrier", DIM_CARRIER)
+    dim_airport = read_dimension(spark, root, "dim_airport", DIM_AIRPORT)
+    for name, expected in {
+        "mart_carrier_daily": carrier_daily(flights, dim_carrier),
+        "mart_route_performance": route_overview(route_parts(flights), dim_airport),
+        "mart_delay_analysis": delay_analysis(flights),
+    }.items():
+        assert rows_of(spark.read.parquet(f"{root}/{name}")) == rows_of(expected), name
+    return facts
+
+
+def test_refresh_follows_silver(spark, silver_of, tmp_path):
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    write_calendar(spark, root)
+    source = carriers(spark, AA="Alpha", BB="Beta")
+    write_by_date(some_flights(silver_of, 0, 60), f"{silver}/bts", "flight_date")
+    run = dt.datetime(2024, 3, 1, 6)
+    assert refresh(spark, silver, root, run, source, airports(spark)) == 60
+    check_warehouse(spark, root, silver)
+    # Nothing new: nothing is added.
+    assert refresh(spark, silver, root, run.replace(hour=7), source, airports(spark)) == 0
+    # More flights on two of the days, and a renamed carrier.
+    write_by_date(some_flights(silver_of, 500, 9, days=2), f"{silver}/bts", "flight_date", mode="append")
+    assert refresh(spark, silver, root, run.replace(day=2), source, airports(spark)) == 9
+    facts = check_warehouse(spark, root, silver)
+    assert facts.filter("date_sk IS NULL OR carrier_sk IS NULL OR dest_airport_sk IS NULL").count() == 0
+    log = read_table(spark, f"{root}/pipeline_run_log", RUN_LOG).orderBy("run_timestamp").collect()
+    assert [(r["total_rows_loaded"], r["pipeline_status"]) for r in log] == [(60, "success"), (0, "success"), (9, "success")]
+    assert log[1]["avg_delay_minutes"] is None and log[0]["avg_delay_minutes"] > 0
+
+
+def test_refresh_after_a_broken_run(spark, silver_of, tmp_path, monkeypatch):
+    """The run stops between facts and marts; the next one finds no new flights but refreshes the marts."""
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    write_calendar(spark, root)
+    source = carriers(spark, AA="Alpha", BB="Beta")
+    write_by_date(some_flights(silver_of, 0, 40), f"{silver}/bts", "flight_date")
+    run = dt.datetime(2024, 3, 1, 6)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(warehouse, "_refresh_marts", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh(spark, silver, root, run, source, airports(spark))
+    assert refresh(spark, silver, root, run.replace(hour=9), source, airports(spark)) == 0
+    check_warehouse(spark, root, silver)
+
+
+def test_command_line(spark, silver_of, tmp_path, monkeypatch):
+    import skyledger.__main__ as cli
+
+    write_by_date(some_flights(silver_of, 0, 10), f"{tmp_path}/silver/bts", "flight_date")
+    monkeypatch.setattr(cli, "build_session", lambda _: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None, raising=False)
+    cli.main(["20240130", f"{tmp_path}/silver", f"{tmp_path}/gold"])
+    assert read_table(spark, f"{tmp_path}/gold/fact_flights", FACT_FLIGHTS).count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        cli.main(["20240130", f"{tmp_path}/nowhere", f"{tmp_path}/gold"])
+    assert spark.range(3).agg(F.sum("id")).first()[0] == 3

@@ -1,0 +1,124 @@
+import datetime as dt
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from skyledger.operators.flights import fact_flights
+from skyledger.schemas import FACT_FLIGHTS, FLIGHT_COLUMNS, SILVER_FLIGHTS
+from skyledger.session import work_folder
+from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty, seed_table
+from skyledger.sources.writers import append_table, replace_table, write_by_date
+
+FIRST = dt.date(2024, 1, 1)
+
+
+@pytest.fixture
+def month(spark):
+    """A hundred flights on each of 31 days, carriers out of order."""
+    base = spark.range(3100).select(
+        F.date_add(F.lit(FIRST), (F.col("id") % 31).cast("int")).alias("flight_date"),
+        F.concat(F.lit("C"), (F.col("id") * 7 % 10)).alias("carrier_code"),
+        F.col("id").cast("string").alias("flight_number"),
+        F.lit("JFK").alias("origin_airport"),
+        F.lit(False).alias("is_cancelled"),
+    )
+    missing = {n: F.lit(None).cast(SILVER_FLIGHTS[n].dataType) for n in SILVER_FLIGHTS.names if n not in base.columns}
+    return base.withColumns(missing).select(*SILVER_FLIGHTS.names)
+
+
+def days(path):
+    return sorted(p.name.removeprefix("flight_date=") for p in path.glob("flight_date=*"))
+
+
+def test_read_before_first_write(spark, tmp_path):
+    assert read_table_or_empty(spark, str(tmp_path / "none"), SILVER_FLIGHTS).count() == 0
+    with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
+        read_table(spark, str(tmp_path / "none"), SILVER_FLIGHTS)
+
+
+def test_seed_gives_schema(spark, tmp_path):
+    path = str(tmp_path / "bts")
+    seed_table(spark, path, SILVER_FLIGHTS)
+    assert spark.read.parquet(path).schema == SILVER_FLIGHTS
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_dates_come_back_typed_and_pruned(month, spark, tmp_path):
+    done = write_by_date(fact_flights(month), str(tmp_path), "flight_date", ["carrier_code"])
+    assert done.rows == 3100
+    assert len(days(tmp_path)) == 31
+    table = read_table(spark, str(tmp_path), FACT_FLIGHTS)
+    assert table.columns == FACT_FLIGHTS.names
+    one = table.filter(F.col("flight_date") == dt.date(2024, 1, 5))
+    assert one.count() == 100
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(flight_date" in plan
+
+
+def test_files_are_sorted_by_cluster_columns(month, tmp_path):
+    import pyarrow.parquet as pq
+
+    write_by_date(month, str(tmp_path), "flight_date", ["carrier_code", "flight_number"])
+    for file in (tmp_path / "flight_date=2024-01-03").glob("*.parquet"):
+        table = pq.ParquetFile(file).read(["carrier_code", "flight_number"])
+        rows = list(zip(*[c.to_pylist() for c in table.columns]))
+        assert rows == sorted(rows)
+
+
+def test_replacing_dates_keeps_the_others(month, spark, tmp_path):
+    path = str(tmp_path)
+    write_by_date(month, path, "flight_date")
+    part = month.filter("flight_date < '2024-01-03' AND carrier_code = 'C0'")
+    write_by_date(part, path, "flight_date", mode="replace_dates")
+    counts = dict(read_table(spark, path, SILVER_FLIGHTS).groupBy("flight_date").count().collect())
+    assert counts[dt.date(2024, 1, 1)] == 10 and counts[dt.date(2024, 1, 3)] == 100
+    write_by_date(part, path, "flight_date", mode="replace_all")
+    assert days(tmp_path) == ["2024-01-01", "2024-01-02"]
+    write_by_date(part, path, "flight_date", mode="append")
+    assert read_table(spark, path, SILVER_FLIGHTS).count() == 40
+
+
+def test_no_rows_write_no_dates(month, spark, tmp_path):
+    done = write_by_date(month.limit(0), str(tmp_path), "flight_date")
+    assert done.rows == 0
+    assert days(tmp_path) == []
+    assert read_table(spark, str(tmp_path), SILVER_FLIGHTS).count() == 0
+
+
+def test_a_hot_date_is_cut_into_files(month, spark, tmp_path):
+    """Most rows fall on one day; adaptive execution gives them to several tasks."""
+    hot = month.withColumn("flight_date", F.when(F.col("flight_number") % 10 < 8, F.lit(FIRST)).otherwise(F.col("flight_date")))
+    wide = hot.repartition(8).withColumn("tail_number", F.sha2(F.col("flight_number"), 512))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40k")
+    try:
+        done = write_by_date(wide, str(tmp_path), "flight_date", ["carrier_code"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert done.rows == 3100
+    assert len(list((tmp_path / f"flight_date={FIRST}").glob("*.parquet"))) > 2
+    assert len(list((tmp_path / "flight_date=2024-01-20").glob("*.parquet"))) == 1
+
+
+def test_measures_are_counted_while_writing(month, spark, tmp_path):
+    done = append_table(month, str(tmp_path / "t"), {"carriers": F.max("carrier_code")})
+    assert (done.rows, done.measures) == (3100, {"carriers": "C9"})
+    assert append_table(month, str(tmp_path / "t")).rows == 3100
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 6200
+    replace_table(month, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3100
+
+
+def test_csv_layout_is_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(FLIGHT_COLUMNS) + "\n" + "2024-01-15" + "," * (len(FLIGHT_COLUMNS) - 1) + "\n")
+    (row,) = read_flight_files(spark, str(tmp_path)).collect()
+    assert row["flight_date"] == "2024-01-15" and row["carrier_code"] is None
+    (tmp_path / "b.csv").write_text(",".join(FLIGHT_COLUMNS[::-1]) + "\n" + "," * (len(FLIGHT_COLUMNS) - 1) + "\n")
+    with pytest.raises(Exception, match="does not conform to the schema"):
+        read_flight_files(spark, str(tmp_path)).collect()
+
+
+def test_work_folder_is_below_the_shared_folder(spark):
+    one, two = work_folder(spark, "x"), work_folder(spark, "x")
+    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
