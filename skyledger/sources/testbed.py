@@ -6,9 +6,11 @@ Carriers are the market segments and airports the regions.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.operators.dimensions import calendar, small_side
 from skyledger.operators.flights import stamp_silver
@@ -22,41 +24,42 @@ RUN_DATE = dt.date(2024, 6, 15)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
+
+
+@functools.cache
+def _schema(path: str) -> T.StructType:
+    """Read from the file footer once; afterwards a scan starts without looking."""
+    return SparkSession.active().read.parquet(path).schema
 
 
 def flights(spark: SparkSession, folder: str) -> DataFrame:
     """The columns of a flight file, typed.
 
-    Customers and suppliers get their region first, and orders their customer; so the line items pass
-    through three joins instead of eight.  Catalyst takes a joined side to be as large as the product
-    of its inputs, hence the counts: they let a small one be broadcast.
+    Orders find their customer first, so that the line items pass through two joins on keys of their
+    own and one on the order.  Regions join last: Catalyst knows the size of a plain table and
+    broadcasts it or not, but takes a joined side to be as large as the product of its inputs.  For
+    the bookings a count stands in for that.
     """
-    nation = table(spark, folder, "nation")
-    places = nation.join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", "r_name")
-    suppliers = table(spark, folder, "supplier")
-    origin = (
-        suppliers.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("r_name").alias("origin_airport"))
-    )
-    customers = table(spark, folder, "customer")
-    buyers = (
-        customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("c_mktsegment").alias("carrier_code"), F.col("r_name").alias("dest_airport"))
+    places = (
+        table(spark, folder, "nation")
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("n_nationkey", "r_name")
     )
     orders = table(spark, folder, "orders")
     bookings = (
-        orders.join(small_side(buyers, within=customers), F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "carrier_code", "dest_airport")
+        orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", F.col("c_mktsegment").alias("carrier_code"), F.col("r_name").alias("dest_airport"))
     )
-    sizes = table(spark, folder, "part").select("p_partkey", "p_size")
     joined = (
         table(spark, folder, "lineitem")
         .join(small_side(bookings, within=orders), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(small_side(origin, within=suppliers), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(sizes, F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, folder, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumnRenamed("r_name", "origin_airport")
     )
     kind = F.col("l_partkey") % 20
     late = F.col("l_quantity") * 5 - 75
