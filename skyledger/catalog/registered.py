@@ -294,12 +294,14 @@ def top_carriers(spark, folder):
 
 @query
 def ranked_routes(spark, folder):
-    return ranking.route_ranking(testbed.flights(spark, folder))
+    routes = writers.staged(ranking.route_delays(testbed.flights(spark, folder)), "routes")
+    return ranking.rank_all(routes, "avg_arr_delay", "route_rank")
 
 
 @query
 def carrier_ranking(spark, folder):
-    return ranking.carrier_ranking(testbed.flights(spark, folder))
+    carriers = writers.staged(ranking.carrier_delays(testbed.flights(spark, folder)), "carriers")
+    return ranking.rank_all(carriers, "avg_arr_delay", "carrier_rank")
 
 
 @query

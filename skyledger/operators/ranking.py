@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BAN
     own, starting after the rows of all bands ahead of it.  The cut points and band totals are the
     only things seen by every task: at most `bands` + 1 entries each, whatever the input.  Copies of
     one value are a single row in the window, so a frequent value does not fill a band.
+
+    `rows` is read several times: pass a table, not a costly aggregation.
     """
     value = F.col(measure)
     tally = rows.groupBy(measure).agg(F.count(F.lit(1)).alias("_rows"))
@@ -52,23 +54,21 @@ def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BAN
     return rows.join(ranks, value.eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def route_ranking(flights: DataFrame) -> DataFrame:
-    """Routes of all time, worst average arrival delay first."""
-    routes = flights.groupBy("origin_airport", "dest_airport").agg(
+def route_delays(flights: DataFrame) -> DataFrame:
+    """Routes of all time with their average arrival delay, to be ranked."""
+    return flights.groupBy("origin_airport", "dest_airport").agg(
         F.count(F.lit(1)).alias("total_flights"),
         F.avg("arr_delay_minutes").alias("avg_arr_delay"),
     )
-    return rank_all(routes, "avg_arr_delay", "route_rank")
 
 
-def carrier_ranking(flights: DataFrame) -> DataFrame:
-    """Carriers by average arrival delay, with the delay causes."""
-    carriers = flights.groupBy("carrier_code").agg(
+def carrier_delays(flights: DataFrame) -> DataFrame:
+    """Carriers with their average arrival delay and its causes, to be ranked."""
+    return flights.groupBy("carrier_code").agg(
         F.count(F.lit(1)).alias("total_flights"),
         F.avg("arr_delay_minutes").alias("avg_arr_delay"),
         *[F.avg(f"{c}_delay_minutes").alias(f"avg_{c}_delay") for c in ("carrier", "weather", "nas")],
     )
-    return rank_all(carriers, "avg_arr_delay", "carrier_rank")
 
 
 def top_carriers(flights: DataFrame, per_day: int = 3) -> DataFrame:
@@ -81,14 +81,7 @@ def top_carriers(flights: DataFrame, per_day: int = 3) -> DataFrame:
     return volume.withColumn("position", F.row_number().over(busiest)).filter(F.col("position") <= per_day)
 
 
-def worst_routes(
-    flights: DataFrame, first_day: object, last_day: object, k: int = 10, keys: Sequence[str] = ("origin_airport", "dest_airport")
-) -> DataFrame:
+def worst_routes(flights: DataFrame, first: dt.date, last: dt.date, k: int = 10) -> DataFrame:
     """The `k` routes with the highest average arrival delay between two days."""
-    return (
-        flights.filter(F.col("flight_date").between(first_day, last_day))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("total_flights"), F.avg("arr_delay_minutes").alias("avg_arr_delay"))
-        .orderBy(F.desc_nulls_last("avg_arr_delay"), *keys)
-        .limit(k)
-    )
+    routes = route_delays(flights.filter(F.col("flight_date").between(first, last)))
+    return routes.orderBy(F.desc_nulls_last("avg_arr_delay"), "origin_airport", "dest_airport").limit(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -19,12 +20,34 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "skyledger", master: str | None = None, **extra: str) -> SparkSession:
-    """Start or reuse a session.  Cluster resources stay with spark-submit and its defaults."""
+# A shuffle partition of this size sorts and aggregates within an executor core's memory.
+BYTES_PER_PARTITION = 128 << 20
+
+
+def shuffle_partitions(expected_bytes: int) -> int:
+    """Partitions that a shuffle of so many bytes starts with; adaptive execution merges small ones."""
+    return max(200, math.ceil(expected_bytes / BYTES_PER_PARTITION))
+
+
+def build_session(
+    app_name: str = "skyledger",
+    master: str | None = None,
+    expected_bytes: int | None = None,
+    **extra: str,
+) -> SparkSession:
+    """Start or reuse a session.  Cluster resources stay with spark-submit and its defaults.
+
+    `expected_bytes`, the size of the largest shuffle, sets its degree: the default of 200 partitions
+    would be far too few for terabytes.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    settings = dict(SETTINGS)
+    if expected_bytes is not None:
+        partitions = str(shuffle_partitions(expected_bytes))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = partitions
+    for key, value in {**settings, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

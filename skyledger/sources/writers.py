@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from skyledger.session import work_folder
+
 # Keeps the files of a large date at a size that several tasks can read.
 ROWS_PER_FILE = 5_000_000
 
@@ -68,6 +70,17 @@ def replace_table(rows: DataFrame, path: str, measures: Mapping[str, Column] | N
     return _report(path, seen)
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    For results that are read more than once: they are computed once, and a lost executor costs no
+    more than reading again.
+    """
+    path = work_folder(rows.sparkSession, name)
+    replace_table(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def land_lines(lines: DataFrame, path: str) -> Written:
     """Write NDJSON text below year=/month=/day= folders of the poll time; nothing if there is none."""
     if lines.isEmpty():

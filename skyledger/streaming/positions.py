@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.loading import drop_copies, only_new
@@ -11,6 +14,8 @@ from skyledger.schemas import FACT_POSITIONS, RAW_POSITION
 from skyledger.sources.tables import read_table_or_empty
 from skyledger.sources.writers import Written, write_by_date
 
+CLUSTER = ["icao24", "ingestion_timestamp"]
+
 
 def load_positions(raw: DataFrame, facts_path: str) -> Written:
     """Add the positions of a batch that the fact table does not hold yet.
@@ -19,18 +24,28 @@ def load_positions(raw: DataFrame, facts_path: str) -> Written:
     is found however old it is.  A batch that failed after writing is repeated safely.
     """
     spark = raw.sparkSession
-    batch = drop_copies(fact_positions(silver_positions(raw)), "position_sk", "position_date")
+    batch = fact_positions(silver_positions(raw))
+    first, last = batch.agg(F.min("position_date"), F.max("position_date")).first()
+    if first is None:
+        return Written(None, 0)
     target = read_table_or_empty(spark, facts_path, FACT_POSITIONS)
-    fresh = only_new(batch, target, "position_sk", "position_date")
-    return write_by_date(fresh, facts_path, "position_date", ["icao24", "ingestion_timestamp"], mode="append")
+    once = drop_copies(batch, "position_sk", "position_date")
+    fresh = only_new(once, target, "position_sk", "position_date", first, last)
+    return write_by_date(fresh, facts_path, "position_date", CLUSTER, mode="append")
 
 
 def stream_positions(
-    spark: SparkSession, landing: str, facts_path: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession,
+    landing: str,
+    facts_path: str,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+    on_batch: Callable[[Written], None] = lambda _: None,
 ) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
-    The checkpoint must lie on storage that survives the cluster.
+    The checkpoint must lie on storage that survives the cluster.  `on_batch` hears what each batch
+    wrote.
     """
     arriving = (
         spark.readStream.schema(RAW_POSITION)
@@ -38,8 +53,12 @@ def stream_positions(
         .option("recursiveFileLookup", True)
         .json(landing)
     )
+
+    def load(batch: DataFrame, _: int) -> None:
+        on_batch(load_positions(batch, facts_path))
+
     return (
-        arriving.writeStream.foreachBatch(lambda batch, _: load_positions(batch, facts_path) and None)
+        arriving.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
