@@ -35,6 +35,7 @@ LOADED_UNTIL = dt.date(2001, 6, 1)
 BATCH_FROM = dt.date(2001, 1, 1)
 BATCH_UNTIL = dt.date(2002, 12, 31)
 RETENTION_RUN = dt.date(2000, 9, 1)
+REPORT_RUN = dt.date(2000, 9, 15)
 
 
 def query(function: Query) -> Query:
@@ -306,9 +307,7 @@ def carrier_ranking(spark, folder):
 
 @query
 def worst_routes_month(spark, folder):
-    return ranking.worst_routes(
-        testbed.flights(spark, folder), dt.date(2000, 8, 1), dt.date(2000, 8, 31), k=5
-    )
+    return ranking.worst_routes_last_month(testbed.flights(spark, folder), REPORT_RUN, k=5)
 
 
 # Incremental loads

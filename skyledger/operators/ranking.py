@@ -85,3 +85,9 @@ def worst_routes(flights: DataFrame, first: dt.date, last: dt.date, k: int = 10)
     """The `k` routes with the highest average arrival delay between two days."""
     routes = route_delays(flights.filter(F.col("flight_date").between(first, last)))
     return routes.orderBy(F.desc_nulls_last("avg_arr_delay"), "origin_airport", "dest_airport").limit(k)
+
+
+def worst_routes_last_month(flights: DataFrame, run_date: dt.date, k: int = 10) -> DataFrame:
+    """Which routes had the worst average arrival delay in the month before `run_date`?"""
+    last = run_date.replace(day=1) - dt.timedelta(days=1)
+    return worst_routes(flights, last.replace(day=1), last, k)
