@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = 256
@@ -34,26 +34,33 @@ def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BAN
         )
         .drop("_cuts")
     )
-    totals = (
+    # One row: how many rows stand before each band, at position band + 2.
+    ahead = (
         banded.groupBy("_band")
         .agg(F.sum("_rows").alias("_total"))
-        .agg(F.collect_list(F.struct("_band", "_total")))
-    )
-    ahead = F.aggregate(
-        F.filter("_totals", lambda t: t["_band"] > F.col("_band")),
-        F.lit(0).cast("bigint"),
-        lambda acc, t: acc + t["_total"],
+        .agg(F.collect_list(F.struct("_band", "_total")).alias("t"))
+        .select(F.transform(F.sequence(F.lit(-1), F.lit(bands)), lambda b: _rows_after(F.col("t"), b)))
     )
     earlier = Window.partitionBy("_band").orderBy(value.desc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ranks = banded.withColumn("_totals", totals.scalar()).select(
+    ranks = banded.withColumn("_ahead", ahead.scalar()).select(
         value.alias("_value"),
-        (ahead + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1).alias(rank),
+        (
+            F.element_at("_ahead", F.col("_band") + 2)
+            + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+            + 1
+        ).alias(rank),
     )
     return rows.join(ranks, value.eqNullSafe(F.col("_value"))).drop("_value")
 
 
+def _rows_after(totals: Column, band: Column) -> Column:
+    """Sum of the totals of all bands above `band`."""
+    above = F.filter(totals, lambda t: t["_band"] > band)
+    return F.aggregate(above, F.lit(0).cast("bigint"), lambda acc, t: acc + t["_total"])
+
+
 def route_delays(flights: DataFrame) -> DataFrame:
     """Routes of all time with their average arrival delay, to be ranked."""
     return flights.groupBy("origin_airport", "dest_airport").agg(
