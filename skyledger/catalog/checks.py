@@ -141,8 +141,8 @@ polled AS (
 """
 
 
-def _fact_positions(source: str, on_ground: str) -> str:
-    return f"""SELECT md5(fr24_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS position_sk,
+def _fact_positions(source: str, on_ground: str, select: str = "SELECT") -> str:
+    return f"""{select} md5(fr24_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS position_sk,
  strftime(ts, '%Y%m%d') AS date_sk, hex AS icao24, callsign, lat AS latitude, lon AS longitude,
  alt * CAST(0.3048 AS DOUBLE) AS altitude_metres, gspeed * CAST(0.514444 AS DOUBLE) AS velocity_ms,
  CAST(vspeed AS DOUBLE) AS vertical_speed, {on_ground} AS on_ground, ts AS ingestion_timestamp,
@@ -152,8 +152,8 @@ def _fact_positions(source: str, on_ground: str) -> str:
 def _merge(key: str, sk: str, tracked: list[str], old: str, new: str) -> str:
     cols = ", ".join(tracked)
     return f"""
-old AS (SELECT *, {_hash(tracked)} AS row_hash FROM ({old})),
-new AS (SELECT *, {_hash(tracked)} AS row_hash FROM ({new})),
+old AS (SELECT DISTINCT *, {_hash(tracked)} AS row_hash FROM ({old})),
+new AS (SELECT DISTINCT *, {_hash(tracked)} AS row_hash FROM ({new})),
 changed AS (SELECT {key} FROM old JOIN new USING ({key}) WHERE old.row_hash <> new.row_hash)
 SELECT md5({key} || '|1990-01-01') AS {sk}, {key}, {cols}, row_hash, DATE '1990-01-01' AS effective_from,
  CASE WHEN {key} IN (FROM changed) THEN DATE '2024-06-14' END AS effective_to,
@@ -222,7 +222,7 @@ SELECT '{{"fr24_id":"' || fr24_id || '","hex":"' || hex || '","callsign":'
  alt * CAST(0.3048 AS DOUBLE) AS altitude_metres, gspeed * CAST(0.514444 AS DOUBLE) AS velocity_ms,
  CAST(vspeed AS DOUBLE) AS vertical_speed, on_ground, ts AS ingestion_timestamp FROM raw""",
     "positions": f"WITH {RAW} {_fact_positions('raw', 'on_ground')}",
-    "positions_stream": f"WITH {POLLED} {_fact_positions('polled', 'CAST(NULL AS BOOLEAN)')}",
+    "positions_stream": f"WITH {POLLED} {_fact_positions('polled', 'CAST(NULL AS BOOLEAN)', 'SELECT DISTINCT')}",
     "fact_flights": f"WITH {FACTS} SELECT * FROM facts",
     "delay_category_gold": f"""WITH {FACTS} SELECT delay_category, is_cancelled, is_diverted, count(*) AS flights,
  min(total_delay_minutes) AS least_delay, max(total_delay_minutes) AS most_delay FROM facts GROUP BY ALL""",

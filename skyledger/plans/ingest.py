@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyledger.operators.flights import accepted, parse_flights, rejected, stamp_silver
 from skyledger.operators.loading import is_loaded
 from skyledger.operators.quality import load_measures
+from skyledger.plans.runs import logged
 from skyledger.schemas import FLIGHT_COLUMNS, SILVER_FLIGHTS, STAGED_FLIGHTS
 from skyledger.sources.payloads import explode_state_vectors, position_records, stamped_lines
 from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
@@ -53,23 +54,27 @@ def load_month(
 
     A month that is there already is left alone.  The files are parsed once, into the staging folder
     of the month; rows with a cell that does not parse stay there, with the names of their bad
-    columns, and all others go on to silver.
+    columns, and all others go on to silver.  Each load leaves a row in `<silver>/load_log`.
     """
     target = f"{silver}/bts"
     if is_loaded(read_table_or_empty(spark, target, SILVER_FLIGHTS), year, month):
         return LoadReport("already_loaded")
     folder = f"{silver}/raw_bts_flights/year={year}/month={month:02d}"
-    parsed = parse_flights(read_flight_files(spark, files, headers), rename)
-    staged = replace_table(parsed, folder, load_measures())
-    write_by_date(
-        stamp_silver(accepted(read_table(spark, folder, parsed.schema)), F.lit(ingested_at)),
-        target,
-        "flight_date",
-        ["carrier_code", "origin_airport"],
-        mode="append",
-    )
-    refused = staged.measures["rejected"]
-    return LoadReport("success", staged.rows - refused, refused, staged.measures["avg_delay"])
+    with logged(spark, f"{silver}/load_log", ingested_at, "bts") as figures:
+        parsed = parse_flights(read_flight_files(spark, files, headers), rename)
+        staged = replace_table(parsed, folder, load_measures())
+        rejects = staged.measures["rejected"]
+        figures.update(rejected=rejects, avg_delay=staged.measures["avg_delay"])
+        good = accepted(read_table(spark, folder, parsed.schema))
+        loaded = write_by_date(
+            stamp_silver(good, F.lit(ingested_at)),
+            target,
+            "flight_date",
+            ["carrier_code", "origin_airport"],
+            mode="append",
+        )
+        figures.update(loaded=loaded.rows)
+    return LoadReport("success", loaded.rows, rejects, figures["avg_delay"])
 
 
 def rejected_flights(spark: SparkSession, silver: str) -> DataFrame:
