@@ -65,33 +65,43 @@ def route_performance(silver: DataFrame, grain: str | None = "day") -> DataFrame
     )
 
 
-def carrier_daily(flights: DataFrame, carriers: DataFrame) -> DataFrame:
-    """Per carrier and day: volume, cancellations, average delays, on-time and severe counts."""
+def carrier_daily(flights: DataFrame, carriers: DataFrame, key: str = "carrier_code") -> DataFrame:
+    """Per carrier, carrier name and day: volume, cancellations, average delays, on-time and severe counts.
+
+    `key` is "carrier_code", for the current name of each carrier, or "carrier_sk", for the name in the
+    dimension version that the facts refer to.  Flights are summed per key and day first; the second
+    grouping only merges versions that share a name, on the partitioning that is there.
+    """
     category = warehouse_category(F.col("arr_delay_minutes"))
-    grouped = flights.groupBy("carrier_code", "flight_date").agg(
+    summed = flights.groupBy("carrier_code", "flight_date", *([key] if key != "carrier_code" else [])).agg(
         F.count(F.lit(1)).alias("total_flights"),
         F.count_if("is_cancelled").alias("cancelled_flights"),
-        F.avg("dep_delay_minutes").alias("avg_dep_delay"),
-        F.avg("arr_delay_minutes").alias("avg_arr_delay"),
+        F.sum("dep_delay_minutes").alias("dep_sum"),
+        F.count("dep_delay_minutes").alias("dep_count"),
+        F.sum("arr_delay_minutes").alias("arr_sum"),
+        F.count("arr_delay_minutes").alias("arr_count"),
         F.count_if(category == ON_TIME).alias("on_time_count"),
         F.count_if(category == SEVERE).alias("severe_delay_count"),
     )
-    named = lookup(
-        grouped, carriers.filter("is_current"), "carrier_code", "carrier_code", {"carrier_name": "carrier_name"}
-    )
+    versions = carriers.filter("is_current") if key == "carrier_code" else carriers
+    named = lookup(summed, versions, key, key, {"carrier_name": "carrier_name"})
+    keys = ["carrier_code", "carrier_name", "flight_date"]
+    sums = [c for c in summed.columns if c not in (*keys, key)]
     total = F.col("total_flights")
-    return named.select(
-        "carrier_code",
-        "carrier_name",
-        "flight_date",
-        total,
-        "cancelled_flights",
-        share(F.col("cancelled_flights"), total).alias("cancellation_rate"),
-        "avg_dep_delay",
-        "avg_arr_delay",
-        "on_time_count",
-        share(F.col("on_time_count"), total).alias("on_time_rate"),
-        "severe_delay_count",
+    return (
+        named.groupBy(*keys)
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .select(
+            *keys,
+            total,
+            "cancelled_flights",
+            share(F.col("cancelled_flights"), total).alias("cancellation_rate"),
+            F.try_divide("dep_sum", "dep_count").alias("avg_dep_delay"),
+            F.try_divide("arr_sum", "arr_count").alias("avg_arr_delay"),
+            "on_time_count",
+            share(F.col("on_time_count"), total).alias("on_time_rate"),
+            "severe_delay_count",
+        )
     )
 
 

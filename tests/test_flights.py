@@ -235,3 +235,18 @@ def test_carrier_mart(six, spark):
     assert (row["carrier_name"], row["total_flights"], row["cancelled_flights"]) == ("American", 3, 1)
     assert (row["cancellation_rate"], row["on_time_count"], row["on_time_rate"]) == (0.3333, 2, 0.6667)
     assert row["severe_delay_count"] == 1
+
+
+def test_versions_with_one_name_are_merged(six, spark):
+    """AA is renamed and renamed back: two versions, one name."""
+    versions = spark.createDataFrame(
+        [("k1", "AA", "American", False), ("k2", "AA", "American", True), ("k3", "AA", "AAL", False)],
+        "carrier_sk string, carrier_code string, carrier_name string, is_current boolean",
+    )
+    number = F.col("flight_number")
+    keyed = six.filter("carrier_code = 'AA'").withColumn(
+        "carrier_sk", F.when(number == "100", "k1").when(number == "101", "k2").otherwise("k3")
+    )
+    rows = {r["carrier_name"]: r for r in carrier_daily(keyed, versions, "carrier_sk").collect()}
+    assert {name: r["total_flights"] for name, r in rows.items()} == {"American": 2, "AAL": 1}
+    assert rows["American"]["avg_arr_delay"] == 2.5 and rows["AAL"]["avg_arr_delay"] is None

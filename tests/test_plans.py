@@ -155,7 +155,7 @@ def check_warehouse(spark, root, silver):
     dim_carrier = read_dimension(spark, root, "dim_carrier", DIM_CARRIER)
     dim_airport = read_dimension(spark, root, "dim_airport", DIM_AIRPORT)
     for name, expected in {
-        "mart_carrier_daily": carrier_daily(flights, dim_carrier),
+        "mart_carrier_daily": carrier_daily(facts, dim_carrier, "carrier_sk"),
         "mart_route_performance": route_overview(route_parts(flights), dim_airport),
         "mart_delay_analysis": delay_analysis(flights),
     }.items():
@@ -175,8 +175,13 @@ def test_refresh_follows_silver(spark, silver_of, tmp_path):
     assert refresh(spark, silver, root, run.replace(hour=7), source, airports(spark)) == 0
     # More flights on two of the days, and a renamed carrier.
     write_by_date(some_flights(silver_of, 500, 9, days=2), f"{silver}/bts", "flight_date", mode="append")
-    assert refresh(spark, silver, root, run.replace(day=2), source, airports(spark)) == 9
+    renamed = carriers(spark, AA="Alpha Group", BB="Beta")
+    moved = airports(spark).withColumn("latitude", F.col("latitude") + 1)
+    assert refresh(spark, silver, root, run.replace(day=2), renamed, moved) == 9
     facts = check_warehouse(spark, root, silver)
+    # Facts keep the version they were loaded with: on a day of both loads the carrier has two names.
+    mart = spark.read.parquet(f"{root}/mart_carrier_daily").filter("carrier_code = 'AA'")
+    assert {r["carrier_name"] for r in mart.filter(F.col("flight_date") == DAY).collect()} == {"Alpha", "Alpha Group"}
     assert facts.filter("date_sk IS NULL OR carrier_sk IS NULL OR dest_airport_sk IS NULL").count() == 0
     log = read_table(spark, f"{root}/pipeline_run_log", RUN_LOG).orderBy("run_timestamp").collect()
     assert [(r["total_rows_loaded"], r["pipeline_status"]) for r in log] == [(60, "success"), (0, "success"), (9, "success")]
