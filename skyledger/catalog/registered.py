@@ -318,7 +318,7 @@ def incremental_load(spark, folder):
     facts = flights.fact_flights(testbed.silver(spark, folder))
     held = facts.filter(F.col("flight_date") < LOADED_UNTIL)
     batch = facts.filter(F.col("flight_date") >= BATCH_FROM)
-    fresh = loading.only_new(batch, held, "flight_surrogate_key", "flight_date", BATCH_FROM, BATCH_UNTIL)
+    fresh = loading.only_new(batch, held, "flight_surrogate_key", "flight_date", (BATCH_FROM, BATCH_UNTIL))
     return held.unionByName(fresh).select(*flights.FLIGHT_KEY, "flight_surrogate_key", "delay_category")
 
 

@@ -59,15 +59,17 @@ def build_route_aggregates(
 def on_days(flights: DataFrame, touched: DataFrame, period: str | None = None) -> DataFrame:
     """Flights of the touched days, or of the whole `period` ("month") around each of them.
 
-    A literal list prunes partitions; a list too long for that becomes a semi join.
+    A literal list prunes partitions; a list too long for that becomes a semi join.  Flights without a
+    date count as a day of their own.
     """
     day = F.col("flight_date")
     unit = F.trunc(day, period) if period else day
     days = touched.select(unit.alias("_unit")).distinct()
     listed = [row[0] for row in days.limit(LISTED_DAYS + 1).collect()]
-    if len(listed) <= LISTED_DAYS:
-        return flights.filter(unit.isin(listed))
-    return flights.join(days, unit == F.col("_unit"), "left_semi")
+    if len(listed) > LISTED_DAYS:
+        return flights.join(days, unit.eqNullSafe(F.col("_unit")), "left_semi")
+    chosen = unit.isin([d for d in listed if d is not None])
+    return flights.filter(chosen | unit.isNull() if None in listed else chosen)
 
 
 def silver_to_gold(

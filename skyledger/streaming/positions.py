@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skyledger.operators.loading import drop_copies, only_new
+from skyledger.operators.loading import day_span, drop_copies, only_new
 from skyledger.operators.positions import fact_positions, silver_positions
 from skyledger.schemas import FACT_POSITIONS, RAW_POSITION
 from skyledger.sources.tables import read_table_or_empty
@@ -25,12 +24,11 @@ def load_positions(raw: DataFrame, facts_path: str) -> Written:
     """
     spark = raw.sparkSession
     batch = fact_positions(silver_positions(raw))
-    first, last = batch.agg(F.min("position_date"), F.max("position_date")).first()
-    if first is None:
+    if batch.isEmpty():
         return Written(None, 0)
     target = read_table_or_empty(spark, facts_path, FACT_POSITIONS)
-    once = drop_copies(batch, "position_sk", "position_date")
-    fresh = only_new(once, target, "position_sk", "position_date", first, last)
+    span = day_span(batch, "position_date")
+    fresh = only_new(drop_copies(batch, "position_sk"), target, "position_sk", "position_date", span)
     return write_by_date(fresh, facts_path, "position_date", CLUSTER, mode="append")
 
 

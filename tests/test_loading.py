@@ -1,9 +1,20 @@
+import contextlib
 import datetime as dt
+import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators.loading import expired_days, is_loaded, month_status, only_new, retained
+from skyledger.operators.loading import (
+    day_span,
+    drop_copies,
+    expired_days,
+    is_loaded,
+    month_status,
+    only_new,
+    retained,
+)
 from skyledger.operators.masking import masked
 from skyledger.operators.quality import broken_rules, check_rules, duplicate_keys
 
@@ -14,13 +25,23 @@ def keyed(spark, *rows):
     return spark.createDataFrame(list(rows), "k string, day date, v int")
 
 
-@pytest.mark.parametrize("span", [(), (JAN, FEB)], ids=["looked up", "given"])
+@pytest.mark.parametrize("span", [None, (JAN, FEB)], ids=["looked up", "given"])
 def test_only_new(spark, span):
-    target = keyed(spark, ("a", JAN, 1), ("b", FEB, 1), ("x", dt.date(2020, 1, 1), 1))
-    source = keyed(spark, ("a", JAN, 9), ("b", JAN, 2), ("c", FEB, 3), ("c", FEB, 3))
-    got = only_new(source, target, "k", "day", *span)
+    target = keyed(spark, ("a", JAN, 1), ("b", FEB, 1), ("n", None, 1), ("x", dt.date(2020, 1, 1), 1))
+    source = keyed(spark, ("a", JAN, 9), ("c", FEB, 3), ("c", FEB, 3), ("d", JAN, 2), ("n", None, 9), ("m", None, 4))
+    got = only_new(source, target, "k", "day", span)
     assert got.columns == source.columns
-    assert sorted(map(tuple, got.collect())) == [("b", JAN, 2), ("c", FEB, 3), ("c", FEB, 3)]
+    assert sorted(got.collect(), key=str) == sorted(
+        [("c", FEB, 3), ("c", FEB, 3), ("d", JAN, 2), ("m", None, 4)], key=lambda r: str(keyed(spark, r).first())
+    )
+
+
+def test_only_new_without_days(spark):
+    source = keyed(spark, ("a", None, 1), ("b", None, 2))
+    target = keyed(spark, ("a", None, 1), ("c", JAN, 1))
+    assert day_span(source, "day") == (None, None)
+    for span in (None, (None, None)):
+        assert [r["k"] for r in only_new(source, target, "k", "day", span).collect()] == ["b"]
 
 
 def test_only_new_into_empty(spark):
@@ -29,6 +50,20 @@ def test_only_new_into_empty(spark):
     assert only_new(source.limit(0), source, "k", "day").count() == 0
 
 
+def test_copies_and_anti_join_share_one_shuffle(spark, tmp_path):
+    keyed(spark, ("a", JAN, 1), ("a", JAN, 1), ("b", FEB, 2)).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.schema("k string, day date, v int").parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = only_new(drop_copies(rows, "k"), rows.filter("v = 2"), "k", "day", (JAN, FEB))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert [tuple(r) for r in fresh.collect()] == [("a", JAN, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_target_is_pruned_by_the_batch(spark, tmp_path):
     rows = spark.range(300).selectExpr("cast(id as string) k", "date_add(date'2024-01-01', cast(id % 30 as int)) day")
     rows.write.partitionBy("day").parquet(f"{tmp_path}/t")
@@ -38,7 +73,13 @@ def test_target_is_pruned_by_the_batch(spark, tmp_path):
     assert fresh.count() == 0
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
-    assert "PartitionFilters: [isnotnull(day" in scan and "ReadSchema: struct<k:string>" in scan
+    assert "FileScan parquet [k#" in scan and "Subquery" in scan.split("PushedFilters")[0]
+    # Only the folder of the batch's day is read.
+    given = only_new(batch, target, "k", "day", day_span(batch, "day")).explain
+    buffer = io.StringIO()
+    with contextlib.redirect_stdout(buffer):
+        given("formatted")
+    assert re.search(r"PartitionFilters: \[.*2024-01-05.*\]", buffer.getvalue())
 
 
 def test_hot_key_is_split_in_the_anti_join(spark):
@@ -56,9 +97,9 @@ def test_hot_key_is_split_in_the_anti_join(spark):
     for key, value in small.items():
         spark.conf.set(key, value)
     try:
-        fresh = only_new(source, target, "k", "day", JAN, JAN)
+        fresh = only_new(source, target, "k", "day", (JAN, JAN))
         counts = dict(fresh.groupBy(F.col("k") == "hot").count().collect())
-        rows = only_new(source, target, "k", "day", JAN, JAN)
+        rows = only_new(source, target, "k", "day", (JAN, JAN))
         rows.write.format("noop").mode("overwrite").save()
         collected = rows.collect()
         plan = rows._jdf.queryExecution().executedPlan().toString()

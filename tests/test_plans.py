@@ -101,6 +101,25 @@ def test_on_days(spark, silver_of, monkeypatch, listed, period):
     assert found == ({DAY} if period is None else {DAY, DAY + dt.timedelta(1)})
 
 
+@pytest.mark.parametrize("listed", [1000, 0], ids=["list", "semi join"])
+def test_on_days_without_date(spark, silver_of, monkeypatch, listed):
+    monkeypatch.setattr("skyledger.plans.gold.LISTED_DAYS", listed)
+    dateless = some_flights(silver_of, 900, 3).withColumn("flight_date", F.lit(None).cast("date"))
+    flights = some_flights(silver_of, 0, 8).unionByName(dateless)
+    touched = spark.createDataFrame([(DAY,), (None,)], "flight_date date")
+    assert on_days(flights, touched).count() == 2 + 3
+    assert on_days(flights, touched.filter("flight_date IS NOT NULL")).count() == 2
+    assert on_days(flights, touched.limit(0)).count() == 0
+
+
+def test_months_are_pruned(spark, silver_of, tmp_path):
+    write_by_date(some_flights(silver_of, 0, 60), str(tmp_path), "flight_date")
+    table = read_table(spark, str(tmp_path), SILVER_FLIGHTS)
+    touched = spark.createDataFrame([(DAY,)], "flight_date date")
+    plan = on_days(table, touched, "month")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(trunc(flight_date" in plan or "PartitionFilters: [isnotnull(flight_date" in plan
+
+
 def test_load_month_once(spark, tmp_path):
     files, silver = tmp_path / "in", str(tmp_path / "silver")
     files.mkdir()
@@ -188,6 +207,18 @@ def test_refresh_follows_silver(spark, silver_of, tmp_path):
     assert log[1]["avg_delay_minutes"] is None and log[0]["avg_delay_minutes"] > 0
 
 
+def test_flights_without_date_are_added_once(spark, silver_of, tmp_path):
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    write_calendar(spark, root)
+    source = carriers(spark, AA="Alpha", BB="Beta")
+    dateless = some_flights(silver_of, 900, 3).withColumn("flight_date", F.lit(None).cast("date"))
+    write_by_date(some_flights(silver_of, 0, 5).unionByName(dateless), f"{silver}/bts", "flight_date")
+    run = dt.datetime(2024, 3, 1, 6)
+    assert refresh(spark, silver, root, run, source, airports(spark)) == 8
+    assert refresh(spark, silver, root, run.replace(hour=7), source, airports(spark)) == 0
+    check_warehouse(spark, root, silver)
+
+
 def test_refresh_since(spark, silver_of, tmp_path):
     """Only flights stamped from `since` on are compared; known ones among them are not added again."""
     silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")

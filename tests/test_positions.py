@@ -119,6 +119,13 @@ def test_batch_load_stores_each_position_once(responses, spark, tmp_path):
     assert read_table(spark, facts, FACT_POSITIONS).count() == 5
 
 
+def test_positions_without_time_are_kept_once(spark, tmp_path):
+    rows = spark.createDataFrame([tuple("n1" if n == "fr24_id" else None for n in RAW_POSITION.names)], RAW_POSITION)
+    assert load_positions(rows, str(tmp_path / "facts")).rows == 1
+    assert load_positions(rows, str(tmp_path / "facts")).rows == 0
+    assert load_positions(rows.limit(0), str(tmp_path / "facts")).path is None
+
+
 def test_stream_takes_new_files_only(responses, spark, tmp_path):
     work = {n: str(tmp_path / n) for n in ("bronze", "facts", "checkpoint")}
 
