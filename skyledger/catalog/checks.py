@@ -351,7 +351,8 @@ FROM loaded""",
 SELECT *, CASE WHEN loaded_rows > 0 THEN 'already_loaded' ELSE 'to_load' END AS status FROM m""",
     "dq_rules": f"""WITH {FLIGHTS}, c AS ({_RULE_COUNTS})
 SELECT *, round(1 - rows_failed / CAST(rows_checked AS DOUBLE), 6) AS pass_ratio FROM c""",
-    "dq_broken_rows": f"""WITH {SILVER}, b AS (SELECT flight_number, row_hash, {_RULE_NAMES} AS failed_rules FROM silver)
+    "dq_broken_rows": f"""WITH {SILVER}, b AS (
+ SELECT flight_number, row_hash, {_RULE_NAMES} AS failed_rules FROM silver)
 SELECT * FROM b WHERE failed_rules <> ''""",
     "dq_unique_key": f"""WITH {FLIGHTS} SELECT carrier_code, flight_number, flight_date, origin_airport, dest_airport,
  count(*) AS copies FROM flights GROUP BY ALL HAVING count(*) > 1""",

@@ -91,6 +91,13 @@ def test_copies_collapse_and_clashes_fail(spark):
         merge(first(spark, BA="British"), clash, dt.date(2024, 1, 1)).collect()
 
 
+def test_rows_without_key_are_left_out(spark):
+    keyless = snapshot(spark, x="x").withColumn("carrier_code", F.lit(None).cast("string"))
+    source = snapshot(spark, AA="American").unionByName(keyless)
+    dim = merge(first(spark, AA="American"), source, dt.date(2024, 1, 1))
+    assert state(dim) == [("AA", "American", START, None, True)]
+
+
 @pytest.mark.parametrize("max_rows", [200_000, 0], ids=["broadcast", "shuffled"])
 def test_point_in_time_lookup(spark, max_rows):
     run = dt.date(2024, 6, 15)

@@ -85,7 +85,8 @@ def test_target_is_pruned_by_the_batch(spark, tmp_path):
 def test_hot_key_is_split_in_the_anti_join(spark):
     """A third of the batch is one key: its partition is cut, and all its rows survive."""
     hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
-    source = spark.range(90_000).repartition(12).select(hot.alias("k"), F.lit(JAN).alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    wide = F.sha2(F.col("id").cast("string"), 256)
+    source = spark.range(90_000).repartition(12).select(hot.alias("k"), F.lit(JAN).alias("day"), wide.alias("v"))
     target = spark.range(30_000).select((F.col("id") * 3 + 1).cast("string").alias("k"), F.lit(JAN).alias("day"))
     small = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -114,7 +115,8 @@ def test_hot_key_is_split_in_the_anti_join(spark):
 def test_months(spark):
     source = keyed(spark, ("a", JAN, 1), ("b", JAN, 1), ("c", FEB, 1), ("d", dt.date(2024, 12, 31), 1))
     target = keyed(spark, ("a", JAN, 1))
-    got = {r["month"]: (r["source_rows"], r["loaded_rows"], r["status"]) for r in month_status(source, target, "day").collect()}
+    rows = month_status(source, target, "day").collect()
+    got = {r["month"]: (r["source_rows"], r["loaded_rows"], r["status"]) for r in rows}
     assert got == {1: (2, 1, "already_loaded"), 2: (1, 0, "to_load"), 12: (1, 0, "to_load")}
     assert is_loaded(source, 2024, 12, "day") and not is_loaded(source, 2024, 11, "day")
     assert not is_loaded(source, 2023, 12, "day")

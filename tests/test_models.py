@@ -17,7 +17,8 @@ from skyledger.schemas import DIM_CARRIER, SILVER_FLIGHTS
 few = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 START = dt.date(2024, 1, 1)
-snapshots = st.lists(st.dictionaries(st.sampled_from("ABCDE"), st.sampled_from(["x", "y", None])), min_size=1, max_size=4)
+snapshot = st.dictionaries(st.sampled_from("ABCDE"), st.sampled_from(["x", "y", None]))
+snapshots = st.lists(snapshot, min_size=1, max_size=4)
 
 
 def model_merge(versions, snapshot, day):

@@ -39,10 +39,11 @@ def responses(spark):
 
 
 def test_records_are_stamped_and_otherwise_unchanged(responses):
-    odd = {"data": [{"x": {"deep": [1, None]}, "note": 'quote " and é', "lat": None}, {}, {"ingestion_timestamp": "old"}]}
+    deep = {"x": {"deep": [1, None]}, "note": 'quote " and é', "lat": None}
+    odd = {"data": [deep, {}, {"ingestion_timestamp": "old"}]}
     lines = [json.loads(r["value"]) for r in stamped_lines(position_records(responses(SAMPLE, odd))).collect()]
     stamp = {"ingestion_timestamp": "2026-03-10T06:00:05.123456+00:00"}
-    assert lines == [SAMPLE["data"][0] | stamp, odd["data"][0] | stamp, stamp, stamp]
+    assert lines == [SAMPLE["data"][0] | stamp, deep | stamp, stamp, stamp]
 
 
 @pytest.mark.parametrize("payload", [{"data": [], "meta": {"count": 0}}, {"meta": {}}, {"data": None}, "no json"])
@@ -67,12 +68,13 @@ def test_typed_explode(responses):
 
 
 def test_state_vectors_by_position(responses):
-    full = ["4b1", "SWR1  ", "Switzerland", 1, 2, 8.5, 47.4, 1000, True, 12.5, 90, None, [7, 8], 1010.5, "1000", False, 0, 3]
-    got = explode_state_vectors(responses({"states": [full, ["x1"], full + ["surplus"]]}, {"states": None}, {"time": 1}))
+    head = ["4b1", "SWR1  ", "Switzerland", 1, 2, 8.5, 47.4, 1000, True, 12.5, 90, None]
+    full = head + [[7, 8], 1010.5, "1000", False, 0, 3]
+    states = {"states": [full, ["x1"], full + ["surplus"]]}
+    got = explode_state_vectors(responses(states, {"states": None}, {"time": 1}))
     assert got.dtypes == [(f.name, f.dataType.simpleString()) for f in STATE_VECTOR]
     rows = [tuple(r) for r in got.collect()]
-    typed = ("4b1", "SWR1  ", "Switzerland", 1, 2, 8.5, 47.4, 1000.0, True, 12.5, 90.0, None, "[7,8]", 1010.5, "1000",
-             False, 0, 3)
+    typed = (*head, "[7,8]", 1010.5, "1000", False, 0, 3)
     assert rows == [typed, ("x1",) + (None,) * 17, typed]
 
 

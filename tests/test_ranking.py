@@ -12,7 +12,8 @@ def test_rank_equals_brute_force(spark, bands, distinct):
     rng = random.Random(distinct * 1000 + bands)
     values = [rng.choice([None, *range(distinct)]) for _ in range(400)] + [0] * 200
     rows = [(i, None if v is None else v / 4) for i, v in enumerate(values)]
-    got = {r["id"]: r["rank"] for r in rank_all(spark.createDataFrame(rows, "id int, v double"), "v", bands=bands).collect()}
+    ranked = rank_all(spark.createDataFrame(rows, "id int, v double"), "v", bands=bands)
+    got = {r["id"]: r["rank"] for r in ranked.collect()}
     known = [v for _, v in rows if v is not None]
     expected = {i: len(known) + 1 if v is None else 1 + sum(o > v for o in known) for i, v in rows}
     assert got == expected

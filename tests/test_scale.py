@@ -59,7 +59,7 @@ def test_silver_filters_reach_the_file(spark, tmp_path):
     silver = spark.read.parquet(f"{tmp_path}/silver")
     plan = physical(marts.route_performance(silver))
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
-    assert "PushedFilters: [IsNotNull(is_cancelled), EqualTo(is_cancelled,false)]" in scan or "Not(EqualTo(is_cancelled,true))" in scan
+    assert "EqualTo(is_cancelled" in scan.split("PushedFilters")[1]
     read = {c.split("#")[0] for c in re.search(r"FileScan parquet \[(.*?)\]", scan)[1].split(",")}
     assert read == {
         "flight_date", "carrier_code", "origin_airport", "dest_airport",

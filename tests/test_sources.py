@@ -102,7 +102,8 @@ def test_no_rows_write_no_dates(month, spark, tmp_path):
 
 def test_a_hot_date_is_cut_into_files(month, spark, tmp_path):
     """Most rows fall on one day; adaptive execution gives them to several tasks."""
-    hot = month.withColumn("flight_date", F.when(F.col("flight_number") % 10 < 8, F.lit(FIRST)).otherwise(F.col("flight_date")))
+    mostly = F.when(F.col("flight_number") % 10 < 8, F.lit(FIRST)).otherwise(F.col("flight_date"))
+    hot = month.withColumn("flight_date", mostly)
     wide = hot.repartition(8).withColumn("tail_number", F.sha2(F.col("flight_number"), 512))
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40k")
@@ -125,10 +126,11 @@ def test_measures_are_counted_while_writing(month, spark, tmp_path):
 
 
 def test_csv_layout_is_checked(spark, tmp_path):
-    (tmp_path / "a.csv").write_text(",".join(FLIGHT_COLUMNS) + "\n" + "2024-01-15" + "," * (len(FLIGHT_COLUMNS) - 1) + "\n")
+    empty = "," * (len(FLIGHT_COLUMNS) - 1)
+    (tmp_path / "a.csv").write_text(f"{','.join(FLIGHT_COLUMNS)}\n2024-01-15{empty}\n")
     (row,) = read_flight_files(spark, str(tmp_path)).collect()
     assert row["flight_date"] == "2024-01-15" and row["carrier_code"] is None
-    (tmp_path / "b.csv").write_text(",".join(FLIGHT_COLUMNS[::-1]) + "\n" + "," * (len(FLIGHT_COLUMNS) - 1) + "\n")
+    (tmp_path / "b.csv").write_text(f"{','.join(FLIGHT_COLUMNS[::-1])}\n{empty}\n")
     with pytest.raises(Exception, match="does not conform to the schema"):
         read_flight_files(spark, str(tmp_path)).collect()
 
