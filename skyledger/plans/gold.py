@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyledger.operators.flights import fact_flights
 from skyledger.operators.marts import route_performance
 from skyledger.schemas import SILVER_FLIGHTS
-from skyledger.sources.tables import read_table
+from skyledger.sources.tables import lies_by_day, read_table
 from skyledger.sources.writers import write_by_date
 
 log = logging.getLogger(__name__)
@@ -29,12 +29,20 @@ def build_fact_flights(
     """Write `<gold>/fact_flights` from `<silver>/bts` and return the rows written.
 
     By default every date is rebuilt; `only_run_date` rebuilds the one date `run_date` (YYYYMMDD).
+    If silver has a folder per date, nothing is shuffled.
     """
     flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
     if only_run_date:
         flights = flights.filter(F.col("flight_date") == parse_day(run_date))
     mode = "replace_dates" if only_run_date else "replace_all"
-    done = write_by_date(fact_flights(flights), f"{gold}/fact_flights", "flight_date", FLIGHT_CLUSTER, mode)
+    done = write_by_date(
+        fact_flights(flights),
+        f"{gold}/fact_flights",
+        "flight_date",
+        FLIGHT_CLUSTER,
+        mode,
+        gathered=lies_by_day(flights, "flight_date"),
+    )
     log.info("fact_flights: %s rows", f"{done.rows:,}")
     return done.rows
 

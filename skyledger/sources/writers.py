@@ -31,6 +31,7 @@ def write_by_date(
     cluster_by: Sequence[str] = (),
     mode: str = "replace_dates",
     measures: Mapping[str, Column] | None = None,
+    gathered: bool = False,
 ) -> Written:
     """Write one folder per date, rows sorted by `cluster_by` for row-group skipping.
 
@@ -38,10 +39,14 @@ def write_by_date(
     "append" adds files.
 
     The rebalance hint gives each date to one task as long as it is small and lets adaptive
-    execution cut a date that is not.  The count sits after that shuffle, in the stage that writes:
-    there a task's figures are taken once, also when executors are lost and tasks run again.
+    execution cut a date that is not.  With `gathered` there is no shuffle: the rows come unshuffled
+    from a table with a folder per date, so each task holds few dates and no more files are written
+    than were read.
+
+    The count sits in the stage that writes: there a task's figures are taken once, also when
+    executors are lost and tasks run again.
     """
-    placed = rows.hint("rebalance", day)
+    placed = rows if gathered else rows.hint("rebalance", day)
     counted, seen = _counted(placed, measures)
     ordered = counted.sortWithinPartitions(day, *cluster_by)
     save = "append" if mode == "append" else "overwrite"

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from skyledger.operators.flights import fact_flights
 from skyledger.schemas import FACT_FLIGHTS, FLIGHT_COLUMNS, SILVER_FLIGHTS
 from skyledger.session import work_folder
-from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty, register_table, seed_table
+from skyledger.sources.tables import (
+    lies_by_day,
+    read_flight_files,
+    read_table,
+    read_table_or_empty,
+    register_table,
+    seed_table,
+)
 from skyledger.sources.writers import append_table, replace_table, write_by_date
 
 FIRST = dt.date(2024, 1, 1)
@@ -100,6 +107,31 @@ def test_no_rows_write_no_dates(month, spark, tmp_path):
     assert read_table(spark, str(tmp_path), SILVER_FLIGHTS).count() == 0
 
 
+def test_a_table_by_date_is_rewritten_without_shuffle(month, spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    write_by_date(month, f"{tmp_path}/in", "flight_date")
+    table = read_table(spark, f"{tmp_path}/in", SILVER_FLIGHTS)
+    assert lies_by_day(table, "flight_date")
+    facts = fact_flights(table)
+    done = write_by_date(facts, f"{tmp_path}/out", "flight_date", ["carrier_code", "flight_number"], gathered=True)
+    assert done.rows == 3100
+    assert "Exchange" not in facts._jdf.queryExecution().executedPlan().toString()
+    files = list((tmp_path / "out").glob("flight_date=*/*.parquet"))
+    assert len(files) == len(list((tmp_path / "in").glob("flight_date=*/*.parquet"))) == 31
+    for file in files:
+        columns = pq.ParquetFile(file).read(["carrier_code", "flight_number"]).columns
+        rows = list(zip(*[c.to_pylist() for c in columns]))
+        assert rows == sorted(rows)
+
+
+def test_plain_tables_do_not_lie_by_day(month, spark, tmp_path):
+    month.write.parquet(f"{tmp_path}/flat")
+    assert not lies_by_day(read_table(spark, f"{tmp_path}/flat", SILVER_FLIGHTS), "flight_date")
+    seed_table(spark, f"{tmp_path}/seed", SILVER_FLIGHTS)
+    assert not lies_by_day(read_table(spark, f"{tmp_path}/seed", SILVER_FLIGHTS), "flight_date")
+
+
 def test_a_hot_date_is_cut_into_files(month, spark, tmp_path):
     """Most rows fall on one day; adaptive execution gives them to several tasks."""
     mostly = F.when(F.col("flight_number") % 10 < 8, F.lit(FIRST)).otherwise(F.col("flight_date"))
