@@ -8,16 +8,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.operators.flights import accepted, parse_flights, rejected, stamp_silver
 from skyledger.operators.loading import is_loaded
 from skyledger.operators.quality import load_measures
-from skyledger.plans.runs import logged
-from skyledger.schemas import FLIGHT_COLUMNS, SILVER_FLIGHTS, STAGED_FLIGHTS
+from skyledger.plans.runs import SUCCESS, logged
+from skyledger.schemas import FLIGHT_COLUMNS, RUN_LOG, SILVER_FLIGHTS, STAGED_FLIGHTS
 from skyledger.sources.payloads import explode_state_vectors, position_records, stamped_lines
 from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
 from skyledger.sources.writers import Written, land_lines, replace_table, write_by_date
 
+# The staging folder of one month, without the columns of its path.
+_PARSED = T.StructType(STAGED_FLIGHTS.fields[:-2])
+
 
 @dataclass(frozen=True)
 class LoadReport:
@@ -52,31 +56,45 @@ def load_month(
 ) -> LoadReport:
     """Load one month of flight files into `<silver>/bts`, once.
 
-    A month that is there already is left alone.  The files are parsed once, into the staging folder
-    of the month; rows with a cell that does not parse stay there, with the names of their bad
-    columns, and all others go on to silver.  Each load leaves a row in `<silver>/load_log`.
+    A month that is there already is left alone, unless it was left unfinished by a load that broke
+    off; then its dates are written again.  The files are parsed once, into the staging folder of the
+    month.  Rows with a cell that does not parse, or with a date outside the month, stay there with
+    the names of their bad columns; all others go on to silver.  Each load leaves a row in
+    `<silver>/load_log`.
     """
-    target = f"{silver}/bts"
-    if is_loaded(read_table_or_empty(spark, target, SILVER_FLIGHTS), year, month):
-        return LoadReport("already_loaded")
+    target, source, log = f"{silver}/bts", f"bts-{year}-{month:02d}", f"{silver}/load_log"
     folder = f"{silver}/raw_bts_flights/year={year}/month={month:02d}"
-    with logged(spark, f"{silver}/load_log", ingested_at, "bts") as figures:
-        parsed = parse_flights(read_flight_files(spark, files, headers), rename)
+    if is_loaded(read_table_or_empty(spark, target, SILVER_FLIGHTS), year, month):
+        finished = (F.col("source") == source) & (F.col("pipeline_status") == SUCCESS)
+        begun_here = not read_table_or_empty(spark, folder, _PARSED).isEmpty()
+        if not begun_here or not read_table_or_empty(spark, log, RUN_LOG).filter(finished).isEmpty():
+            return LoadReport("already_loaded")
+    with logged(spark, log, ingested_at, source) as figures:
+        parsed = _in_month(parse_flights(read_flight_files(spark, files, headers), rename), year, month)
         staged = replace_table(parsed, folder, load_measures())
         rejects = staged.measures["rejected"]
         figures.update(rejected=rejects, avg_delay=staged.measures["avg_delay"])
-        good = accepted(read_table(spark, folder, parsed.schema))
         loaded = write_by_date(
-            stamp_silver(good, F.lit(ingested_at)),
+            stamp_silver(accepted(read_table(spark, folder, _PARSED)), F.lit(ingested_at)),
             target,
             "flight_date",
             ["carrier_code", "origin_airport"],
-            mode="append",
+            mode="replace_dates",
         )
         figures.update(loaded=loaded.rows)
     return LoadReport("success", loaded.rows, rejects, figures["avg_delay"])
 
 
+def _in_month(parsed: DataFrame, year: int, month: int) -> DataFrame:
+    """Count a date outside the month as a fault: silver is written in whole dates of the month."""
+    inside = (F.year("flight_date") == year) & (F.month("flight_date") == month)
+    faults = F.col("rejected_columns")
+    listed = F.when(F.coalesce(inside, F.lit(False)), faults).otherwise(
+        F.array_union(faults, F.array(F.lit("flight_date")))
+    )
+    return parsed.withColumn("rejected_columns", listed)
+
+
 def rejected_flights(spark: SparkSession, silver: str) -> DataFrame:
     """The rows that no load could parse, of all months."""
     return rejected(read_table_or_empty(spark, f"{silver}/raw_bts_flights", STAGED_FLIGHTS))

@@ -120,25 +120,62 @@ def test_months_are_pruned(spark, silver_of, tmp_path):
     assert "PartitionFilters: [(trunc(flight_date" in plan or "PartitionFilters: [isnotnull(flight_date" in plan
 
 
-def test_load_month_once(spark, tmp_path):
-    files, silver = tmp_path / "in", str(tmp_path / "silver")
-    files.mkdir()
+def month_file(folder, delays):
+    folder.mkdir(exist_ok=True)
     cells = dict.fromkeys(FLIGHT_COLUMNS, "") | {"carrier_code": "AA", "is_cancelled": "false", "is_diverted": "false"}
-    delays = {"2024-01-01": "5", "2024-01-02": "7", "2024-01-03": "oops"}
-    lines = [(cells | {"flight_date": d, "arr_delay_minutes": a}).values() for d, a in delays.items()]
-    (files / "m.csv").write_text("".join(",".join(line) + "\n" for line in (FLIGHT_COLUMNS, *lines)))
+    lines = [(cells | {"flight_date": d, "arr_delay_minutes": a}).values() for d, a in delays]
+    (folder / "m.csv").write_text("".join(",".join(line) + "\n" for line in (FLIGHT_COLUMNS, *lines)))
+    return str(folder)
+
+
+def test_load_month_once(spark, tmp_path):
+    silver = str(tmp_path / "silver")
+    delays = [("2024-01-01", "5"), ("2024-01-02", "7"), ("2024-01-03", "oops"), ("2024-02-01", "1"), ("", "1")]
+    files = month_file(tmp_path / "in", delays)
     at = dt.datetime(2024, 2, 1)
-    report = load_month(spark, str(files), silver, 2024, 1, at)
-    assert (report.status, report.rows_loaded, report.rows_rejected, report.avg_delay) == ("success", 2, 1, 6.0)
-    again = load_month(spark, str(files), silver, 2024, 1, at)
+    report = load_month(spark, files, silver, 2024, 1, at)
+    assert (report.status, report.rows_loaded, report.rows_rejected, report.avg_delay) == ("success", 2, 3, 6.0)
+    again = load_month(spark, files, silver, 2024, 1, at)
     assert (again.status, again.rows_loaded) == ("already_loaded", 0)
     table = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
     assert table.count() == 2 and table.filter("row_hash IS NULL").count() == 0
     (log,) = read_table(spark, f"{silver}/load_log", RUN_LOG).collect()
-    assert (log["total_rows_loaded"], log["rows_rejected"], log["avg_delay_minutes"]) == (2, 1, 6.0)
-    assert (log["source"], log["pipeline_status"], log["gemini_summary"]) == ("bts", "success", None)
-    (bad,) = rejected_flights(spark, silver).collect()
-    assert (bad["rejected_columns"], bad["year"], bad["month"]) == (["arr_delay_minutes"], 2024, 1)
+    assert (log["total_rows_loaded"], log["rows_rejected"], log["avg_delay_minutes"]) == (2, 3, 6.0)
+    assert (log["source"], log["pipeline_status"], log["gemini_summary"]) == ("bts-2024-01", "success", None)
+    bad = rejected_flights(spark, silver).collect()
+    assert sorted(r["rejected_columns"] for r in bad) == [["arr_delay_minutes"], ["flight_date"], ["flight_date"]]
+    assert {(r["year"], r["month"]) for r in bad} == {(2024, 1)}
+    # The next month leaves this one as it is.
+    files = month_file(tmp_path / "in", [("2024-02-01", "1")])
+    assert load_month(spark, files, silver, 2024, 2, at).rows_loaded == 1
+    assert read_table(spark, f"{silver}/bts", SILVER_FLIGHTS).count() == 3
+
+
+def test_load_month_after_a_broken_load(spark, tmp_path, monkeypatch):
+    """The load stops when half of its dates are there; the next one completes it."""
+    silver = str(tmp_path / "silver")
+    files = month_file(tmp_path / "in", [(f"2024-01-{d:02d}", "5") for d in range(1, 11) for _ in range(3)])
+    at = dt.datetime(2024, 2, 1)
+
+    def half(rows, *args, **kwargs):
+        write_by_date(rows.filter("day(flight_date) < 5"), *args, **kwargs)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("skyledger.plans.ingest.write_by_date", half)
+        with pytest.raises(RuntimeError, match="lost"):
+            load_month(spark, files, silver, 2024, 1, at)
+    assert read_table(spark, f"{silver}/bts", SILVER_FLIGHTS).count() == 12
+    assert load_month(spark, files, silver, 2024, 1, at).rows_loaded == 30
+    assert read_table(spark, f"{silver}/bts", SILVER_FLIGHTS).count() == 30
+    assert load_month(spark, files, silver, 2024, 1, at).status == "already_loaded"
+
+
+def test_month_loaded_by_others(spark, silver_of, tmp_path):
+    silver = str(tmp_path / "silver")
+    write_by_date(some_flights(silver_of, 0, 4), f"{silver}/bts", "flight_date")
+    files = month_file(tmp_path / "in", [("2024-01-01", "5")])
+    assert load_month(spark, files, silver, 2024, 1, dt.datetime(2024, 2, 1)).status == "already_loaded"
 
 
 def carriers(spark, **names):
