@@ -64,6 +64,17 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
+class AssertionFailed(ValueError):
+    """Rows that must not exist were found."""
+
+
+def require_none(violations: DataFrame, name: str, shown: int = 5) -> None:
+    """Fail if the query of violating rows finds any, and name a few of them."""
+    found = violations.limit(shown).collect()
+    if found:
+        raise AssertionFailed(f"{name}: " + "; ".join(str(row.asDict()) for row in found))
+
+
 def load_measures() -> dict[str, Column]:
     """Figures of parsed flights, to be counted while they are written."""
     faulty = F.size("rejected_columns") > 0

@@ -16,7 +16,14 @@ from skyledger.operators.loading import (
     retained,
 )
 from skyledger.operators.masking import masked
-from skyledger.operators.quality import broken_rules, check_rules, duplicate_keys
+from skyledger.operators.quality import (
+    AssertionFailed,
+    broken_rules,
+    check_rules,
+    duplicate_keys,
+    require_none,
+)
+from skyledger.plans.checks import scan
 
 JAN, FEB = dt.date(2024, 1, 10), dt.date(2024, 2, 10)
 
@@ -148,6 +155,23 @@ def test_duplicate_keys(spark):
     assert got == {("a", 2), (None, 2)}
 
 
+def test_required_keys(spark):
+    rows = keyed(spark, ("a", JAN, 1), ("a", JAN, 2), ("b", JAN, 1))
+    require_none(duplicate_keys(rows, ["k", "v"]), "unique key")
+    with pytest.raises(AssertionFailed, match="unique key: {'k': 'a', 'copies': 2}"):
+        require_none(duplicate_keys(rows, ["k"]), "unique key")
+
+
+def test_scans_are_recorded(spark, tmp_path):
+    rows = keyed(spark, ("a", JAN, 1), ("b", JAN, 0))
+    at = dt.datetime(2024, 3, 1, 6)
+    for number in range(2):
+        found = scan(rows, "flights", RULES, str(tmp_path / "results"), at + dt.timedelta(number))
+        assert {r["rule"]: r["rows_failed"] for r in found.collect()} == {"positive": 1, "known": 0}
+    stored = spark.read.parquet(str(tmp_path / "results"))
+    assert stored.count() == 4 and stored.select("run_timestamp").distinct().count() == 2
+
+
 def test_masking(spark):
     rows = spark.createDataFrame([("N1", 1), (None, 2)], "tail_number string, n int")
     got = {r["n"]: r["tail_number"] for r in masked(rows).collect()}
