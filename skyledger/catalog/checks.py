@@ -108,6 +108,15 @@ _ROUTES = """
  FROM flights WHERE NOT is_cancelled GROUP BY ALL
 """
 
+_DELAY_ANALYSIS = f"""{FLIGHTS}, m AS (
+ SELECT carrier_code, CAST(date_trunc('month', flight_date) AS DATE) AS flight_month,
+  avg(carrier_delay_minutes) AS avg_carrier_delay, avg(weather_delay_minutes) AS avg_weather_delay,
+  avg(nas_delay_minutes) AS avg_nas_delay, sum(carrier_delay_minutes) AS c, sum(weather_delay_minutes) AS w,
+  sum(carrier_delay_minutes + weather_delay_minutes + nas_delay_minutes) AS total_delay_minutes
+ FROM flights GROUP BY ALL)
+SELECT * EXCLUDE (c, w), round(w / total_delay_minutes, 4) AS weather_delay_share,
+ round(c / total_delay_minutes, 4) AS carrier_delay_share FROM m WHERE total_delay_minutes > 0"""
+
 _HEADLINES = """count(*) AS total_flights, avg(arr_delay_minutes) AS avg_arr_delay,
   round(count(*) FILTER (delay_category = 'On Time') / CAST(count(*) AS DOUBLE), 4) AS on_time_rate,
   round(count(*) FILTER (is_cancelled) / CAST(count(*) AS DOUBLE), 4) AS cancellation_rate"""
@@ -307,14 +316,9 @@ SELECT origin_airport, dest_airport, carrier_code, count(*) AS total_flights, av
  d.airport_name AS dest_name, d.latitude AS dest_latitude, d.longitude AS dest_longitude
 FROM labelled JOIN airports o ON origin_airport = o.airport_code JOIN airports d ON dest_airport = d.airport_code
 GROUP BY ALL""",
-    "mart_delay_analysis": f"""WITH {FLIGHTS}, m AS (
- SELECT carrier_code, CAST(date_trunc('month', flight_date) AS DATE) AS flight_month,
-  avg(carrier_delay_minutes) AS avg_carrier_delay, avg(weather_delay_minutes) AS avg_weather_delay,
-  avg(nas_delay_minutes) AS avg_nas_delay, sum(carrier_delay_minutes) AS c, sum(weather_delay_minutes) AS w,
-  sum(carrier_delay_minutes + weather_delay_minutes + nas_delay_minutes) AS total_delay_minutes
- FROM flights GROUP BY ALL)
-SELECT * EXCLUDE (c, w), round(w / total_delay_minutes, 4) AS weather_delay_share,
- round(c / total_delay_minutes, 4) AS carrier_delay_share FROM m WHERE total_delay_minutes > 0""",
+    "mart_delay_analysis": f"WITH {_DELAY_ANALYSIS}",
+    "mart_refresh": f"WITH {_DELAY_ANALYSIS}",
+
     "daily_stats": f"""WITH {LABELLED} SELECT flight_date, count(*) AS total_flights,
  avg(arr_delay_minutes) AS avg_delay_minutes, count(*) FILTER (is_cancelled) AS cancelled_flights,
  count(*) FILTER (delay_category = 'Severe') AS severe_delay_count FROM labelled GROUP BY flight_date""",

@@ -21,7 +21,8 @@ from skyledger.operators import (
     quality,
     ranking,
 )
-from skyledger.schemas import FACT_POSITIONS, FLIGHT_COLUMNS, RUN_LOG, SILVER_FLIGHTS
+from skyledger.schemas import DELAY_ANALYSIS, FACT_POSITIONS, FLIGHT_COLUMNS, RUN_LOG, SILVER_FLIGHTS
+from skyledger.plans.gold import on_days
 from skyledger.plans.ingest import land_positions
 from skyledger.session import work_folder
 from skyledger.sources import payloads, tables, testbed, writers
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {}
 
 # The table before a load, and the overlapping batch that arrives next.
 LOADED_UNTIL = dt.date(2001, 6, 1)
+REFRESHED_UNTIL = dt.date(2001, 6, 15)
 BATCH_FROM = dt.date(2001, 1, 1)
 BATCH_UNTIL = dt.date(2002, 12, 31)
 RETENTION_RUN = dt.date(2000, 9, 1)
@@ -322,6 +324,19 @@ def incremental_load(spark, folder):
     return held.unionByName(fresh).select(*flights.FLIGHT_KEY, "flight_surrogate_key", "delay_category")
 
 
+@query
+def mart_refresh(spark, folder):
+    """A mart of the flights up to a day in mid-month; then the months of all later flights again."""
+    facts = testbed.flights(spark, folder)
+    path = work_folder(spark, "mart")
+    early = facts.filter(F.col("flight_date") < REFRESHED_UNTIL)
+    writers.write_by_date(marts.delay_analysis(early), path, "flight_month", ["carrier_code"])
+    touched = facts.filter(F.col("flight_date") >= REFRESHED_UNTIL).select("flight_date")
+    again = marts.delay_analysis(on_days(facts, touched, "month"))
+    writers.write_by_date(again, path, "flight_month", ["carrier_code"], mode="replace_dates")
+    return tables.read_table(spark, path, DELAY_ANALYSIS)
+
+
 @query
 def already_loaded(spark, folder):
     source = testbed.flights(spark, folder)

@@ -110,6 +110,12 @@ ROUTE_PARTS = struct(
        flights BIGINT, arr_delay_sum DOUBLE, arr_delay_count BIGINT, on_time BIGINT, severe BIGINT"""
 )
 
+DELAY_ANALYSIS = struct(
+    """carrier_code STRING, flight_month DATE, avg_carrier_delay DOUBLE, avg_weather_delay DOUBLE,
+       avg_nas_delay DOUBLE, total_delay_minutes DOUBLE, weather_delay_share DOUBLE,
+       carrier_delay_share DOUBLE"""
+)
+
 RUN_LOG = struct(
     """run_id STRING, run_date DATE, run_timestamp TIMESTAMP, source STRING,
        total_rows_loaded BIGINT, rows_rejected BIGINT, avg_delay_minutes DOUBLE,

@@ -121,3 +121,21 @@ def test_lookup_broadcasts_only_a_counted_side(spark):
 
     assert "strategy=broadcast" in plan(1000)
     assert "strategy=broadcast" not in plan(999)
+
+
+def test_hot_key_is_split_in_a_shuffled_lookup(spark, tiny_partitions):
+    """A third of the facts has one carrier, whose versions are chosen by date."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit("C0")).otherwise(F.concat(F.lit("C"), F.col("id") % 5000))
+    day = F.date_add(F.lit(START), (F.col("id") % 10).cast("int"))
+    wide = F.sha2(F.col("id").cast("string"), 256)
+    facts = spark.range(90_000).repartition(12).select(hot.alias("carrier"), day.alias("day"), wide.alias("v"))
+    names = spark.range(5000).select(F.concat(F.lit("C"), F.col("id")).alias("carrier_code"))
+    before = names.withColumn("carrier_name", F.lit("old"))
+    old = first_versions(before, "carrier_code", ["carrier_name"], "carrier_sk", START)
+    dim = merge(old, names.withColumn("carrier_name", F.lit("new")), START + dt.timedelta(5))
+    found = lookup(facts, dim, "carrier", "carrier_code", {"carrier_name": "name"}, "day", max_rows=0)
+    counts = found.groupBy("name").count()
+    assert dict(counts.collect()) == {"old": 45_000, "new": 45_000}
+    rows = found.select("name", "v")
+    assert len({r["v"] for r in rows.collect()}) == 90_000
+    assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
