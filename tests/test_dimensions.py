@@ -139,3 +139,13 @@ def test_hot_key_is_split_in_a_shuffled_lookup(spark, tiny_partitions):
     rows = found.select("name", "v")
     assert len({r["v"] for r in rows.collect()}) == 90_000
     assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_shuffles_each_side_once(spark, tmp_path, tiny_partitions):
+    first(spark, AA="American", BA="British").write.parquet(f"{tmp_path}/dim")
+    snapshot(spark, AA="AAL").write.parquet(f"{tmp_path}/snapshot")
+    dim = spark.read.schema(DIM_CARRIER).parquet(f"{tmp_path}/dim")
+    source = spark.read.schema("carrier_code string, carrier_name string").parquet(f"{tmp_path}/snapshot")
+    merged = merge(dim, source, dt.date(2024, 1, 1))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert merged.count() == 3
