@@ -151,7 +151,7 @@ polled AS (
 
 
 def _fact_positions(source: str, on_ground: str, select: str = "SELECT") -> str:
-    return f"""{select} md5(fr24_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS position_sk,
+    return f"""{select} md5(fr24_id || '|' || CAST(epoch_us(ts) AS VARCHAR)) AS position_sk,
  strftime(ts, '%Y%m%d') AS date_sk, hex AS icao24, callsign, lat AS latitude, lon AS longitude,
  alt * CAST(0.3048 AS DOUBLE) AS altitude_metres, gspeed * CAST(0.514444 AS DOUBLE) AS velocity_ms,
  CAST(vspeed AS DOUBLE) AS vertical_speed, {on_ground} AS on_ground, ts AS ingestion_timestamp,

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.geo import NORTH_WEST_EUROPE, BoundingBox
-from skyledger.functions.keys import date_key, surrogate_key
+from skyledger.functions.keys import date_key, row_hash, surrogate_key
+from skyledger.functions.times import utc_date
 from skyledger.functions.units import feet_to_metres, knots_to_ms
 from skyledger.schemas import FACT_POSITIONS
 
-STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-
 
 def within(raw: DataFrame, box: BoundingBox = NORTH_WEST_EUROPE) -> DataFrame:
     """Raw positions inside the box; a position without coordinates is outside."""
@@ -35,12 +34,17 @@ def silver_positions(raw: DataFrame) -> DataFrame:
 
 
 def fact_positions(silver: DataFrame) -> DataFrame:
-    """One row per position record, keyed by flight id and ingestion time."""
+    """One row per position record, keyed by flight id and ingestion time in microseconds.
+
+    A record without flight id is known by its content instead.  The date is that of UTC in every
+    session.
+    """
     stamped = F.col("ingestion_timestamp")
-    day: Column = F.to_date(stamped)
+    day = utc_date(stamped)
+    flight = F.coalesce("fr24_id", row_hash("icao24", "callsign", "latitude", "longitude"))
     return silver.withColumns(
         {
-            "position_sk": surrogate_key("fr24_id", F.date_format(stamped, STAMP_FORMAT)),
+            "position_sk": surrogate_key(flight, F.unix_micros(stamped)),
             "date_sk": date_key(day),
             "position_date": day,
         }

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.functions.times import utc_iso
 from skyledger.schemas import RAW_POSITION, STATE_VECTOR
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
-
-
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Saved responses, one file each, with the time the file was stored as poll time."""
     return spark.read.text(path, wholetext=True).select(
@@ -38,7 +36,7 @@ def stamped_lines(records: DataFrame) -> DataFrame:
     body = F.rtrim(F.col("record"))
     inner = F.substr(body, F.lit(1), F.length(body) - 1)
     comma = F.when(F.length(F.trim(inner)) > 1, F.lit(",")).otherwise(F.lit(""))
-    stamp = F.concat(F.lit('"ingestion_timestamp":"'), iso(F.col("polled_at")), F.lit('"}'))
+    stamp = F.concat(F.lit('"ingestion_timestamp":"'), utc_iso(F.col("polled_at")), F.lit('"}'))
     return records.select(F.concat(inner, comma, stamp).alias("value"), "polled_at")
 
 
@@ -48,7 +46,7 @@ def explode_positions(responses: DataFrame) -> DataFrame:
     response = T.StructType([T.StructField("data", T.ArrayType(record))])
     parsed = F.from_json("payload", response)
     return responses.select(F.explode(parsed["data"]).alias("p"), "polled_at").select(
-        "p.*", iso(F.col("polled_at")).alias("ingestion_timestamp")
+        "p.*", utc_iso(F.col("polled_at")).alias("ingestion_timestamp")
     )
 
 
@@ -60,7 +58,3 @@ def explode_state_vectors(responses: DataFrame, keep: Sequence[str] = ()) -> Dat
         *[F.get("v", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(STATE_VECTOR)],
         *keep,
     )
-
-
-def iso(moment: Column) -> Column:
-    return F.date_format(moment, ISO_FORMAT)

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.functions.times import utc_iso
 from skyledger.operators.dimensions import calendar, small_side
 from skyledger.operators.flights import stamp_silver
 from skyledger.operators.history import first_versions
 from skyledger.schemas import DIM_AIRPORT, FLIGHT_COLUMNS
-from skyledger.sources.payloads import iso
 
 INGESTED_AT = dt.datetime(2002, 1, 1)
 FIRST_SNAPSHOT = dt.date(1990, 1, 1)
@@ -212,10 +212,10 @@ def _customer_airports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with the number `k` of their properties."""
+    """Events with the number `k` of their properties.  Their times carry no zone and are taken as UTC."""
     return table(spark, folder, "events").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("polled_at"),
+        F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp").alias("polled_at"),
         "user_id",
         "event_type",
         F.floor("value").alias("knots"),
@@ -236,7 +236,7 @@ def raw_positions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("knots").alias("gspeed"),
         (F.col("k") - 50).alias("vspeed"),
         (F.col("k") == 0).alias("on_ground"),
-        iso(F.col("polled_at")).alias("ingestion_timestamp"),
+        utc_iso(F.col("polled_at")).alias("ingestion_timestamp"),
     )
 
 

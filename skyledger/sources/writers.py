@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from skyledger.functions.times import utc_date
 from skyledger.session import work_folder
 
 # Keeps the files of a large date at a size that several tasks can read.
@@ -87,10 +88,10 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
 
 
 def land_lines(lines: DataFrame, path: str) -> Written:
-    """Write NDJSON text below year=/month=/day= folders of the poll time; nothing if there is none."""
+    """Write NDJSON text below year=/month=/day= folders of the UTC poll date; nothing if there is none."""
     if lines.isEmpty():
         return Written(None, 0)
-    at = F.col("polled_at")
+    at = utc_date(F.col("polled_at"))
     dated = lines.select(
         "value",
         F.date_format(at, "yyyy").alias("year"),
