@@ -64,7 +64,8 @@ def load_month(
     """
     target, source, log = f"{silver}/bts", f"bts-{year}-{month:02d}", f"{silver}/load_log"
     folder = f"{silver}/raw_bts_flights/year={year}/month={month:02d}"
-    if is_loaded(read_table_or_empty(spark, target, SILVER_FLIGHTS), year, month):
+    held = read_table_or_empty(spark, target, SILVER_FLIGHTS, f"flight_date={year}-{month:02d}-*")
+    if is_loaded(held, year, month):
         finished = (F.col("source") == source) & (F.col("pipeline_status") == SUCCESS)
         begun_here = not read_table_or_empty(spark, folder, _PARSED).isEmpty()
         if not begun_here or not read_table_or_empty(spark, log, RUN_LOG).filter(finished).isEmpty():

@@ -63,6 +63,14 @@ def test_dates_come_back_typed_and_pruned(month, spark, tmp_path):
     assert "PartitionFilters: [isnotnull(flight_date" in plan
 
 
+def test_a_pattern_of_folders(month, spark, tmp_path):
+    write_by_date(month, str(tmp_path), "flight_date")
+    ten = read_table(spark, str(tmp_path), SILVER_FLIGHTS, "flight_date=2024-01-1*")
+    assert ten.count() == 1000 and ten.columns == SILVER_FLIGHTS.names
+    assert len(ten.inputFiles()) == 10
+    assert read_table_or_empty(spark, str(tmp_path), SILVER_FLIGHTS, "flight_date=2025-*").count() == 0
+
+
 def test_external_table(month, spark, tmp_path):
     write_by_date(month.filter("flight_date < '2024-01-04'"), str(tmp_path), "flight_date")
     register_table(spark, "ext_silver", str(tmp_path), SILVER_FLIGHTS, "flight_date")
