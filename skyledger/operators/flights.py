@@ -31,6 +31,7 @@ def parse_flights(
 
     `rename` maps file headers to silver names.  A cell whose text does not parse becomes NULL and
     its column name is listed in `rejected_columns`, so that bad rows can be split off and counted.
+    Flags may be words or numbers such as 1.00.
     """
     named = raw.withColumnsRenamed(dict(rename or {}))
     typed = []
@@ -41,7 +42,12 @@ def parse_flights(
         if kind.typeName() == "string":
             typed.append(text)
             continue
-        value = F.try_to_date(text, date_format) if kind.typeName() == "date" else text.try_cast(kind)
+        if kind.typeName() == "date":
+            value = F.try_to_date(text, date_format)
+        elif kind.typeName() == "boolean":
+            value = F.coalesce(text.try_cast(kind), text.try_cast("double") != 0)
+        else:
+            value = text.try_cast(kind)
         typed.append(value.alias(name))
         faults.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
     return named.select(*typed, F.array_compact(F.array(*faults)).alias("rejected_columns"))
