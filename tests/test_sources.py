@@ -165,6 +165,31 @@ def test_measures_are_counted_while_writing(month, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3100
 
 
+@pytest.mark.parametrize("gathered", [False, True])
+def test_repeated_tasks_are_counted_once(month, spark, tmp_path, gathered):
+    """Tasks fail at their first attempt, before the shuffle or in the writing stage itself."""
+
+    marks = tmp_path / "failed"
+    marks.mkdir()
+    folder, path = str(marks), str(tmp_path / "table")
+
+    def unsteady(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        yield from batches
+        if task.attemptNumber() == 0 and task.partitionId() % 2:
+            open(f"{folder}/{task.partitionId()}", "w").close()
+            raise RuntimeError("lost")
+
+    rows = month.repartition(4, "flight_number").mapInArrow(unsteady, month.schema)
+    done = write_by_date(rows, path, "flight_date", measures={"last": F.max("flight_number")}, gathered=gathered)
+    assert sorted(p.name for p in marks.iterdir()) == ["1", "3"]
+    assert (done.rows, done.measures["last"]) == (3100, "999")
+    stored = read_table(spark, path, SILVER_FLIGHTS)
+    assert (stored.count(), stored.select("flight_number").distinct().count()) == (3100, 3100)
+
+
 def test_csv_layout_is_checked(spark, tmp_path):
     empty = "," * (len(FLIGHT_COLUMNS) - 1)
     (tmp_path / "a.csv").write_text(f"{','.join(FLIGHT_COLUMNS)}\n2024-01-15{empty}\n")
