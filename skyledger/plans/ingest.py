@@ -19,6 +19,12 @@ from skyledger.sources.payloads import explode_state_vectors, position_records,
 from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
 from skyledger.sources.writers import Written, land_lines, replace_table, write_by_date
 
+# Folder names.
+POSITIONS = "fr24"
+STATES = "opensky"
+FLIGHTS = "bts"
+STAGED = "raw_bts_flights"
+
 # The staging folder of one month, without the columns of its path.
 _PARSED = T.StructType(STAGED_FLIGHTS.fields[:-2])
 
@@ -33,7 +39,7 @@ class LoadReport:
 
 def land_positions(responses: DataFrame, bronze: str) -> Written:
     """Position responses to NDJSON below `<bronze>/fr24/year=/month=/day=`."""
-    return land_lines(stamped_lines(position_records(responses)), f"{bronze}/fr24")
+    return land_lines(stamped_lines(position_records(responses)), f"{bronze}/{POSITIONS}")
 
 
 def land_state_vectors(responses: DataFrame, bronze: str) -> Written:
@@ -41,7 +47,7 @@ def land_state_vectors(responses: DataFrame, bronze: str) -> Written:
     records = explode_state_vectors(responses, keep=["polled_at"])
     whole = F.struct(*[c for c in records.columns if c != "polled_at"])
     text = F.to_json(whole, {"ignoreNullFields": "false"})
-    return land_lines(records.select(text.alias("value"), "polled_at"), f"{bronze}/opensky")
+    return land_lines(records.select(text.alias("value"), "polled_at"), f"{bronze}/{STATES}")
 
 
 def load_month(
@@ -62,8 +68,8 @@ def load_month(
     the names of their bad columns; all others go on to silver.  Each load leaves a row in
     `<silver>/load_log`.
     """
-    target, source, log = f"{silver}/bts", f"bts-{year}-{month:02d}", f"{silver}/load_log"
-    folder = f"{silver}/raw_bts_flights/year={year}/month={month:02d}"
+    target, source, log = f"{silver}/{FLIGHTS}", f"{FLIGHTS}-{year}-{month:02d}", f"{silver}/load_log"
+    folder = f"{silver}/{STAGED}/year={year}/month={month:02d}"
     held = read_table_or_empty(spark, target, SILVER_FLIGHTS, f"flight_date={year}-{month:02d}-*")
     if is_loaded(held, year, month):
         finished = (F.col("source") == source) & (F.col("pipeline_status") == SUCCESS)
@@ -98,4 +104,4 @@ def _in_month(parsed: DataFrame, year: int, month: int) -> DataFrame:
 
 def rejected_flights(spark: SparkSession, silver: str) -> DataFrame:
     """The rows that no load could parse, of all months."""
-    return rejected(read_table_or_empty(spark, f"{silver}/raw_bts_flights", STAGED_FLIGHTS))
+    return rejected(read_table_or_empty(spark, f"{silver}/{STAGED}", STAGED_FLIGHTS))

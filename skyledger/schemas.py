@@ -1,4 +1,7 @@
-"""Schemas of every table.  Readers always pass one; nothing is inferred from files."""
+"""Schemas of every table.  Readers always pass one; nothing is inferred from files.
+
+Column names, types and order are fixed values: other programs read and write these tables.
+"""
 
 from __future__ import annotations
 
@@ -63,7 +66,7 @@ RAW_POSITION = struct(
        alt BIGINT, gspeed BIGINT, vspeed BIGINT, on_ground BOOLEAN, ingestion_timestamp STRING"""
 )
 
-# Fixed order: a state vector is positional, so these names follow the feed's positions 0..17.
+# A state vector is positional: these names follow the feed's positions 0..17.
 STATE_VECTOR = struct(
     """icao24 STRING, callsign STRING, origin_country STRING, time_position BIGINT,
        last_contact BIGINT, longitude DOUBLE, latitude DOUBLE, baro_altitude DOUBLE,
