@@ -19,6 +19,9 @@ from skyledger.operators.dimensions import lookup
 ON_TIME = WAREHOUSE_BANDS[0][1]
 SEVERE = WAREHOUSE_BANDS[-1][1]
 
+ROUTE = ["origin_airport", "dest_airport", "carrier_code"]
+PART_SUMS = ["flights", "arr_delay_sum", "arr_delay_count", "on_time", "severe"]
+
 # Grain of a mart -> name and expression of its period column.
 PERIODS = {
     "day": ("flight_date", lambda: F.col("flight_date")),
@@ -108,11 +111,11 @@ def carrier_daily(flights: DataFrame, carriers: DataFrame, key: str = "carrier_c
 def route_parts(flights: DataFrame, by_day: bool = True) -> DataFrame:
     """Sums and counts per route and carrier, from which an average or share of any span follows.
 
-    Kept per day, they let the all-time mart follow new flights without reading old ones again.
+    Kept per day and month, they let the all-time mart follow new flights without reading old ones
+    again.
     """
     category = warehouse_category(F.col("arr_delay_minutes"))
-    keys = ["origin_airport", "dest_airport", "carrier_code"]
-    return flights.groupBy(*(["flight_date"] if by_day else []), *keys).agg(
+    return flights.groupBy(*(["flight_date"] if by_day else []), *ROUTE).agg(
         F.count(F.lit(1)).alias("flights"),
         F.sum("arr_delay_minutes").alias("arr_delay_sum"),
         F.count("arr_delay_minutes").alias("arr_delay_count"),
@@ -121,20 +124,21 @@ def route_parts(flights: DataFrame, by_day: bool = True) -> DataFrame:
     )
 
 
+def monthly_parts(parts: DataFrame) -> DataFrame:
+    """Daily parts summed per month."""
+    month = F.trunc("flight_date", "month").alias("flight_month")
+    return parts.groupBy(month, *ROUTE).agg(*[F.sum(m).alias(m) for m in PART_SUMS])
+
+
 def route_overview(parts: DataFrame, airports: DataFrame) -> DataFrame:
     """Per route and carrier over all time, with names and coordinates of both airports.
 
     The share of severe delays is a percentage, the on-time rate a fraction.
     """
-    measures = ["flights", "arr_delay_sum", "arr_delay_count", "on_time", "severe"]
-    summed = parts.groupBy("origin_airport", "dest_airport", "carrier_code").agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
+    summed = parts.groupBy(*ROUTE).agg(*[F.sum(m).alias(m) for m in PART_SUMS])
     total = F.col("flights")
     rated = summed.select(
-        "origin_airport",
-        "dest_airport",
-        "carrier_code",
+        *ROUTE,
         total.alias("total_flights"),
         F.try_divide("arr_delay_sum", "arr_delay_count").alias("avg_arr_delay"),
         share(F.col("on_time"), total).alias("on_time_rate"),

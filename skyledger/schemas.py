@@ -113,6 +113,10 @@ ROUTE_PARTS = struct(
        flights BIGINT, arr_delay_sum DOUBLE, arr_delay_count BIGINT, on_time BIGINT, severe BIGINT"""
 )
 
+MONTHLY_ROUTE_PARTS = T.StructType(
+    [T.StructField("flight_month", T.DateType()), *ROUTE_PARTS.fields[1:]]
+)
+
 DELAY_ANALYSIS = struct(
     """carrier_code STRING, flight_month DATE, avg_carrier_delay DOUBLE, avg_weather_delay DOUBLE,
        avg_nas_delay DOUBLE, total_delay_minutes DOUBLE, weather_delay_share DOUBLE,

@@ -12,6 +12,7 @@ from skyledger.operators.marts import (
     carrier_daily,
     daily_stats,
     delay_analysis,
+    monthly_parts,
     route_overview,
     route_parts,
     route_performance,
@@ -169,6 +170,7 @@ def test_daily_parts_give_the_all_time_mart(silver_of, spark):
     daily = route_overview(route_parts(rows), airports).collect()
     whole = route_overview(route_parts(rows, by_day=False), airports).collect()
     assert daily == whole
+    assert route_overview(monthly_parts(route_parts(rows)), airports).collect() == whole
     late = [float(n * 13 % 200) for n in range(50)]
     assert daily[0]["avg_arr_delay"] == pytest.approx(sum(late) / 50)
     assert daily[0]["pct_severe_delays"] == 100 * sum(m > 120 for m in late) / 50
