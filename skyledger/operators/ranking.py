@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = 256
+STRIDE = 16
 
 
 def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BANDS) -> DataFrame:
@@ -24,15 +25,21 @@ def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BAN
     value = F.col(measure)
     tally = rows.groupBy(measure).agg(F.count(F.lit(1)).alias("_rows"))
     steps = [i / bands for i in range(1, bands)]
-    cuts = tally.agg(F.percentile_approx(value, steps))
+    # One row: the cut points in order, and every sixteenth of them.  A value is placed among these
+    # first and then among sixteen, instead of being compared with all.
+    none = F.array().cast("array<double>")
+    cuts = tally.agg(F.coalesce(F.percentile_approx(value, steps), none).alias("all")).select(
+        F.struct("all", F.filter("all", lambda _, i: i % STRIDE == STRIDE - 1).alias("some"))
+    )
+    passed = F.size(F.filter("_cuts.some", lambda c: c < value)) * STRIDE
+    nearby = F.slice("_cuts.all", F.col("_passed") + 1, F.lit(STRIDE))
+    place = F.col("_passed") + F.size(F.filter(nearby, lambda c: c < value))
     banded = (
-        tally.withColumn("_cuts", F.coalesce(cuts.scalar(), F.array().cast("array<double>")))
+        tally.withColumn("_cuts", cuts.scalar())
+        .withColumn("_passed", passed)
         # The band of NULL is -1: behind all others.
-        .withColumn(
-            "_band",
-            F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda c: c < value))),
-        )
-        .drop("_cuts")
+        .withColumn("_band", F.when(value.isNull(), F.lit(-1)).otherwise(place))
+        .drop("_cuts", "_passed")
     )
     # One row: how many rows stand before each band, at position band + 2.
     ahead = (
