@@ -5,8 +5,8 @@ as soon as it is stable:
 
 * A special token's string is cut out first; a chunk keeps back as many characters as such a string
   may still need.
-* The splitting pattern is applied to the chunk; the last two pieces stay back, as later characters
-  can change no earlier piece.  A run of one character class longer than a chunk is passed on in parts.
+* The chunk is cut into pieces; the last two stay back, as later characters can change no earlier
+  piece.  A run of one character class longer than a chunk is passed on in parts.
 * Within a piece, tokens are stable once `lookahead` bytes follow them.  That number is computed from
   the merge list, see `Merges.lookahead`.
 
@@ -28,30 +28,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import vocabulary_file
+from skyledger.llm.common import LETTER, OTHER, SPACE, classes, vocabulary_file
 
 CHUNK = 1 << 16  # characters of text that the encoder takes at a time
 SHORT = 48  # characters: pieces up to this length are remembered
 REMEMBERED = 300_000  # pieces, and pairs of tokens; beyond, the cache starts anew
 LONG_BUFFER = 4096  # bytes of a long piece between two emissions
 
-# Classes of characters.
-OTHER, LETTER, NUMBER, SPACE = range(4)
 # What an apostrophe that starts a piece takes with it.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    table = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for run in regex.finditer(pattern, points):
-            table[ord(run[0][0]) : ord(run[0][-1]) + 1] = kind
-    return table
-
-
 def split(text: str) -> list[str]:
     """The pieces within which merging takes place.
 
