@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe
+from skyledger.llm import bpe, decontamination, language, line_dedup, simhash
 from skyledger.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,34 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_simhash_near_dedup(spark, folder):
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
 @query
 def op3_bpe_round_trip(spark, folder):
     return bpe.round_trip(read(spark, folder, "documents"), TOKENIZER)
+
+
+@query
+def op5_benchmark_decontamination(spark, folder):
+    return decontamination.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op8_language_id(spark, folder):
+    docs = read(spark, folder, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op10_line_dedup(spark, folder):
+    return line_dedup.report(read(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
