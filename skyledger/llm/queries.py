@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, decontamination, language, line_dedup, simhash
+from skyledger.llm import bpe, decontamination, language, line_dedup, simhash, warc
 from skyledger.llm.common import read
+from skyledger.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,12 @@ def op5_benchmark_decontamination(spark, folder):
     return decontamination.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query
+def op6_warc(spark, folder):
+    archive = warc.write_archive(read(spark, folder, "pages"), work_folder(spark, "archive"))
+    return warc.read_archive(archive).drop("url")
+
+
 @query
 def op8_language_id(spark, folder):
     docs = read(spark, folder, "documents")
