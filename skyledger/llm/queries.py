@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, decontamination, language, line_dedup, simhash, warc
+from skyledger.llm import bpe, chat, decontamination, language, line_dedup, secrets, simhash, warc
 from skyledger.llm.common import read
 from skyledger.session import work_folder
 
@@ -33,6 +33,12 @@ def op3_bpe_round_trip(spark, folder):
     return bpe.round_trip(read(spark, folder, "documents"), TOKENIZER)
 
 
+@query
+def op4_secret_scan(spark, folder):
+    docs = read(spark, folder, "documents")
+    return secrets.report(secrets.find(docs, secrets.train(docs)))
+
+
 @query
 def op5_benchmark_decontamination(spark, folder):
     return decontamination.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
@@ -50,6 +56,12 @@ def op8_language_id(spark, folder):
     return language.identify(docs, language.fit(docs))
 
 
+@query
+def op9_preference_format(spark, folder):
+    pairs = chat.preference_pairs(*chat.degraded(read(spark, folder, "conversations")))
+    return pairs.withColumns({c: chat.spans(pairs[c]) for c in ("chosen_mask", "rejected_mask")})
+
+
 @query
 def op10_line_dedup(spark, folder):
     return line_dedup.report(read(spark, folder, "documents"))
