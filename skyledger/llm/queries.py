@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, chat, decontamination, language, line_dedup, secrets, simhash, warc
+from skyledger.llm import bpe, chat, decontamination, language, line_dedup, secrets, simhash, substring_dedup, warc
 from skyledger.llm.common import read
 from skyledger.session import work_folder
 
@@ -50,6 +50,11 @@ def op6_warc(spark, folder):
     return warc.read_archive(archive).drop("url")
 
 
+@query
+def op7_substring_dedup(spark, folder):
+    return substring_dedup.report(read(spark, folder, "documents"))
+
+
 @query
 def op8_language_id(spark, folder):
     docs = read(spark, folder, "documents")
