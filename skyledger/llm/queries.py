@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, chat, decontamination, language, line_dedup, secrets, simhash, substring_dedup, warc
+from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, line_dedup, secrets, simhash, substring_dedup, warc
 from skyledger.llm.common import read
 from skyledger.session import work_folder
 
@@ -23,6 +23,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_embedding_near_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"))
+
+
 @query
 def op2_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
