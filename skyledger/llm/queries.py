@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, line_dedup, secrets, simhash, substring_dedup, warc
+from skyledger.llm.checks import CHECKS as CHECKS
 from skyledger.llm.common import read
 from skyledger.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
