@@ -119,7 +119,7 @@ class Shard:
         low, high = low.copy(), high.copy()
         while (busy := low < high).any():
             middle = (low + high) >> 1
-            theirs = self.words[self.suffixes[np.where(busy, middle, 0)] + at]
+            theirs = self.words[np.minimum(self.suffixes[np.where(busy, middle, 0)] + at, len(self.words) - 1)]
             further = busy & ((theirs <= word) if right else (theirs < word))
             low = np.where(further, middle + 1, low)
             high = np.where(busy & ~further, middle, high)

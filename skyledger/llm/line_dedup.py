@@ -131,7 +131,7 @@ class LineIndex:
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("keys"))
 
     def _filters(self, counts: DataFrame) -> DataFrame:
-        def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             high, low = _halves(rows)
             room = 2 * len(rows)
             while not (made := CuckooFilter.sized(room)).add(high, low):
@@ -184,9 +184,12 @@ def _kept(text: bytes, lost: set[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def _rendered(docs: DataFrame, losses: DataFrame, figures: tuple[str, ...]) -> DataFrame:
-    lost = losses.select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    joined = docs.join(lost, docs["doc_id"] == lost["_lost_id"], "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], "_lost_keys")
+    own = "lost"
+    while own in docs.columns:
+        own += "_"
+    lost = losses.select(F.col("doc_id").alias("holder"), F.col("keys").alias(own))
+    joined = docs.join(lost, docs["doc_id"] == lost["holder"], "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], lost[own])
     names = [*docs.columns, *figures]
     place, width = docs.columns.index("text"), len(docs.columns)
 

@@ -280,7 +280,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
         if packer.entries:
             yield packer.packed()
 
-    def count(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         entries, which, first, n = repeated_in_bucket(list(zip(rows["n"].tolist(), rows["head"], rows["strings"])), window)
         mine = entries[which]
         return pd.DataFrame({"doc_id": mine["doc"], "mark": mine["mark"], "start": mine["start"].astype(np.int64) + first, "n": n})

@@ -105,7 +105,7 @@ class Roll:
     def _open(self) -> None:
         self.name = f"part-{self.shard:06d}-{self.number:05d}.warc.gz"
         self.hidden = f"{uuid.uuid4().hex}-{self.name}"
-        self.out = self.store.open_output_stream(f"{self.path}/_temporary/{self.hidden}")
+        self.out = self.store.open_output_stream(f"{self.path}/_temporary/{self.hidden}", compression=None)
         self.size, self.records, self.digest = 0, 0, hashlib.sha256()
         about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{self.name}>"), ("WARC-Date", self.date)]
         about += [("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")]
@@ -322,7 +322,7 @@ def read_archive(archive: Archive, payloads: bool = False) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, sha256 in zip(batch.column("name").to_pylist(), batch.column("sha256").to_pylist()):
-                with store.open_input_stream(f"{path}/{name}") as stream:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     checked = Checked(stream)
                     rows = []
                     for headers, block in records_of(gzip.GzipFile(fileobj=io.BufferedReader(checked, 1 << 20))):

@@ -1,0 +1,114 @@
+"""Brute-force versions of the operators, in plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def sha(content: bytes | str) -> str:
+    return hashlib.sha256(content.encode() if isinstance(content, str) else content).hexdigest()
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def classes(nodes, links) -> dict:
+    """The smallest node that links reach."""
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def fingerprint(text: str | None) -> int:
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_classes(docs: dict[int, str | None]) -> dict[int, int]:
+    prints = {i: fingerprint(t) for i, t in docs.items()}
+    ids = list(prints)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    return classes(ids, links)
+
+
+def line_dedup(docs: dict[int, str | None]) -> dict[int, tuple[str, int, int]]:
+    """Kept text, lines, dropped lines."""
+    key = lambda line: lower(line.strip(BLANKS))
+    holders = defaultdict(set)
+    for i, text in docs.items():
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 10:
+                holders[key(line)].add(i)
+    out = {}
+    for i, text in docs.items():
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == i]
+        out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+def benchmark_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def contamination(texts: list[str | None], items: list[tuple[str, str | None]]) -> list[tuple[int, int, list[str], bool]]:
+    """Words, hit words, items, verdict."""
+    windows = defaultdict(set)
+    for name, text in items:
+        words = benchmark_words(text)
+        for i in range(max(1, len(words) - 12)):
+            if words:
+                windows[tuple(words[i : i + 13])].add(name)
+    out = []
+    for text in texts:
+        words, hit, names = benchmark_words(text), set(), set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(words) - size + 1):
+                if found := windows.get(tuple(words[i : i + size])):
+                    hit |= set(range(i, i + size))
+                    names |= found
+        out.append((len(words), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(words)))
+    return out
+
+
+def substring_dedup(texts: list[str | None], window: int) -> list[tuple[str, int, int]]:
+    """Kept words, words, removed words."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for words in split:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if seen[tuple(words[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((" ".join(w for k, w in enumerate(words) if k not in gone), len(words), len(gone)))
+    return out
+
+
+def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
+    """Start, kind, end."""
+    text = text or ""
+    assign = re.compile(
+        r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
+    )
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)

@@ -1,0 +1,75 @@
+import random
+
+import plain
+import pytest
+
+from skyledger.llm import substring_dedup as sd
+
+
+def corpus(seed, n=60):
+    random.seed(seed)
+    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of"] * 40 + ["é", "W1"]
+    say = lambda k: [random.choice(vocabulary) for _ in range(k)]
+    passages = [say(random.choice([4, 5, 6, 20, 80])) for _ in range(8)]
+    texts = [None, "", " ", "w1 w2", " ".join(passages[-1]), "a " * 50, "a b " * 30]
+    for _ in range(n):
+        words = say(random.randint(0, 60))
+        for _ in range(random.randint(0, 3)):
+            words += random.choice(passages) + say(random.randint(0, 9))
+        texts.append(random.choice([" ", "\n", " \t"]).join(words))
+    return texts + texts[8:12]
+
+
+def result(df):
+    return sorted(map(str, map(tuple, df.select("doc_id", "text", "n_words", "n_removed").collect())))
+
+
+@pytest.mark.parametrize(("window", "gram", "frequent", "buckets"), [(5, 2, 10**9, 3), (5, 1, 3, 7), (6, 4, 0, 1), (35, 4, 2000, None)])
+def test_against_brute_force(clashing, window, gram, frequent, buckets):
+    texts = corpus(window)
+    ids = [i if i % 11 else None for i in range(len(texts) - 4)] + [8, 9, 500, 501]
+    want = plain.substring_dedup(texts, window)
+    assert sum(gone for *_, gone in want) > 100
+    got = sd.deduplicated(clashing(*zip(ids, texts)), window, gram, frequent, buckets)
+    assert result(got) == sorted(str((i, *w)) for i, w in zip(ids, want))
+
+
+def test_two_texts_of_one_id(documents):
+    text = " ".join(f"x{i}" for i in range(8))
+    got = sd.deduplicated(documents((1, text), (1, "other " + text), (1, "nothing")), 5, 2, 10**9, 2)
+    assert result(got) == sorted([str((1, "", 8, 8)), str((1, "other", 9, 8)), str((1, "nothing", 1, 0))])
+
+
+def test_a_hash_that_collides_is_told_by_the_words(monkeypatch, documents):
+    """Windows are compared word by word, whatever their hashes say."""
+    monkeypatch.setattr(sd, "windows_hash", lambda hashes, size, base: hashes[: len(hashes) - size + 1] * 0)
+    packer = sd.Packer(1)
+    texts = [b"a b c d", b"a b c e", b"x y z a b c d"]
+    for doc, text in enumerate(texts):
+        words = text.split()
+        packer.add(doc, 0, words, *sd.super_kmers(sd.hashes_of(words), 3, 1), 3)
+    batch = packer.packed()
+    blobs = list(zip(batch["n"].to_pylist(), batch["head"].to_pylist(), batch["strings"].to_pylist()))
+    entries, which, first, n = sd.repeated_in_bucket(blobs, 3)
+    places = {(int(entries["doc"][w]), int(entries["start"][w]) + f + k) for w, f, c in zip(which, first, n) for k in range(c)}
+    assert places == {(0, 0), (0, 1), (1, 0), (2, 3), (2, 4)}
+
+
+def test_super_kmers_cover_every_window_once(monkeypatch):
+    random.seed(1)
+    words = [random.choice([b"a", b"b", b"c"]) for _ in range(500)]
+    hashes = sd.hashes_of(words)
+    for part in (1 << 22, 50):
+        monkeypatch.setattr(sd, "PART", part)
+        _, starts, counts = sd.super_kmers(hashes, 35, 4)
+        assert starts[0] == 0 and (starts[1:] == (starts + counts)[:-1]).all() and starts[-1] + counts[-1] == 500 - 34
+    # Equal windows have equal minimisers.
+    minis, starts, counts = sd.super_kmers(hashes, 6, 2)
+    seen = {}
+    for mini, start, count in zip(minis.tolist(), starts.tolist(), counts.tolist()):
+        for i in range(start, start + count):
+            assert seen.setdefault(tuple(words[i : i + 6]), mini) == mini
+
+
+def test_empty_table(documents):
+    assert sd.report(documents()).collect() == []
