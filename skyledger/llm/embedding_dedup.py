@@ -9,7 +9,7 @@ set of lines, cut at the median of the sorted projections, puts vectors into cel
 other lines; collisions are counted within cells.  Cells hold a fixed number of vectors on average,
 whatever the number of vectors.  How many such tables there are, and how many collisions a pair needs,
 is calibrated for the wanted recall: vectors of a bounded sample get artificial partners exactly at the
-threshold, and the figures are set so that the wanted share of them is found.
+threshold, and the figures are set so that the wanted share of them is found, and of the sample's links.
 
 A pair that shares cells in several tables is counted in the first of them only, which both vectors
 tell; so no pair is ever emitted.  Vectors get their number of links, and a label within the cell that
@@ -39,6 +39,7 @@ LINES = 40  # on which collisions are counted
 WIDTH = 1.3  # half a window, in standard deviations of a pair at the threshold
 TABLES = 96  # at most
 SAMPLE = 4096  # vectors that medians, tables and counts are calibrated on, on average
+PAIRS = 20_000  # links among them that are looked at
 SEED = 20
 
 
@@ -83,27 +84,42 @@ class Plan:
         return count
 
 
-def calibrated(sample: np.ndarray, vectors: int, threshold: float) -> Plan:
-    """The plan for so many vectors like those of the sample."""
-    dimension = sample.shape[1]
-    bits = int(np.clip(np.ceil(np.log2(max(2, vectors) / CELL)), 0, 40))
-    cast = lines(dimension, TABLES * bits, 0)
-    medians = np.median(sample @ cast, axis=0) if bits else np.empty(0)
-    # Partners at exactly the threshold, in random directions.
+def _partners(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to calibrate on: at exactly the threshold in random directions, and the sample's own links."""
     away = np.random.default_rng([SEED, 2]).standard_normal(sample.shape)
     away -= (away * sample).sum(axis=1, keepdims=True) * sample
     size = np.linalg.norm(away, axis=1, keepdims=True)
-    partners = threshold * sample + np.sqrt(1 - threshold**2) * np.divide(away, size, out=np.zeros_like(away), where=size > 0)
-    tables = 1
-    if bits:
+    away = np.divide(away, size, out=np.zeros_like(away), where=size > 0)
+    made = threshold * sample + np.sqrt(1 - threshold**2) * away
+    first, second = np.nonzero(np.triu(sample @ sample.T >= threshold, 1))
+    some = np.unique(np.linspace(0, max(0, len(first) - 1), PAIRS).astype(np.int64))[: len(first)]
+    pairs = [(sample, made)]
+    return pairs + [(sample[first[some]], sample[second[some]])] * bool(len(first))
+
+
+def calibrated(sample: np.ndarray, vectors: int, threshold: float) -> Plan:
+    """The plan for so many vectors like those of the sample.
+
+    Where `TABLES` tables do not reach the recall, as with vectors that all lie in one place, cells
+    get larger; at worst there is one, whose parts are all compared.
+    """
+    dimension = sample.shape[1]
+    pairs = _partners(sample, threshold)
+    bits = int(np.clip(np.ceil(np.log2(max(2, vectors) / CELL)), 0, 40))
+    medians, tables = np.empty(0), 1
+    while bits:
+        medians = np.median(sample @ lines(dimension, TABLES * bits, 0), axis=0)
         whole = Plan(threshold, bits, TABLES, medians, 0)
-        met = whole.cells(sample) == whole.cells(partners)
-        found = np.maximum.accumulate(met, axis=1).mean(axis=0)
-        tables = int(min(np.searchsorted(found, RECALL) + 1, TABLES))
+        found = [np.maximum.accumulate(whole.cells(a) == whole.cells(b), axis=1).mean(axis=0) for a, b in pairs]
+        tables = int(np.searchsorted(np.minimum.reduce(found), RECALL)) + 1
+        if tables <= TABLES:
+            break
+        bits, tables = bits - 1, 1
+    medians = medians if bits else np.empty(0)
     half = Plan(threshold, bits, tables, medians, 0).half_window
-    near = np.abs((sample - partners) @ lines(dimension, LINES, 1)) <= half
-    least = int(np.quantile(near.sum(axis=1), 1 - RECALL, method="lower"))
-    return Plan(threshold, bits, tables, medians, least)
+    cast = lines(dimension, LINES, 1)
+    counts = [(np.abs((a - b) @ cast) <= half).sum(axis=1) for a, b in pairs]
+    return Plan(threshold, bits, tables, medians, int(min(np.quantile(c, 1 - RECALL, method="lower") for c in counts)))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

@@ -1,0 +1,83 @@
+import random
+
+from skyledger.llm import chat
+
+TURNS = "pair_id long, turn long, role string, text string"
+
+
+def rendered(turns):
+    text, spans = "", []
+    for role, said in turns:
+        text += f"<|im_start|>{role or ''}\n"
+        start = len(text)
+        text += (said or "") + "<|im_end|>"
+        if role == "assistant":
+            spans.append((start, len(text)))
+        text += "\n"
+    return text, spans
+
+
+def wanted(pair, chosen, rejected):
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    prompt, _ = rendered(chosen[:n])
+    return (pair, prompt, n, *rendered(chosen[n:]), len(chosen) - n, *rendered(rejected[n:]), len(rejected) - n)
+
+
+def got(result):
+    span = lambda mask: [(s["start"], s["end"]) for s in mask]
+    return [
+        (r["pair_id"], r["prompt"], r["n_prompt_turns"], r["chosen"], span(r["chosen_mask"]), r["n_chosen_turns"], r["rejected"], span(r["rejected_mask"]), r["n_rejected_turns"])
+        for r in result.collect()
+    ]
+
+
+def test_against_brute_force(spark):
+    random.seed(1)
+    turn = lambda: (random.choice(["system", "user", "assistant", "assistant", None]), random.choice(["Yes.", "No é𝒜", "", None, "<|im_end|>\n"]))
+    pairs = {}
+    for pair in range(150):
+        chosen = [turn() for _ in range(random.randint(0, 7))]
+        rejected = chosen[: random.randint(0, len(chosen))] + [turn() for _ in range(random.randint(0, 4))]
+        if chosen or rejected:
+            pairs[pair] = (chosen, rejected)
+    frames = []
+    for side in (0, 1):
+        rows = [(p, 3 * t, *said) for p, sides in pairs.items() for t, said in enumerate(sides[side])]
+        random.shuffle(rows)
+        frames.append(spark.createDataFrame(rows + [(None, 1, "user", "lost")], TURNS).selectExpr("*", "1 as place", "'x' as side", "2 as pair", "3 as split"))
+    assert sorted(got(chat.preference_pairs(*frames))) == sorted(wanted(p, *sides) for p, sides in pairs.items())
+
+
+def test_ties_and_null_turns(spark):
+    rows = [(1, None, "user", "b"), (1, None, "user", "a"), (1, 5, "assistant", "c"), (1, 5, "assistant", "c")]
+    same = spark.createDataFrame(rows, TURNS)
+    assert got(chat.preference_pairs(same, same)) == [wanted(1, *[[("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c")]] * 2)]
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], TURNS)
+    one = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
+    assert got(chat.preference_pairs(none, none)) == []
+    assert got(chat.preference_pairs(none, one)) == [wanted(1, [], [("user", "a")])]
+    assert got(chat.preference_pairs(one, none)) == [wanted(1, [("user", "a")], [])]
+
+
+def test_degraded(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "abc"), (0, 2, "user", "r"), (0, 3, "assistant", "def"),
+            (1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "r"), (1, 3, "assistant", "def"),
+            (2, 0, "user", "q"), (None, 0, "user", "x")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chosen, rejected = chat.degraded(conversations)
+    assert sorted(map(str, map(tuple, chosen.collect()))) == sorted(map(str, rows))
+    assert sorted(map(tuple, rejected.filter("pair_id is not null").collect())) == [
+        (0, 0, "user", "q"), (0, 1, "assistant", "cba"),
+        (1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "r"), (1, 3, "assistant", "fed"), (2, 0, "user", "q"),
+    ]
+
+
+def test_no_python_on_the_way(spark):
+    one = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
+    plan = chat.preference_pairs(one, one)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -1,0 +1,86 @@
+import random
+import zlib
+
+import pytest
+
+from skyledger.llm import language
+
+SOUNDS = {"xx": "ka lo mi tu re no", "yy": "sch ung eit pfa bru dor", "zz": "ção nho lha ões vel mar"}
+
+
+def corpus(n=300):
+    random.seed(6)
+    rows = []
+    for i in range(n):
+        lang = random.choice([*SOUNDS])
+        words = ["".join(random.choices(SOUNDS[lang].split(), k=random.randint(1, 3))) for _ in range(random.randint(8, 60))]
+        rows.append((i, random.choice([" ", ", "]).join(words).upper() if i % 5 else " ".join(words), lang))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def profiles(spark):
+    return language.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+
+
+def test_held_out_documents(clashing, profiles):
+    rows = corpus()
+    got = {r["doc_id"]: r for r in language.identify(clashing(*rows), profiles).collect()}
+    for i, _, lang in rows:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= got[i]["score"] <= 1
+    held = [(got[i]["lang_pred"], lang) for i, _, lang in rows if got[i]["held_out"]]
+    assert len(held) > 30 and sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_held_out_documents_are_not_learned_from(spark):
+    rows = [(i, t, l) if zlib.crc32(str(i).encode()) % 5 else (i, "qqq qqq", "ww") for i, t, l in corpus()]
+    rows += [(None, "www", "nn"), (100_001, None, "mm"), (100_002, "vvv", None)]
+    fitted = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.languages == sorted(SOUNDS)
+
+
+def test_a_sample_is_enough(spark, profiles):
+    docs = spark.createDataFrame(corpus(1500), "doc_id long, text string, lang string")
+    small = language.fit(docs, sample=40)
+    right = [small.nearest(t)[0] == lang for _, t, lang in corpus(200)]
+    assert sum(right) >= 190
+
+
+def test_cases(documents, profiles):
+    rows = [(1, None), (2, ""), (3, "12 % \n"), (None, "ka lo"), (None, "ka lo"), (4, "ka" * 200_000), (5, "привет мир"), (6, "ẞ İ")]
+    got = sorted(((r["doc_id"], r["lang_pred"], r["held_out"]) for r in language.identify(documents(*rows), profiles).collect()), key=str)
+    known = {i: p for i, p, _ in got}
+    assert [known[i] for i in (1, 2, 3, 4)] == ["und", "und", "und", "xx"]
+    assert [g for g in got if g[0] is None] == [(None, "xx", True)] * 2
+    kept = language.in_known_language(documents(*rows), profiles, 0.02)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r["doc_id"] for r in kept.collect()} & {1, 2, 3, 4, 5} == {4}
+
+
+def test_ngrams():
+    codes, counts = language.ngrams("A-ba")
+    point = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    want = {"a": 2, "b": 1, " a": 1, "a ": 2, " b": 1, "ba": 1, " a ": 1, " ba": 1, "ba ": 1}
+    assert dict(zip(codes.tolist(), counts.tolist())) == {point(k): v for k, v in want.items()}
+
+
+def test_distance():
+    """Places apart, and a full profile for what is missing."""
+    import numpy as np
+
+    codes, _ = language.ngrams("ab")
+    order = [int(c) for c in codes[np.lexsort((codes, -language.ngrams("ab")[1]))]]
+    ranks = np.full((2, len(codes)), language.RANKS)
+    for rank, code in enumerate(reversed(order[1:])):
+        ranks[0, np.searchsorted(codes, code)] = rank
+    fitted = language.Profiles(["one", "two"], codes, ranks)
+    apart = language.RANKS + sum(abs(place - (len(order) - 1 - place)) for place in range(1, len(order)))
+    assert fitted.nearest("ab") == ("one", 1 - apart / (language.RANKS * len(order)))
+
+
+def test_nothing_to_learn_from(documents):
+    empty = documents()
+    assert language.identify(empty, language.fit(empty)).collect() == []
+    unlabelled = documents((1, "some text", None))
+    assert [tuple(r) for r in language.identify(unlabelled, language.fit(unlabelled)).select("lang_pred", "score").collect()] == [("und", 0.0)]
