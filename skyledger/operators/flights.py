@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.delays import gold_category, total_delay, warehouse_category
 from skyledger.functions.keys import route_key, row_hash, surrogate_key
 from skyledger.operators.dimensions import lookup
-from skyledger.schemas import FLIGHT_COLUMNS, SILVER_FLIGHTS, STAR_FLIGHTS
+from skyledger.schemas import BROKEN_LINE, FLIGHT_COLUMNS, SILVER_FLIGHTS, STAR_FLIGHTS
 
 FLIGHT_KEY = ("carrier_code", "flight_number", "flight_date", "origin_airport", "dest_airport")
 
@@ -30,8 +30,8 @@ def parse_flights(
     """Type the text columns of flight files.
 
     `rename` maps file headers to silver names.  A cell whose text does not parse becomes NULL and
-    its column name is listed in `rejected_columns`, so that bad rows can be split off and counted.
-    Flags may be words or numbers such as 1.00.
+    its column name is listed in `rejected_columns`, so that bad rows can be split off and counted; a
+    line with a wrong number of cells lists `BROKEN_LINE`.  Flags may be words or numbers such as 1.00.
     """
     named = raw.withColumnsRenamed(dict(rename or {}))
     typed = []
@@ -50,6 +50,8 @@ def parse_flights(
             value = text.try_cast(kind)
         typed.append(value.alias(name))
         faults.append(F.when(text.isNotNull() & value.isNull(), F.lit(name)))
+    if BROKEN_LINE in raw.columns:
+        faults.append(F.when(F.col(BROKEN_LINE).isNotNull(), F.lit(BROKEN_LINE)))
     return named.select(*typed, F.array_compact(F.array(*faults)).alias("rejected_columns"))
 
 

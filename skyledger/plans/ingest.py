@@ -14,16 +14,19 @@ from skyledger.operators.flights import accepted, parse_flights, rejected, stamp
 from skyledger.operators.loading import is_loaded
 from skyledger.operators.quality import load_measures
 from skyledger.plans.runs import SUCCESS, logged
-from skyledger.schemas import FLIGHT_COLUMNS, RUN_LOG, SILVER_FLIGHTS, STAGED_FLIGHTS
-from skyledger.sources.payloads import explode_state_vectors, position_records, stamped_lines
+from skyledger.schemas import FLIGHT_COLUMNS, REJECTED_PAYLOADS, RUN_LOG, SILVER_FLIGHTS, STAGED_FLIGHTS
+from skyledger.sources.payloads import explode_state_vectors, position_records, rejected_payloads, stamped_lines
+from skyledger.sources.stores import exists
 from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
-from skyledger.sources.writers import Written, land_lines, replace_table, write_by_date
+from skyledger.sources.writers import Written, append_table, land_lines, replace_table, write_by_date
+from skyledger.streaming.positions import OLDEST_FILE
 
 # Folder names.
 POSITIONS = "fr24"
 STATES = "opensky"
 FLIGHTS = "bts"
 STAGED = "raw_bts_flights"
+REJECTED = "rejected"
 
 # The staging folder of one month, without the columns of its path.
 _PARSED = T.StructType(STAGED_FLIGHTS.fields[:-2])
@@ -38,16 +41,40 @@ class LoadReport:
 
 
 def land_positions(responses: DataFrame, bronze: str) -> Written:
-    """Position responses to NDJSON below `<bronze>/fr24/year=/month=/day=`."""
-    return land_lines(stamped_lines(position_records(responses)), f"{bronze}/{POSITIONS}")
+    """Position responses to NDJSON below `<bronze>/fr24/year=/month=/day=`.
+
+    What is no response or no record goes to `<bronze>/rejected/fr24` and is counted as `rejected`.
+    """
+    landed = land_lines(stamped_lines(position_records(responses)), f"{bronze}/{POSITIONS}")
+    return _with_rejects(landed, rejected_payloads(responses), f"{bronze}/{REJECTED}/{POSITIONS}")
 
 
 def land_state_vectors(responses: DataFrame, bronze: str) -> Written:
-    """State-vector responses to NDJSON below `<bronze>/opensky/year=/month=/day=`."""
+    """State-vector responses to NDJSON below `<bronze>/opensky/year=/month=/day=`; rejects as above."""
     records = explode_state_vectors(responses, keep=["polled_at"])
     whole = F.struct(*[c for c in records.columns if c != "polled_at"])
     text = F.to_json(whole, {"ignoreNullFields": "false"})
-    return land_lines(records.select(text.alias("value"), "polled_at"), f"{bronze}/{STATES}")
+    landed = land_lines(records.select(text.alias("value"), "polled_at"), f"{bronze}/{STATES}")
+    return _with_rejects(landed, rejected_payloads(responses, "states", False), f"{bronze}/{REJECTED}/{STATES}")
+
+
+def _with_rejects(landed: Written, rejects: DataFrame, path: str) -> Written:
+    refused = 0 if rejects.isEmpty() else append_table(rejects, path).rows
+    return Written(landed.path, landed.rows, {"rejected": refused})
+
+
+def stream_rejects(spark: SparkSession, bronze: str, table: str, checkpoint: str) -> int:
+    """Add the rejected payloads of positions that arrived since the last run to a table; how many."""
+    path = f"{bronze}/{REJECTED}/{POSITIONS}"
+    if not exists(spark, path):
+        return 0
+    counts = []
+    arriving = spark.readStream.schema(REJECTED_PAYLOADS).option("maxFileAge", OLDEST_FILE).parquet(path)
+    load = lambda batch, number: counts.append(replace_table(batch, f"{table}/batch={number}").rows)
+    arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return sum(counts)
 
 
 def load_month(
@@ -92,6 +119,14 @@ def load_month(
     return LoadReport("success", loaded.rows, rejects, figures["avg_delay"])
 
 
+def months_loaded(spark: SparkSession, silver: str, since: dt.datetime) -> list[dt.date]:
+    """First days of the months that `load_month` wrote from `since` on, by its log."""
+    log = read_table_or_empty(spark, f"{silver}/load_log", RUN_LOG)
+    done = log.filter((F.col("pipeline_status") == SUCCESS) & (F.col("run_timestamp") >= F.lit(since)))
+    names = [r["source"].removeprefix(f"{FLIGHTS}-") for r in done.select("source").distinct().collect()]
+    return sorted(dt.date(int(name[:4]), int(name[5:]), 1) for name in names)
+
+
 def _in_month(parsed: DataFrame, year: int, month: int) -> DataFrame:
     """Count a date outside the month as a fault: silver is written in whole dates of the month."""
     inside = (F.year("flight_date") == year) & (F.month("flight_date") == month)

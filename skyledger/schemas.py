@@ -39,6 +39,9 @@ SILVER_FLIGHTS = struct(
 # What a flight file delivers: the silver columns before hash and stamp are added.
 FLIGHT_COLUMNS = [n for n in SILVER_FLIGHTS.names if n not in ("row_hash", "ingestion_timestamp")]
 
+# Where readers put a line that does not fit.
+BROKEN_LINE = "broken_line"
+
 # Parsed flight files by month, with the columns whose text did not parse.
 STAGED_FLIGHTS = T.StructType(
     [SILVER_FLIGHTS[n] for n in FLIGHT_COLUMNS]
@@ -82,6 +85,9 @@ FACT_POSITIONS = struct(
        position_date DATE"""
 )
 
+# What could not be landed.
+REJECTED_PAYLOADS = struct("payload STRING, polled_at TIMESTAMP, reason STRING")
+
 DIM_DATE = struct(
     """date_sk STRING, full_date DATE, year INT, month INT, day_of_month INT,
        day_name STRING, month_name STRING, quarter INT, is_weekend BOOLEAN"""

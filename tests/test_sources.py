@@ -4,9 +4,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from skyledger.operators.flights import fact_flights
+from skyledger.operators.flights import accepted, fact_flights, parse_flights, rejected
 from skyledger.schemas import FACT_FLIGHTS, FLIGHT_COLUMNS, SILVER_FLIGHTS
 from skyledger.session import work_folder
+from skyledger.sources.stores import exists, folders, remove
 from skyledger.sources.tables import (
     lies_by_day,
     read_flight_files,
@@ -108,6 +109,19 @@ def test_replacing_dates_keeps_the_others(month, spark, tmp_path):
     assert read_table(spark, path, SILVER_FLIGHTS).count() == 40
 
 
+def test_rebuilt_dates_without_rows_lose_their_folder(month, spark, tmp_path):
+    path = str(tmp_path)
+    undated = month.limit(5).withColumn("flight_date", F.lit(None).cast("date"))
+    write_by_date(month.unionByName(undated), path, "flight_date")
+    part = month.filter("flight_date = '2024-01-02'")
+    done = write_by_date(
+        part, path, "flight_date", rebuilt=[dt.date(2024, 1, d) for d in (1, 2, 3)] + [None, dt.date(1999, 1, 1)],
+        measures={"last": F.max("flight_number")},
+    )
+    assert set(done.measures) == {"last"}
+    assert days(tmp_path) == ["2024-01-02"] + [f"2024-01-{d:02d}" for d in range(4, 32)]
+
+
 def test_no_rows_write_no_dates(month, spark, tmp_path):
     done = write_by_date(month.limit(0), str(tmp_path), "flight_date")
     assert done.rows == 0
@@ -120,7 +134,7 @@ def test_a_table_by_date_is_rewritten_without_shuffle(month, spark, tmp_path):
 
     write_by_date(month, f"{tmp_path}/in", "flight_date")
     table = read_table(spark, f"{tmp_path}/in", SILVER_FLIGHTS)
-    assert lies_by_day(table, "flight_date")
+    assert lies_by_day(spark, f"{tmp_path}/in", "flight_date")
     facts = fact_flights(table)
     done = write_by_date(facts, f"{tmp_path}/out", "flight_date", ["carrier_code", "flight_number"], gathered=True)
     assert done.rows == 3100
@@ -135,9 +149,12 @@ def test_a_table_by_date_is_rewritten_without_shuffle(month, spark, tmp_path):
 
 def test_plain_tables_do_not_lie_by_day(month, spark, tmp_path):
     month.write.parquet(f"{tmp_path}/flat")
-    assert not lies_by_day(read_table(spark, f"{tmp_path}/flat", SILVER_FLIGHTS), "flight_date")
+    assert not lies_by_day(spark, f"{tmp_path}/flat", "flight_date")
     seed_table(spark, f"{tmp_path}/seed", SILVER_FLIGHTS)
-    assert not lies_by_day(read_table(spark, f"{tmp_path}/seed", SILVER_FLIGHTS), "flight_date")
+    assert not lies_by_day(spark, f"{tmp_path}/seed", "flight_date")
+    write_by_date(month, f"{tmp_path}/mixed", "flight_date")
+    (tmp_path / "mixed" / "other=1").mkdir()
+    assert not lies_by_day(spark, f"{tmp_path}/mixed", "flight_date")
 
 
 def test_a_hot_date_is_cut_into_files(month, spark, tmp_path):
@@ -200,6 +217,44 @@ def test_csv_layout_is_checked(spark, tmp_path):
         read_flight_files(spark, str(tmp_path)).collect()
 
 
+def test_ragged_lines_are_rejected(spark, tmp_path):
+    """Too few cells or too many: the line is kept whole and does not reach silver."""
+    width = len(FLIGHT_COLUMNS)
+    good = "2024-01-15," + "," * (width - 2)
+    lines = [",".join(FLIGHT_COLUMNS), good, "2024-01-15,AA,N1", good + ",surplus", good + ","]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    parsed = parse_flights(read_flight_files(spark, str(tmp_path)))
+    assert accepted(parsed).count() == 1
+    assert [r["rejected_columns"] for r in rejected(parsed).collect()] == [["broken_line"]] * 3
+    whole = read_flight_files(spark, str(tmp_path))
+    assert {r["broken_line"] for r in whole.collect()} == {None, *lines[2:]}
+
+
+def test_work_is_cleared(spark, tmp_path):
+    path = work_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert exists(spark, path)
+    root = path.rpartition("/")[0]
+    assert root.endswith(f"/skyledger/{spark.sparkContext.applicationId}")
+    assert remove(spark, path) and not exists(spark, path) and not remove(spark, path)
+    assert folders(spark, f"{tmp_path}/nowhere") == []
+
+
+def test_only_one_machine_falls_back_to_a_folder_of_its_own(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        def __init__(self, master):
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "app"})
+
+    assert "/skyledger/app/x-" in work_folder(Session("local[8]"), "x")
+    assert "/skyledger/app/x-" in work_folder(Session("local[2,4]"), "x")
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_folder(Session(master), "x")
+
+
 def test_work_folder_is_below_the_shared_folder(spark):
     one, two = work_folder(spark, "x"), work_folder(spark, "x")
     assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
