@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.flights import fact_flights
+from skyledger.operators.loading import days_of, on_days
 from skyledger.operators.marts import route_performance
 from skyledger.schemas import SILVER_FLIGHTS
 from skyledger.sources.tables import lies_by_day, read_table
@@ -19,9 +20,6 @@ log = logging.getLogger(__name__)
 FLIGHT_CLUSTER = ["carrier_code", "origin_airport"]
 ROUTE_CLUSTER = ["origin_airport", "dest_airport"]
 
-# More touched days than this are matched by a semi join instead of a literal list.
-LISTED_DAYS = 1000
-
 
 def build_fact_flights(
     spark: SparkSession, run_date: str, silver: str, gold: str, only_run_date: bool = False
@@ -32,8 +30,9 @@ def build_fact_flights(
     If silver has a folder per date, nothing is shuffled.
     """
     flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
+    rebuilt = [parse_day(run_date)] if only_run_date else []
     if only_run_date:
-        flights = flights.filter(F.col("flight_date") == parse_day(run_date))
+        flights = flights.filter(F.col("flight_date") == rebuilt[0])
     mode = "replace_dates" if only_run_date else "replace_all"
     done = write_by_date(
         fact_flights(flights),
@@ -41,7 +40,8 @@ def build_fact_flights(
         "flight_date",
         FLIGHT_CLUSTER,
         mode,
-        gathered=lies_by_day(flights, "flight_date"),
+        gathered=lies_by_day(spark, f"{silver}/bts", "flight_date"),
+        rebuilt=rebuilt,
     )
     log.info("fact_flights: %s rows", f"{done.rows:,}")
     return done.rows
@@ -52,34 +52,21 @@ def build_route_aggregates(
 ) -> int:
     """Write `<gold>/mart_route_performance` from `<silver>/bts` and return the rows written.
 
-    `touched` (one column `flight_date`) restricts the refresh to days that changed.
+    `touched` (one column `flight_date`) restricts the refresh to days that changed; a day that has no
+    flights for the mart any more loses its rows.
     """
     flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
+    days = [] if touched is None else days_of(touched, "flight_date")
     if touched is not None:
-        flights = on_days(flights, touched)
+        flights = on_days(flights, days, "flight_date")
     mode = "replace_all" if touched is None else "replace_dates"
     mart = route_performance(flights, "day")
-    done = write_by_date(mart, f"{gold}/mart_route_performance", "flight_date", ROUTE_CLUSTER, mode)
+    path = f"{gold}/mart_route_performance"
+    done = write_by_date(mart, path, "flight_date", ROUTE_CLUSTER, mode, rebuilt=days)
     log.info("mart_route_performance: %s rows", f"{done.rows:,}")
     return done.rows
 
 
-def on_days(flights: DataFrame, touched: DataFrame, period: str | None = None) -> DataFrame:
-    """Flights of the touched days, or of the whole `period` ("month") around each of them.
-
-    A literal list prunes partitions; a list too long for that becomes a semi join.  Flights without a
-    date count as a day of their own.
-    """
-    day = F.col("flight_date")
-    unit = F.trunc(day, period) if period else day
-    days = touched.select(unit.alias("_unit")).distinct()
-    listed = [row[0] for row in days.limit(LISTED_DAYS + 1).collect()]
-    if len(listed) > LISTED_DAYS:
-        return flights.join(days, unit.eqNullSafe(F.col("_unit")), "left_semi")
-    chosen = unit.isin([d for d in listed if d is not None])
-    return flights.filter(chosen | unit.isNull() if None in listed else chosen)
-
-
 def silver_to_gold(
     spark: SparkSession, run_date: str, silver: str, gold: str, only_run_date: bool = False
 ) -> dict[str, int]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.times import utc_date
 from skyledger.session import work_folder
+from skyledger.sources.stores import NO_VALUE, remove_days
 
 # Keeps the files of a large date at a size that several tasks can read.
 ROWS_PER_FILE = 5_000_000
@@ -33,22 +35,26 @@ def write_by_date(
     mode: str = "replace_dates",
     measures: Mapping[str, Column] | None = None,
     gathered: bool = False,
+    rebuilt: Iterable[dt.date | None] = (),
 ) -> Written:
     """Write one folder per date, rows sorted by `cluster_by` for row-group skipping.
 
     `mode`: "replace_dates" rewrites only the dates that occur in `rows`, "replace_all" the table,
-    "append" adds files.
+    "append" adds files.  With "replace_dates", `rebuilt` names the dates that `rows` were made for:
+    those without rows lose the folder that an earlier run wrote.
 
     The rebalance hint gives each date to one task as long as it is small and lets adaptive
     execution cut a date that is not.  With `gathered` there is no shuffle: the rows come unshuffled
-    from a table with a folder per date, so each task holds few dates and no more files are written
-    than were read.
+    from a table with a folder per date, so a task holds few dates; of a large file that several tasks
+    read, each writes a file of its own.
 
     The count sits in the stage that writes: there a task's figures are taken once, also when
     executors are lost and tasks run again.
     """
     placed = rows if gathered else rows.hint("rebalance", day)
-    counted, seen = _counted(placed, measures)
+    days = list(rebuilt)
+    written = {"_days": F.collect_set(F.coalesce(F.col(day).cast("string"), F.lit(NO_VALUE)))} if days else {}
+    counted, seen = _counted(placed, {**(measures or {}), **written})
     ordered = counted.sortWithinPartitions(day, *cluster_by)
     save = "append" if mode == "append" else "overwrite"
     overwrite = "static" if mode == "replace_all" else "dynamic"
@@ -59,6 +65,9 @@ def write_by_date(
         .partitionBy(day)
         .parquet(path)
     )
+    if days:
+        full = set(seen.get["_days"] or ())
+        remove_days(rows.sparkSession, path, day, [d for d in days if (NO_VALUE if d is None else d.isoformat()) not in full])
     return _report(path, seen)
 
 
@@ -110,6 +119,12 @@ def write_flight_files(flights: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+def append_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Add files of text lines below a header to a folder of CSV files."""
+    first = lines.sparkSession.createDataFrame([(header,)], "value string")
+    first.unionByName(lines).coalesce(1).write.mode("append").text(path)
+
+
 def _counted(rows: DataFrame, measures: Mapping[str, Column] | None) -> tuple[DataFrame, Observation]:
     seen = Observation()
     extra = [column.alias(name) for name, column in (measures or {}).items()]
@@ -118,4 +133,5 @@ def _counted(rows: DataFrame, measures: Mapping[str, Column] | None) -> tuple[Da
 
 def _report(path: str, seen: Observation) -> Written:
     figures = dict(seen.get)
+    figures.pop("_days", None)
     return Written(path, figures.pop("rows"), figures)

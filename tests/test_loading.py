@@ -1,5 +1,6 @@
 import contextlib
 import datetime as dt
+import hmac
 import io
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators.loading import (
-    day_span,
+    days_of,
     drop_copies,
     expired_days,
     is_loaded,
@@ -32,11 +33,11 @@ def keyed(spark, *rows):
     return spark.createDataFrame(list(rows), "k string, day date, v int")
 
 
-@pytest.mark.parametrize("span", [None, (JAN, FEB)], ids=["looked up", "given"])
-def test_only_new(spark, span):
+@pytest.mark.parametrize("days", [None, [JAN, FEB, None]], ids=["looked up", "given"])
+def test_only_new(spark, days):
     target = keyed(spark, ("a", JAN, 1), ("b", FEB, 1), ("n", None, 1), ("x", dt.date(2020, 1, 1), 1))
     source = keyed(spark, ("a", JAN, 9), ("c", FEB, 3), ("c", FEB, 3), ("d", JAN, 2), ("n", None, 9), ("m", None, 4))
-    got = only_new(source, target, "k", "day", span)
+    got = only_new(source, target, "k", "day", days)
     assert got.columns == source.columns
     assert sorted(got.collect(), key=str) == sorted(
         [("c", FEB, 3), ("c", FEB, 3), ("d", JAN, 2), ("m", None, 4)], key=lambda r: str(keyed(spark, r).first())
@@ -46,9 +47,9 @@ def test_only_new(spark, span):
 def test_only_new_without_days(spark):
     source = keyed(spark, ("a", None, 1), ("b", None, 2))
     target = keyed(spark, ("a", None, 1), ("c", JAN, 1))
-    assert day_span(source, "day") == (None, None)
-    for span in (None, (None, None)):
-        assert [r["k"] for r in only_new(source, target, "k", "day", span).collect()] == ["b"]
+    assert days_of(source, "day") == [None]
+    for days in (None, [None]):
+        assert [r["k"] for r in only_new(source, target, "k", "day", days).collect()] == ["b"]
 
 
 def test_only_new_into_empty(spark):
@@ -63,7 +64,7 @@ def test_copies_and_anti_join_share_one_shuffle(spark, tmp_path):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        fresh = only_new(drop_copies(rows, "k"), rows.filter("v = 2"), "k", "day", (JAN, FEB))
+        fresh = only_new(drop_copies(rows, "k"), rows.filter("v = 2"), "k", "day", [JAN, FEB])
         plan = fresh._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 2
         assert [tuple(r) for r in fresh.collect()] == [("a", JAN, 1)]
@@ -80,9 +81,9 @@ def test_target_is_pruned_by_the_batch(spark, tmp_path):
     assert fresh.count() == 0
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
-    assert "FileScan parquet [k#" in scan and "Subquery" in scan.split("PushedFilters")[0]
+    assert "FileScan parquet [k#" in scan and "2024-01-05" in scan.split("PushedFilters")[0]
     # Only the folder of the batch's day is read.
-    given = only_new(batch, target, "k", "day", day_span(batch, "day")).explain
+    given = only_new(batch, target, "k", "day", days_of(batch, "day")).explain
     buffer = io.StringIO()
     with contextlib.redirect_stdout(buffer):
         given("formatted")
@@ -95,7 +96,7 @@ def test_hot_key_is_split_in_the_anti_join(spark, tiny_partitions):
     wide = F.sha2(F.col("id").cast("string"), 256)
     source = spark.range(90_000).repartition(12).select(hot.alias("k"), F.lit(JAN).alias("day"), wide.alias("v"))
     target = spark.range(30_000).select((F.col("id") * 3 + 1).cast("string").alias("k"), F.lit(JAN).alias("day"))
-    fresh = only_new(source, target, "k", "day", (JAN, JAN))
+    fresh = only_new(source, target, "k", "day", [JAN])
     rows = fresh.collect()
     assert len(rows) == 60_000 and sum(r["k"] == "hot" for r in rows) == 30_000
     assert "skew=true" in fresh._jdf.queryExecution().executedPlan().toString()
@@ -116,6 +117,8 @@ def test_retention(spark):
     run = JAN + dt.timedelta(366)
     assert [tuple(r) for r in expired_days(rows, "day", run).collect()] == [(JAN, 2)]
     assert retained(rows, "day", run).count() == 1
+    # A row without a day is not too old.
+    assert retained(keyed(spark, ("n", None, 1), ("a", JAN, 1)), "day", run).collect()[0]["k"] == "n"
 
 
 RULES = {"positive": "v > 0", "known": "v IS NOT NULL"}
@@ -159,3 +162,10 @@ def test_masking(spark):
     got = {r["n"]: r["tail_number"] for r in masked(rows).collect()}
     assert len(got[1]) == 64 and got[2] is None
     assert masked(rows, hide=True).columns == ["n"]
+
+
+@pytest.mark.parametrize("key", ["secret", "k" * 100])
+def test_keyed_masking(spark, key):
+    rows = spark.createDataFrame([("N1é", 1), (None, 2)], "tail_number string, n int")
+    got = {r["n"]: r["tail_number"] for r in masked(rows, key=key).collect()}
+    assert got == {1: hmac.new(key.encode(), "N1é".encode(), "sha256").hexdigest(), 2: None}

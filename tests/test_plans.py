@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from skyledger.operators.flights import fact_flights
 from skyledger.operators.marts import carrier_daily, delay_analysis, route_overview, route_parts, route_performance
 from skyledger.plans import warehouse
-from skyledger.plans.gold import build_route_aggregates, on_days, silver_to_gold
-from skyledger.plans.ingest import land_positions, load_month, rejected_flights
+from skyledger.operators.loading import days_of, on_days
+from skyledger.plans.gold import build_route_aggregates, silver_to_gold
+from skyledger.plans.ingest import land_positions, load_month, months_loaded, rejected_flights
+from skyledger.plans.retention import drop_expired
 from skyledger.plans.warehouse import (
     LateSnapshot,
     merge_dimension,
@@ -92,10 +94,10 @@ def test_mart_refresh_of_touched_days(spark, silver_of, tmp_path):
 @pytest.mark.parametrize("listed", [1000, 0], ids=["list", "semi join"])
 @pytest.mark.parametrize("period", [None, "month"])
 def test_on_days(spark, silver_of, monkeypatch, listed, period):
-    monkeypatch.setattr("skyledger.plans.gold.LISTED_DAYS", listed)
+    monkeypatch.setattr("skyledger.operators.loading.LISTED_DAYS", listed)
     flights = some_flights(silver_of, 0, 60)  # 30 and 31 January, 1 and 2 February
     touched = spark.createDataFrame([(DAY,), (DAY,)], "flight_date date")
-    got = on_days(flights, touched, period)
+    got = on_days(flights, days_of(touched, "flight_date", period), "flight_date", period)
     assert got.columns == SILVER_FLIGHTS.names
     found = {r[0] for r in got.select("flight_date").distinct().collect()}
     assert found == ({DAY} if period is None else {DAY, DAY + dt.timedelta(1)})
@@ -103,20 +105,18 @@ def test_on_days(spark, silver_of, monkeypatch, listed, period):
 
 @pytest.mark.parametrize("listed", [1000, 0], ids=["list", "semi join"])
 def test_on_days_without_date(spark, silver_of, monkeypatch, listed):
-    monkeypatch.setattr("skyledger.plans.gold.LISTED_DAYS", listed)
+    monkeypatch.setattr("skyledger.operators.loading.LISTED_DAYS", listed)
     dateless = some_flights(silver_of, 900, 3).withColumn("flight_date", F.lit(None).cast("date"))
     flights = some_flights(silver_of, 0, 8).unionByName(dateless)
-    touched = spark.createDataFrame([(DAY,), (None,)], "flight_date date")
-    assert on_days(flights, touched).count() == 2 + 3
-    assert on_days(flights, touched.filter("flight_date IS NOT NULL")).count() == 2
-    assert on_days(flights, touched.limit(0)).count() == 0
+    assert on_days(flights, [DAY, None], "flight_date").count() == 2 + 3
+    assert on_days(flights, [DAY], "flight_date").count() == 2
+    assert on_days(flights, [], "flight_date").count() == 0
 
 
 def test_months_are_pruned(spark, silver_of, tmp_path):
     write_by_date(some_flights(silver_of, 0, 60), str(tmp_path), "flight_date")
     table = read_table(spark, str(tmp_path), SILVER_FLIGHTS)
-    touched = spark.createDataFrame([(DAY,)], "flight_date date")
-    plan = on_days(table, touched, "month")._jdf.queryExecution().executedPlan().toString()
+    plan = on_days(table, [DAY.replace(day=1)], "flight_date", "month")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(trunc(flight_date" in plan or "PartitionFilters: [isnotnull(flight_date" in plan
 
 
@@ -309,6 +309,97 @@ def test_refresh_after_a_broken_run(spark, silver_of, tmp_path, monkeypatch):
     assert [(r["total_rows_loaded"], r["pipeline_status"]) for r in log] == [(40, "failed"), (0, "success")]
 
 
+def test_the_same_run_again(spark, silver_of, tmp_path):
+    """A run repeated with its time, after more flights came to silver, refreshes the marts of all of them."""
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    write_calendar(spark, root)
+    source = carriers(spark, AA="Alpha", BB="Beta")
+    run = dt.datetime(2024, 3, 1, 6)
+    for first, n in ((0, 40), (500, 9)):
+        write_by_date(some_flights(silver_of, first, n), f"{silver}/bts", "flight_date", mode="append")
+        assert refresh(spark, silver, root, run, source, airports(spark)) == n
+        check_warehouse(spark, root, silver)
+    assert refresh(spark, silver, root, run, source, airports(spark)) == 0
+
+
+def test_a_day_without_flights_leaves_the_marts(spark, silver_of, tmp_path):
+    silver, gold = str(tmp_path / "silver"), str(tmp_path / "gold")
+    write_by_date(some_flights(silver_of, 0, 60), f"{silver}/bts", "flight_date")
+    silver_to_gold(spark, "20240130", silver, gold)
+    cancelled = some_flights(silver_of, 0, 60).filter(F.col("flight_date") == DAY).withColumn("is_cancelled", F.lit(True))
+    write_by_date(cancelled, f"{silver}/bts", "flight_date")
+    assert silver_to_gold(spark, "20240130", silver, gold, only_run_date=True)["mart_route_performance"] == 0
+    mart = read_table(spark, f"{gold}/mart_route_performance", ROUTE_PERFORMANCE)
+    assert rows_of(mart) == rows_of(route_performance(read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)))
+    assert mart.filter(F.col("flight_date") == DAY).count() == 0 < mart.count()
+
+
+def test_a_straggler_opens_its_day_only(spark, silver_of, tmp_path):
+    """One flight of long ago in a batch: the folders between are not read."""
+    write_by_date(some_flights(silver_of, 0, 60, days=40), str(tmp_path), "flight_date")
+    table = read_table(spark, str(tmp_path), SILVER_FLIGHTS)
+    batch = table.filter(F.col("flight_date").isin(DAY, DAY + dt.timedelta(39)))
+    known = on_days(table, days_of(batch, "flight_date"), "flight_date")
+    assert len(known.inputFiles()) > 30  # all of the table, before pruning
+    files = {r[0] for r in known.select("_metadata.file_path").distinct().collect()}
+    assert len(files) == 2
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2024-03-09" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_only_the_newest_state_is_read_and_old_ones_go(spark, tmp_path):
+    root = str(tmp_path)
+    names = ["a", "b", "c", "d"]
+    days = [DAY, DAY + dt.timedelta(5), DAY + dt.timedelta(40), DAY + dt.timedelta(80)]
+    for name, day in zip(names, days):
+        merge(spark, root, carriers(spark, AA=name), day)
+    state = read_dimension(spark, root, "dim_carrier", DIM_CARRIER)
+    assert {f.split("as_of=")[1][:10] for f in state.inputFiles()} == {days[-1].isoformat()}
+    kept = sorted(p.name for p in (tmp_path / "dim_carrier").iterdir())
+    assert kept == [f"as_of={d.isoformat()}" for d in days[2:]]
+    # A state whose write broke off is no state.
+    (tmp_path / "dim_carrier" / f"as_of={(days[-1] + dt.timedelta(1)).isoformat()}").mkdir()
+    assert read_dimension(spark, root, "dim_carrier", DIM_CARRIER).filter("is_current").first()["carrier_name"] == "d"
+
+
+def test_refresh_of_loaded_months(spark, tmp_path):
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    write_calendar(spark, root)
+    for month, at in ((1, dt.datetime(2024, 2, 2)), (2, dt.datetime(2024, 3, 2))):
+        load_month(spark, month_file(tmp_path / "in", [(f"2024-0{month}-05", "5")]), silver, 2024, month, at)
+    since = dt.datetime(2024, 3, 1)
+    assert months_loaded(spark, silver, since) == [dt.date(2024, 2, 1)]
+    assert months_loaded(spark, silver, dt.datetime(2024, 1, 1)) == [dt.date(2024, 1, 1), dt.date(2024, 2, 1)]
+    assert months_loaded(spark, str(tmp_path / "none"), since) == []
+    source = carriers(spark, AA="Alpha")
+    run = dt.datetime(2024, 3, 3)
+    months = months_loaded(spark, silver, since)
+    assert refresh(spark, silver, root, run, source, airports(spark), since=since, months=months) == 1
+    assert refresh(spark, silver, root, run, source, airports(spark)) == 1
+
+
+def test_retention_program(spark, silver_of, tmp_path):
+    silver, bronze, root = (str(tmp_path / n) for n in ("silver", "bronze", "dw"))
+    dateless = some_flights(silver_of, 900, 3).withColumn("flight_date", F.lit(None).cast("date"))
+    flights = some_flights(silver_of, 0, 60).unionByName(dateless)  # 30 and 31 January, 1 and 2 February
+    write_by_date(flights, f"{silver}/bts", "flight_date")
+    write_by_date(flights, f"{root}/fact_flights", "flight_date")
+    for day in (dt.datetime(2023, 12, 5), dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 31)):
+        responses = spark.createDataFrame([('{"data":[{"fr24_id":"a"}]}', day)], "payload string, polled_at timestamp")
+        land_positions(responses, bronze)
+    load_month(spark, month_file(tmp_path / "in", [("2023-12-05", "5")]), silver, 2023, 12, dt.datetime(2024, 1, 2))
+    run = dt.date(2024, 1, 31) + dt.timedelta(365)
+    gone = drop_expired(spark, run, silver, bronze, root)
+    named = sorted(g.removeprefix(f"{tmp_path}/") for g in gone)
+    assert named == [
+        "bronze/fr24/year=2023/month=12", "bronze/fr24/year=2024/month=01/day=30", "dw/fact_flights/flight_date=2024-01-30",
+        "silver/bts/flight_date=2023-12-05", "silver/bts/flight_date=2024-01-30", "silver/raw_bts_flights/year=2023/month=12",
+    ]
+    left = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
+    assert left.count() == 45 + 3 and left.filter("flight_date IS NULL").count() == 3
+    assert drop_expired(spark, run, silver, bronze, root) == []
+
+
 def test_command_line(spark, silver_of, tmp_path, monkeypatch):
     import skyledger.__main__ as cli
 
