@@ -207,6 +207,10 @@ CHECKS: dict[str, str] = {
  WHERE lat BETWEEN 49 AND 61.5 AND lon BETWEEN -8.5 AND 10.5""",
     "retention": f"""WITH {FLIGHTS} SELECT flight_date, count(*) AS expired_rows FROM flights
  WHERE flight_date < DATE '2000-09-01' - 365 GROUP BY flight_date""",
+    "retention_kept": f"""WITH {FLIGHTS}, dated AS (
+ SELECT CASE WHEN flight_number LIKE '%-1' THEN flight_date END AS flight_date FROM flights)
+SELECT flight_date, count(*) AS kept_rows FROM dated
+WHERE flight_date IS NULL OR flight_date >= DATE '2000-09-01' - 365 GROUP BY flight_date""",
     "fr24_explode": f"WITH {POLLED} SELECT * EXCLUDE (ts) FROM polled",
     "state_vectors": f"""WITH {EVENTS},
 v AS (
@@ -232,6 +236,10 @@ SELECT '{{"fr24_id":"' || fr24_id || '","hex":"' || hex || '","callsign":'
  CAST(vspeed AS DOUBLE) AS vertical_speed, on_ground, ts AS ingestion_timestamp FROM raw""",
     "positions": f"WITH {RAW} {_fact_positions('raw', 'on_ground')}",
     "positions_stream": f"WITH {POLLED} {_fact_positions('polled', 'CAST(NULL AS BOOLEAN)', 'SELECT DISTINCT')}",
+    "positions_late_files": f"WITH {POLLED} {_fact_positions('polled', 'CAST(NULL AS BOOLEAN)', 'SELECT DISTINCT')}",
+    "dq_rejects_positions": f"""WITH {EVENTS}
+SELECT 'no response' AS reason, 2 * count(*) AS rejects, count(DISTINCT ts) AS polls FROM e
+UNION ALL SELECT 'no object', 3 * count(*), count(DISTINCT ts) FROM e""",
     "fact_flights": f"WITH {FACTS} SELECT * FROM facts",
     "delay_category_gold": f"""WITH {FACTS} SELECT delay_category, is_cancelled, is_diverted, count(*) AS flights,
  min(total_delay_minutes) AS least_delay, max(total_delay_minutes) AS most_delay FROM facts GROUP BY ALL""",
@@ -318,6 +326,9 @@ FROM labelled JOIN airports o ON origin_airport = o.airport_code JOIN airports d
 GROUP BY ALL""",
     "mart_delay_analysis": f"WITH {_DELAY_ANALYSIS}",
     "mart_refresh": f"WITH {_DELAY_ANALYSIS}",
+    "warehouse_rerun": f"WITH {_DELAY_ANALYSIS}",
+    "gold_emptied_day": f"""WITH {FLIGHTS}, marts AS ({_ROUTES.format(period='flight_date, ')})
+SELECT * FROM marts WHERE year(flight_date) = 1997 AND flight_date <> DATE '1997-06-01'""",
 
     "daily_stats": f"""WITH {LABELLED} SELECT flight_date, count(*) AS total_flights,
  avg(arr_delay_minutes) AS avg_delay_minutes, count(*) FILTER (is_cancelled) AS cancelled_flights,

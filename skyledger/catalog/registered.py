@@ -21,11 +21,21 @@ from skyledger.operators import (
     quality,
     ranking,
 )
-from skyledger.schemas import DELAY_ANALYSIS, FACT_POSITIONS, FLIGHT_COLUMNS, RUN_LOG, SILVER_FLIGHTS
-from skyledger.plans.gold import on_days
-from skyledger.plans.ingest import land_positions
+from skyledger.schemas import (
+    BROKEN_LINE,
+    DELAY_ANALYSIS,
+    FACT_POSITIONS,
+    FLIGHT_COLUMNS,
+    REJECTED_PAYLOADS,
+    ROUTE_PERFORMANCE,
+    RUN_LOG,
+    SILVER_FLIGHTS,
+)
+from skyledger.plans import warehouse
+from skyledger.plans.gold import silver_to_gold
+from skyledger.plans.ingest import REJECTED, land_positions
 from skyledger.session import work_folder
-from skyledger.sources import payloads, tables, testbed, writers
+from skyledger.sources import payloads, stores, tables, testbed, writers
 from skyledger.streaming.positions import stream_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +47,8 @@ REFRESHED_UNTIL = dt.date(2001, 6, 15)
 BATCH_FROM = dt.date(2001, 1, 1)
 BATCH_UNTIL = dt.date(2002, 12, 31)
 RETENTION_RUN = dt.date(2000, 9, 1)
+EMPTIED = dt.date(1997, 6, 1)
+RERUN_AT = dt.datetime(2002, 1, 2, 6)
 REPORT_RUN = dt.date(2000, 9, 15)
 
 
@@ -66,8 +78,14 @@ def partition_scan(spark, folder):
 
 @query
 def csv_scan(spark, folder):
+    """The files also hold lines with too few and too many cells, which are rejected."""
     path = work_folder(spark, "flight_files")
-    writers.write_flight_files(testbed.flight_texts(spark, folder), path)
+    texts = testbed.flight_texts(spark, folder)
+    writers.write_flight_files(texts, path)
+    cells = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in texts.columns[:7]])
+    short = texts.select(cells.alias("value"))
+    long = short.select(F.concat("value", F.lit("," * len(texts.columns))).alias("value"))
+    writers.append_lines(short.unionByName(long), ",".join(texts.columns), path)
     parsed = flights.parse_flights(tables.read_flight_files(spark, path, FLIGHT_COLUMNS))
     return flights.accepted(parsed)
 
@@ -76,7 +94,8 @@ def csv_scan(spark, folder):
 def ndjson_scan(spark, folder):
     path = work_folder(spark, "landing")
     landed = land_positions(testbed.position_responses(spark, folder), path)
-    return tables.read_positions(spark, landed.path).drop("icao24", "on_ground")
+    read = tables.read_positions(spark, landed.path)
+    return read.filter(F.col(BROKEN_LINE).isNull()).drop("icao24", "on_ground", BROKEN_LINE)
 
 
 @query
@@ -89,6 +108,15 @@ def retention(spark, folder):
     return loading.expired_days(testbed.silver(spark, folder), "flight_date", RETENTION_RUN)
 
 
+@query
+def retention_kept(spark, folder):
+    """Flights of a day or of none, after retention."""
+    silver = testbed.silver(spark, folder)
+    day = F.when(F.col("flight_number").endswith("-1"), F.col("flight_date"))
+    kept = loading.retained(silver.withColumn("flight_date", day), "flight_date", RETENTION_RUN)
+    return kept.groupBy("flight_date").agg(F.count(F.lit(1)).alias("kept_rows"))
+
+
 # Feed responses and positions
 
 
@@ -130,6 +158,33 @@ def positions_stream(spark, folder):
     return tables.read_table(spark, f"{work}/facts", FACT_POSITIONS)
 
 
+@query
+def positions_late_files(spark, folder):
+    """Files that land later but are older than all before: ten days, and four hundred."""
+    work = work_folder(spark, "late")
+    responses = testbed.position_responses(spark, folder)
+    part = F.pmod(F.unix_seconds("polled_at"), F.lit(3))
+    for number, days in enumerate((0, 10, 400)):
+        landed = land_positions(responses.filter(part == number), f"{work}/{number}")
+        stores.set_age(spark, landed.path, days)
+        run = stream_positions(spark, work, f"{work}-facts", f"{work}-checkpoint")
+        run.awaitTermination()
+    return tables.read_table(spark, f"{work}-facts", FACT_POSITIONS)
+
+
+@query
+def dq_rejects_positions(spark, folder):
+    """Responses that are cut off or no JSON, and elements that are no objects, by reason."""
+    work = work_folder(spark, "rejects")
+    responses = testbed.position_responses(spark, folder)
+    cut = responses.select(F.expr("left(payload, length(payload) - 1)").alias("payload"), "polled_at")
+    other = responses.select(F.lit('{"data":["text",[1],{"fr24_id":"x"},null]}').alias("payload"), "polled_at")
+    page = responses.select(F.lit("<html>busy</html>").alias("payload"), "polled_at")
+    land_positions(responses.unionByName(cut).unionByName(other).unionByName(page), work)
+    refused = tables.read_table(spark, f"{work}/{REJECTED}/fr24", REJECTED_PAYLOADS)
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("rejects"), F.countDistinct("polled_at").alias("polls"))
+
+
 # Silver and facts
 
 
@@ -320,7 +375,8 @@ def incremental_load(spark, folder):
     facts = flights.fact_flights(testbed.silver(spark, folder))
     held = facts.filter(F.col("flight_date") < LOADED_UNTIL)
     batch = facts.filter(F.col("flight_date") >= BATCH_FROM)
-    fresh = loading.only_new(batch, held, "flight_surrogate_key", "flight_date", (BATCH_FROM, BATCH_UNTIL))
+    days = [BATCH_FROM + dt.timedelta(n) for n in range((BATCH_UNTIL - BATCH_FROM).days + 1)]
+    fresh = loading.only_new(batch, held, "flight_surrogate_key", "flight_date", days)
     return held.unionByName(fresh).select(*flights.FLIGHT_KEY, "flight_surrogate_key", "delay_category")
 
 
@@ -331,12 +387,42 @@ def mart_refresh(spark, folder):
     path = work_folder(spark, "mart")
     early = facts.filter(F.col("flight_date") < REFRESHED_UNTIL)
     writers.write_by_date(marts.delay_analysis(early), path, "flight_month", ["carrier_code"])
-    touched = facts.filter(F.col("flight_date") >= REFRESHED_UNTIL).select("flight_date")
-    again = marts.delay_analysis(on_days(facts, touched, "month"))
-    writers.write_by_date(again, path, "flight_month", ["carrier_code"], mode="replace_dates")
+    touched = loading.days_of(facts.filter(F.col("flight_date") >= REFRESHED_UNTIL), "flight_date", "month")
+    again = marts.delay_analysis(loading.on_days(facts, touched, "flight_date", "month"))
+    writers.write_by_date(again, path, "flight_month", ["carrier_code"], mode="replace_dates", rebuilt=touched)
     return tables.read_table(spark, path, DELAY_ANALYSIS)
 
 
+@query
+def warehouse_rerun(spark, folder):
+    """The same run twice, with more silver in between: the mart holds all flights."""
+    work = work_folder(spark, "warehouse")
+    silver = testbed.silver(spark, folder)
+    early = F.col("flight_date") < LOADED_UNTIL
+    warehouse.write_calendar(spark, f"{work}/dw", dt.date(1990, 1, 1), dt.date(2005, 12, 31))
+    carriers = dimensions.distinct_carriers(silver).withColumn("carrier_name", F.col("carrier_code"))
+    codes = silver.select(F.col("origin_airport").alias("airport_code")).distinct()
+    airports = codes.selectExpr("airport_code", "airport_code AS airport_name", "0D AS latitude", "0D AS longitude")
+    for part in (early, ~early):
+        writers.write_by_date(silver.filter(part), f"{work}/silver/bts", "flight_date")
+        warehouse.refresh(spark, f"{work}/silver", f"{work}/dw", RERUN_AT, carriers, airports)
+    return tables.read_table(spark, f"{work}/dw/mart_delay_analysis", DELAY_ANALYSIS)
+
+
+@query
+def gold_emptied_day(spark, folder):
+    """All flights of one day become cancelled; rebuilding the day leaves no row of it in the mart."""
+    work = work_folder(spark, "emptied")
+    silver = testbed.silver(spark, folder).filter(F.year("flight_date") == EMPTIED.year)
+    writers.write_by_date(silver, f"{work}/silver/bts", "flight_date")
+    run = f"{EMPTIED:%Y%m%d}"
+    silver_to_gold(spark, run, f"{work}/silver", f"{work}/gold")
+    day = silver.filter(F.col("flight_date") == EMPTIED).withColumn("is_cancelled", F.lit(True))
+    writers.write_by_date(day, f"{work}/silver/bts", "flight_date")
+    silver_to_gold(spark, run, f"{work}/silver", f"{work}/gold", only_run_date=True)
+    return tables.read_table(spark, f"{work}/gold/mart_route_performance", ROUTE_PERFORMANCE)
+
+
 @query
 def already_loaded(spark, folder):
     source = testbed.flights(spark, folder)

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENSITIVE = ("tail_number",)
 
 
-def masked(rows: DataFrame, columns: Sequence[str] = SENSITIVE, hide: bool = False) -> DataFrame:
-    """Replace sensitive text by its SHA-256, which still joins and counts; or, with `hide`, drop it."""
+def masked(
+    rows: DataFrame, columns: Sequence[str] = SENSITIVE, hide: bool = False, key: str = ""
+) -> DataFrame:
+    """Replace sensitive text by a SHA-256, which still joins and counts; or, with `hide`, drop it.
+
+    Texts that can be listed, as tail numbers can, are told from their plain hash by hashing the whole
+    list.  With a secret `key` the hash is keyed (HMAC) and tells nothing to those without the key.
+    """
     if hide:
         return rows.drop(*columns)
-    return rows.withColumns({c: F.sha2(F.col(c), 256) for c in columns})
+    return rows.withColumns({c: _keyed(F.col(c), key) if key else F.sha2(F.col(c), 256) for c in columns})
+
+
+def _keyed(text: Column, key: str) -> Column:
+    """HMAC-SHA-256."""
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    block = block.ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)

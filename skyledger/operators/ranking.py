@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 BANDS = 256
 STRIDE = 16
@@ -27,7 +28,7 @@ def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BAN
     steps = [i / bands for i in range(1, bands)]
     # One row: the cut points in order, and every sixteenth of them.  A value is placed among these
     # first and then among sixteen, instead of being compared with all.
-    none = F.array().cast("array<double>")
+    none = F.array().cast(ArrayType(rows.schema[measure].dataType))
     cuts = tally.agg(F.coalesce(F.percentile_approx(value, steps), none).alias("all")).select(
         F.struct("all", F.filter("all", lambda _, i: i % STRIDE == STRIDE - 1).alias("some"))
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,10 @@ SETTINGS = {
     # Overwriting a date must leave all other dates in place.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
+    # Quantiles are aggregated as objects; beyond this many groups a task sorts instead, which is
+    # slower.  A group's sketch holds no more than its rows in the task, so memory stays in proportion
+    # to the task's input.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
 
@@ -57,10 +63,25 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     Only a local session may fall back to a temporary folder of the machine.
     """
+    return f"{_work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all work folders of this application; their tables can not be read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _work_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # An application on one machine; "local-cluster" has executors of its own.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="skyledger-")
-    app = spark.sparkContext.applicationId
-    return f"{base.rstrip('/')}/skyledger/{app}/{name}-{uuid.uuid4().hex[:12]}"
+        base = _own_folder()
+    return f"{base.rstrip('/')}/skyledger/{spark.sparkContext.applicationId}"
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="skyledger-")

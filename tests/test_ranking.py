@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -19,6 +20,12 @@ def test_rank_equals_brute_force(spark, bands, distinct):
     assert got == expected
 
 
+def test_dates_are_ranked(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i % 7) for i in range(40)]
+    ranked = rank_all(spark.createDataFrame(list(enumerate(days)), "id int, v date"), "v", bands=4)
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: 1 + sum(o > d for o in days) for i, d in enumerate(days)}
+
+
 def test_rank_without_rows_or_values(spark):
     assert rank_all(spark.createDataFrame([], "id int, v double"), "v").count() == 0
     nulls = spark.createDataFrame([(1, None), (2, None)], "id int, v double")
