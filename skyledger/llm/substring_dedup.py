@@ -7,14 +7,15 @@ window meet in one bucket, in different super-k-mers; there windows are sorted b
 with equal hashes compared word by word.
 
 A minimiser in very many places, as in a passage that a third of all documents hold, would make one
-bucket too large.  A first pass counts minimisers; for the few very frequent ones windows are counted
-by 128-bit digests, with partial counts before the shuffle, and what comes back is the windows that
-occur once.
+bucket too large.  A first pass counts minimisers; windows of the few very frequent ones are told by
+128-bit digests, which go to buckets of their own, counted up by each task before.  What comes back is
+the windows that occur once: all others of these minimisers are repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import byte_texts
+from skyledger.llm.common import byte_texts, staged
 
 WINDOW = 35  # words
 GRAM = 4  # words of a minimiser
@@ -35,21 +36,17 @@ LEVEL = 3  # of compression
 PART = 1 << 22  # words of a text that are looked at together
 
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)  # odd
-KEY = "doc_id long, mark long"
-ENTRY = [("low", "<u4"), ("doc", "<i8"), ("mark", "<i8"), ("start", "<u4"), ("bytes", "<u4")]
+STRINGS = [("low", "<u4"), ("doc", "<i8"), ("mark", "<i8"), ("start", "<u4"), ("bytes", "<u4")]
+DIGESTS = [("a", "<u8"), ("b", "<u8"), ("n", "<i8"), ("doc", "<i8"), ("mark", "<i8"), ("start", "<u4")]
+RUNS = [("doc", "<i8"), ("mark", "<i8"), ("start", "<u4"), ("n", "<u4")]
+PACKED = ["bucket", "n_strings", "n_digests", "n_runs", "strings", "digests", "runs", "text"]
 
 
-class WordHashes(dict):
-    """The hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
+# All blanks as one kind.
+ONE_BLANK = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+# Words are hashed as polynomials of their bytes, all of a block together; longer ones on their own.
+BLOCK = 1 << 20
+LONG_WORD = 1 << 12
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,8 +55,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+def canonical(text: bytes | None) -> bytes:
+    """The words of a text with one blank between them."""
+    even = (text or b"").translate(ONE_BLANK)
+    if b"  " in even or even[:1] == b" " or even[-1:] == b" ":
+        return b" ".join(even.split())
+    return even
+
+
+def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a canonical text start and end."""
+    if not text:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == ord(" "))
+    return np.append(0, blanks + 1), np.append(blanks, len(text))
+
+
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Of a base, and of its inverse."""
+    base = int(BASES[2])
+    return tuple(
+        np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK - 1, b, np.uint64)]), dtype=np.uint64)
+        for b in (base, pow(base, -1, 1 << 64))
+    )
+
+
+def hashes_of(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, which depends on its bytes only."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = powers()
+    whole = np.frombuffer(text, np.uint8)
+    first = 0
+    while first < len(starts):
+        last = int(np.searchsorted(starts, starts[first] + BLOCK - LONG_WORD, "left"))
+        last = max(last, first + 1)
+        offset = starts[first]
+        sums = whole[offset : min(ends[last - 1], offset + BLOCK)].astype(np.uint64)
+        sums += np.uint64(1)
+        sums *= up[: len(sums)]
+        np.cumsum(sums, out=sums)
+        begin = starts[first:last] - offset
+        end = np.minimum(ends[first:last] - offset, len(sums))
+        value = sums[end - 1]
+        value[begin > 0] -= sums[begin[begin > 0] - 1]
+        out[first:last] = mixed(value * down[begin])
+        first = last
+    for word in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[word] = xxhash.xxh3_64_intdigest(text[starts[word] : ends[word]])
+    return out
 
 
 def spans_hash(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -110,75 +154,135 @@ def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return np.concatenate(values), start, np.diff(np.append(start, n))
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Packer:
-    """Collects super-k-mers and packs those of a bucket into one row."""
+    """Collects what a task has for the buckets, and packs it into one row per bucket.
 
-    def __init__(self, buckets: int):
-        self.buckets, self.entries, self.strings, self.size = buckets, [], [], 0
+    Three kinds of records: super-k-mers with their strings; windows of frequent minimisers by digest,
+    each once per row with its number of places and one of them; and the runs of such windows, which
+    the bucket passes on.
+    """
 
-    def add(self, doc: int, mark: int, words: list[bytes], minis: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int) -> None:
+    def __init__(self, buckets: int, window: int, hot: np.ndarray):
+        self.buckets, self.window, self.hot = buckets, window, hot
+        self._clear()
+
+    def _clear(self) -> None:
+        self.records: dict[str, list[np.ndarray]] = {"strings": [], "digests": [], "runs": []}
+        self.targets: dict[str, list[np.ndarray]] = {"strings": [], "digests": [], "runs": []}
+        self.strings: list[bytes] = []
+        self.size = 0
+
+    def _put(self, kind: str, records: np.ndarray, target: np.ndarray) -> None:
+        self.records[kind].append(records)
+        self.targets[kind].append((target % np.uint64(self.buckets)).astype(np.int64))
+
+    def add(self, doc: int, mark: int, text: bytes, word_starts: np.ndarray, word_ends: np.ndarray, gram: int) -> None:
+        hashes = hashes_of(text, word_starts, word_ends)
+        minis, starts, counts = super_kmers(hashes, self.window, gram)
+        hot = among(minis, self.hot)
+        if hot.any():
+            self._add_windows(doc, mark, hashes, minis[hot], starts[hot], counts[hot])
+            minis, starts, counts = minis[~hot], starts[~hot], counts[~hot]
         if not len(minis):
             return
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the blank behind included
-        first = np.where(starts > 0, ends[starts - 1], 0)
-        last = ends[starts + counts + window - 2] - 1
-        entries = np.empty(len(minis), ENTRY)
-        entries["low"] = minis & np.uint64(0xFFFFFFFF)
-        entries["doc"], entries["mark"], entries["start"], entries["bytes"] = doc, mark, starts, last - first
-        self.entries.append((entries, ((minis >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)))
-        self.strings += map(joined.__getitem__, map(slice, first.tolist(), last.tolist()))
+        first, last = word_starts[starts], word_ends[starts + counts + self.window - 2]
+        records = np.empty(len(minis), STRINGS)
+        records["low"] = minis & np.uint64(0xFFFFFFFF)
+        records["doc"], records["mark"], records["start"], records["bytes"] = doc, mark, starts, last - first
+        self._put("strings", records, minis >> np.uint64(32))
+        self.strings += map(text.__getitem__, map(slice, first.tolist(), last.tolist()))
         self.size += int((last - first).sum())
 
+    def _add_windows(self, doc: int, mark: int, hashes: np.ndarray, minis: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        runs = np.empty(len(starts), RUNS)
+        runs["doc"], runs["mark"], runs["start"], runs["n"] = doc, mark, starts, counts
+        # Runs may go to any bucket.
+        self._put("runs", runs, mixed(starts.astype(np.uint64) ^ np.uint64(mark & (1 << 64) - 1)))
+        places = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        records = np.empty(len(places), DIGESTS)
+        records["a"], records["b"] = (windows_hash(hashes, self.window, base)[places] for base in BASES[1:])
+        records["n"], records["doc"], records["mark"], records["start"] = 1, doc, mark, places
+        self._put("digests", records, records["a"] >> np.uint64(32))
+        self.size += records.nbytes
+
     def packed(self) -> pa.RecordBatch:
-        entries = np.concatenate([e for e, _ in self.entries])
-        bucket = np.concatenate([b for _, b in self.entries])
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        """The rows of all buckets that there is something for."""
+        cells: dict[str, dict[int, bytes]] = {"strings": {}, "digests": {}, "runs": {}, "text": {}}
+        counts: dict[str, dict[int, int]] = {"strings": {}, "digests": {}, "runs": {}}
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
-        heads, texts = [], []
-        for rows in np.split(order, cuts[1:]):
-            mine = entries[rows]
-            fields = [np.diff(mine[n], prepend=mine[n].dtype.type(0)) if n == "doc" else mine[n] for n, _ in ENTRY]
-            # Byte by byte, so that the zeros of small numbers lie together.
-            heads.append(pack(b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in fields)))
-            texts.append(pack(b"".join(map(self.strings.__getitem__, rows.tolist()))))
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(bucket[order][cuts].astype(np.int32)), pa.array(np.diff(np.append(cuts, len(order))).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(texts, pa.binary())],
-            ["bucket", "n", "head", "strings"],
-        )
-        self.entries, self.strings, self.size = [], [], 0
-        return batch
-
-
-def unpacked(n: int, head: bytes, strings: bytes) -> tuple[np.ndarray, bytes]:
-    unpack = zstandard.ZstdDecompressor()
-    raw, at = unpack.decompress(head), 0
-    entries = np.empty(n, ENTRY)
-    for name, kind in ENTRY:
-        width = np.dtype(kind).itemsize
-        field = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
-        values = np.ascontiguousarray(field).view(kind).ravel()
-        entries[name] = np.cumsum(values) if name == "doc" else values
-        at += n * width
-    return entries, unpack.decompress(strings) if strings else b""
-
-
-def repeated_in_bucket(blobs: list[tuple[int, bytes, bytes]], window: int) -> tuple[np.ndarray, ...]:
-    """Entries of a bucket, and runs of windows that occur more than once: entry, first window, count."""
-    heads, texts = zip(*(unpacked(*blob) for blob in blobs))
-    entries, text = np.concatenate(heads), b"".join(texts)
+        for kind in counts:
+            if not self.records[kind]:
+                continue
+            records, bucket = np.concatenate(self.records[kind]), np.concatenate(self.targets[kind])
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for rows in np.split(order, cuts[1:]):
+                target, mine = int(bucket[rows[0]]), records[rows]
+                if kind == "digests":
+                    mine = combined(mine)
+                if kind == "strings":
+                    cells["text"][target] = pack(b"".join(map(self.strings.__getitem__, rows.tolist())))
+                cells[kind][target], counts[kind][target] = pack(columns_of(mine)), len(mine)
+        self._clear()
+        targets = sorted(set().union(*cells.values()))
+        arrays = [pa.array(targets, pa.int32())]
+        arrays += [pa.array([counts[k].get(t, 0) for t in targets], pa.int32()) for k in counts]
+        arrays += [pa.array([cells[k].get(t) for t in targets], pa.binary()) for k in cells]
+        return pa.RecordBatch.from_arrays(arrays, PACKED)
+
+
+def combined(windows: np.ndarray) -> np.ndarray:
+    """Windows by digest: how many places they have, and one of them."""
+    order = np.lexsort((windows["b"], windows["a"]))
+    ordered = windows[order]
+    first = np.flatnonzero(np.append(True, (ordered["a"][1:] != ordered["a"][:-1]) | (ordered["b"][1:] != ordered["b"][:-1])))
+    out = ordered[first].copy()
+    out["n"] = np.add.reduceat(ordered["n"], first)
+    return out
+
+
+def columns_of(records: np.ndarray) -> bytes:
+    """Field by field and byte by byte, so that the zeros of small numbers lie together."""
+    fields = [np.diff(records[n], prepend=records[n].dtype.type(0)) if n == "doc" else records[n] for n in records.dtype.names]
+    return b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(records), -1).T.tobytes() for f in fields)
+
+
+def records_of(content: bytes | None, count: int, kind: list) -> np.ndarray:
+    records, at = np.empty(count, kind), 0
+    if not count:
+        return records
+    raw = zstandard.ZstdDecompressor().decompress(content)
+    for name, form in kind:
+        width = np.dtype(form).itemsize
+        field = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T
+        values = np.ascontiguousarray(field).view(form).ravel()
+        records[name] = np.cumsum(values) if name == "doc" else values
+        at += count * width
+    return records
+
+
+def repeated_in_bucket(entries: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that occur more than once: entry, first window, count."""
     ends = np.cumsum(entries["bytes"].astype(np.int64))
     # A minimiser that comes once has no window that comes twice.
     _, which, counts = np.unique(entries["low"], return_inverse=True, return_counts=True)
     several = np.flatnonzero(counts[which] > 1)
     if not len(several):
         none = np.empty(0, np.int64)
-        return entries, none, none, none
+        return none, none, none
     begin = ends - entries["bytes"]
-    strings = [text[a:b] for a, b in zip(begin[several].tolist(), ends[several].tolist())]
-    hashes = [hashes_of(string.split(b" ")) for string in strings]
-    stream, sizes = np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64)
+    joined = b" ".join([text[a:b] for a, b in zip(begin[several].tolist(), ends[several].tolist())])
+    word_starts, word_ends = bounds(joined)
+    stream = hashes_of(joined, word_starts, word_ends)
+    places = np.cumsum(entries["bytes"][several].astype(np.int64) + 1)
+    sizes = np.diff(np.searchsorted(word_starts, places), prepend=0)
     begins = np.cumsum(sizes) - sizes
     every = windows_hash(stream, window, BASES[1])
     # Windows that lie in one super-k-mer.
@@ -192,15 +296,11 @@ def repeated_in_bucket(blobs: list[tuple[int, bytes, bytes]], window: int) -> tu
     # Runs of equal hashes are compared word by word.
     edges = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
     runs = zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())
-    blanks: dict[int, list[int]] = {}
+    word = begins[owner] + inside
+    cut = list(zip(word_starts[word].tolist(), word_ends[word + window - 1].tolist()))
 
     def window_text(k: int) -> bytes:
-        o, i = int(owner[k]), int(inside[k])
-        if o not in blanks:
-            if len(blanks) > 20_000:
-                blanks.clear()
-            blanks[o] = np.flatnonzero(np.frombuffer(b" " + strings[o] + b" ", np.uint8) == ord(" ")).tolist()
-        return strings[o][blanks[o][i] : blanks[o][i + window] - 1]
+        return joined[slice(*cut[k])]
 
     for first, last in runs:
         members = order[first : last + 1].tolist()
@@ -217,7 +317,7 @@ def repeated_in_bucket(blobs: list[tuple[int, bytes, bytes]], window: int) -> tu
     new = np.append(True, (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)) if len(hit) else np.empty(0, bool)
     starts = hit[new]
     counts = np.diff(np.append(np.flatnonzero(new), len(hit)))
-    return entries, several[owner[starts]], inside[starts], counts
+    return several[owner[starts]], inside[starts], counts
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -226,11 +326,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def _each(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int | None, int, list[bytes]]]:
+def _each(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int | None, int, bytes, np.ndarray, np.ndarray]]:
+    """The texts that have a window, with the bounds of their words."""
     for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), byte_texts(batch.column("text"))):
-        words = (text or b"").split()
-        if len(words) >= window:
-            yield doc, mark, words
+        even = canonical(text)
+        starts, ends = bounds(even)
+        if len(starts) >= window:
+            yield doc, mark, even, starts, ends
 
 
 def _frequent(rows: DataFrame, window: int, gram: int, least: int) -> np.ndarray:
@@ -241,12 +343,13 @@ def _frequent(rows: DataFrame, window: int, gram: int, least: int) -> np.ndarray
 
     def count(batches):
         for batch in batches:
-            found = [super_kmers(hashes_of(words), window, gram)[0] for _, _, words in _each(batch, window)]
+            found = [super_kmers(hashes_of(*words), window, gram)[0] for _, _, *words in _each(batch, window)]
             if found:
                 minis, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(minis.view(np.int64)), pa.array(n.astype(np.int64))], ["mini", "n"])
 
-    counted = rows.mapInArrow(count, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
+    counted = rows.mapInArrow(count, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
+    counted = staged(counted.filter(F.col("n") > least), "frequent")
     many = counted.agg(F.sum("n").alias("n")).first()["n"]
     if not many:
         return np.empty(0, np.uint64)
@@ -255,65 +358,49 @@ def _frequent(rows: DataFrame, window: int, gram: int, least: int) -> np.ndarray
     return np.sort(np.array([r["mini"] for r in found], np.int64).view(np.uint64))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Where windows lie that occur more than once.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:
+    """Where windows lie that occur more than once: runs (`doc_id`, `mark`, `start`, `n`) of windows.
 
-    Runs of windows (`doc_id`, `mark`, `start`, `n`) of ordinary minimisers; the windows (`doc_id`,
-    `mark`, `start`) of frequent minimisers that occur once, all others of these being repeated; and the
-    frequent minimisers.
+    For frequent minimisers the runs have all their windows, and those that occur once follow with an
+    `n` of 0.
     """
     rows = _rows(docs)
-    hot = _frequent(rows, window, gram, frequent)
-    spark = docs.sparkSession
-    n_buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = docs.sparkSession.sparkContext.broadcast(_frequent(rows, window, gram, frequent))
+    n_buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
-        packer = Packer(n_buckets)
+        packer = Packer(n_buckets, window, hot.value)
         for batch in batches:
-            for doc, mark, words in _each(batch, window):
-                minis, starts, counts = super_kmers(hashes_of(words), window, gram)
-                plain = ~np.isin(minis, hot)
-                # A null id travels as -1: the mark tells it apart from a text with that id.
-                packer.add(-1 if doc is None else doc, mark, words, minis[plain], starts[plain], counts[plain], window)
+            for doc, mark, *words in _each(batch, window):
+                # A null id travels as -1: the mark tells it apart from another text with that id.
+                packer.add(-1 if doc is None else doc, mark, *words, gram)
                 if packer.size >= FLUSH:
                     yield packer.packed()
-        if packer.entries:
-            yield packer.packed()
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        entries, which, first, n = repeated_in_bucket(list(zip(rows["n"].tolist(), rows["head"], rows["strings"])), window)
+        yield packer.packed()
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        def all_of(kind: str, form: list) -> np.ndarray:
+            return np.concatenate([records_of(c, n, form) for c, n in zip(rows[kind], rows[f"n_{kind}"].tolist())])
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        text = b"".join(unpack(t) for t in rows["text"] if t is not None)
+        entries = all_of("strings", STRINGS)
+        which, first, n = repeated_in_bucket(entries, text, window)
+        once = combined(all_of("digests", DIGESTS)) if rows["n_digests"].any() else np.empty(0, DIGESTS)
+        once, passed = once[once["n"] == 1], all_of("runs", RUNS)
+        join = lambda *parts: np.concatenate([p.astype(np.int64) for p in parts])
         mine = entries[which]
-        return pd.DataFrame({"doc_id": mine["doc"], "mark": mine["mark"], "start": mine["start"].astype(np.int64) + first, "n": n})
-
-    packed = rows.mapInArrow(pack, "bucket int, n int, head binary, strings binary")
-    runs = packed.groupBy("bucket").applyInPandas(count, KEY + ", start long, n long")
-
-    def digests(batches):
-        for batch in batches:
-            found = []
-            for doc, mark, words in _each(batch, window):
-                hashes = hashes_of(words)
-                places = _hot_windows(hashes, window, gram, hot)
-                if len(places):
-                    both = [windows_hash(hashes, window, base)[places].view(np.int64) for base in BASES[1:]]
-                    found.append((*both, np.full(len(places), -1 if doc is None else doc), np.full(len(places), mark), places))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["a", "b", "doc_id", "mark", "start"])
-
-    if len(hot):
-        windows = rows.mapInArrow(digests, "a long, b long, doc_id long, mark long, start long")
-        counted = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.min("start").alias("start"))
-        once = counted.filter("n = 1").select("doc_id", "mark", "start")
-    else:
-        once = spark.createDataFrame([], KEY + ", start long")
-    return runs, once, hot
-
+        return pd.DataFrame(
+            {
+                "doc_id": join(mine["doc"], passed["doc"], once["doc"]),
+                "mark": join(mine["mark"], passed["mark"], once["mark"]),
+                "start": join(mine["start"].astype(np.int64) + first, passed["start"], once["start"]),
+                "n": join(n, passed["n"], np.zeros(len(once))),
+            }
+        )
 
-def _hot_windows(hashes: np.ndarray, window: int, gram: int, hot: np.ndarray) -> np.ndarray:
-    """The windows whose minimiser is frequent."""
-    minis, starts, counts = super_kmers(hashes, window, gram)
-    chosen = np.flatnonzero(np.isin(minis, hot))
-    return np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in chosen.tolist()]) if len(chosen) else np.empty(0, np.int64)
+    kinds = "bucket int, n_strings int, n_digests int, n_runs int, strings binary, digests binary, runs binary, text binary"
+    return rows.mapInArrow(pack, kinds).groupBy("bucket").applyInPandas(count, "doc_id long, mark long, start long, n long")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:
@@ -325,34 +412,22 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, freque
     own, so a repeated row loses all words of its windows; ids may be null.  Other columns are not
     looked at.
     """
-    runs, once, hot = repeated_windows(docs, window, gram, frequent, buckets)
-    marks = runs.select("doc_id", "mark", F.struct("start", "n").alias("run")).groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))
-    if len(hot):
-        single = once.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("single"))
-        marks = marks.join(single, ["doc_id", "mark"], "full_outer")
-    else:
-        marks = marks.withColumn("single", F.lit(None).cast("array<long>"))
-    marks = marks.withColumnRenamed("doc_id", "id")
+    runs = repeated_windows(docs, window, gram, frequent, buckets)
+    marks = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnRenamed("doc_id", "id")
     rows = _rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    joined = rows.join(marks, ["id", "mark"], "left").select("doc_id", "text", "runs", "single")
+    joined = rows.join(marks, ["id", "mark"], "left").select("doc_id", "text", "runs")
 
     def run(batches):
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in (2, 3)]
-            for text, found, single in zip(byte_texts(batch.column(1)), *columns):
-                words = (text or b"").split()
-                change = np.zeros(len(words) + 1, np.int64)
-                for r in found or ():
-                    change[r["start"]] += 1
-                    change[r["start"] + r["n"] + window - 1] -= 1
-                if len(hot) and len(words) >= window:
-                    places = np.setdiff1d(_hot_windows(hashes_of(words), window, gram, hot), np.array(single or [], np.int64))
-                    np.add.at(change, places, 1)
-                    np.add.at(change, places + window, -1)
-                stay = np.cumsum(change)[:-1] == 0
-                kept = words if stay.all() else [words[i] for i in np.flatnonzero(stay).tolist()]
-                out.append((b" ".join(kept), len(words), len(words) - len(kept)))
+            for text, found in zip(byte_texts(batch.column(1)), batch.column(2)):
+                even = canonical(text)
+                size = even.count(b" ") + 1 if even else 0
+                if not found.is_valid:
+                    out.append((even, size, 0))
+                    continue
+                words, stay = even.split(b" "), _kept(size, found.values.flatten(), window).tolist()
+                out.append((b" ".join([words[i] for i in stay]), size, size - len(stay)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.binary()).cast(pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                 ["doc_id", "text", "n_words", "n_removed"],
@@ -361,6 +436,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, freque
     return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
 
+def _kept(size: int, runs: list[pa.Array], window: int) -> np.ndarray:
+    """Places of the words that no repeated window covers."""
+    start, n = (c.to_numpy() for c in runs)
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, start, np.sign(n))
+    np.add.at(change, start + n, -np.sign(n))
+    repeated = np.cumsum(change) > 0
+    repeated[start[n == 0]] = False
+    first = np.flatnonzero(repeated)
+    cover = np.zeros(size + 1, np.int64)
+    cover[first] += 1
+    cover[first + window] -= 1
+    return np.flatnonzero(np.cumsum(cover)[:-1] == 0)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """`doc_id`, `n_words`, `n_removed`, `kept_sha256`; see `deduplicated`."""
     return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

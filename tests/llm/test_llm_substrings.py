@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import plain
 import pytest
 
@@ -43,14 +44,14 @@ def test_two_texts_of_one_id(documents):
 def test_a_hash_that_collides_is_told_by_the_words(monkeypatch, documents):
     """Windows are compared word by word, whatever their hashes say."""
     monkeypatch.setattr(sd, "windows_hash", lambda hashes, size, base: hashes[: len(hashes) - size + 1] * 0)
-    packer = sd.Packer(1)
+    packer = sd.Packer(1, 3, np.empty(0, np.uint64))
     texts = [b"a b c d", b"a b c e", b"x y z a b c d"]
     for doc, text in enumerate(texts):
-        words = text.split()
-        packer.add(doc, 0, words, *sd.super_kmers(sd.hashes_of(words), 3, 1), 3)
-    batch = packer.packed()
-    blobs = list(zip(batch["n"].to_pylist(), batch["head"].to_pylist(), batch["strings"].to_pylist()))
-    entries, which, first, n = sd.repeated_in_bucket(blobs, 3)
+        packer.add(doc, 0, text, *sd.bounds(text), 1)
+    [row] = packer.packed().to_pylist()
+    entries = sd.records_of(row["strings"], row["n_strings"], sd.STRINGS)
+    text = sd.zstandard.ZstdDecompressor().decompress(row["text"])
+    which, first, n = sd.repeated_in_bucket(entries, text, 3)
     places = {(int(entries["doc"][w]), int(entries["start"][w]) + f + k) for w, f, c in zip(which, first, n) for k in range(c)}
     assert places == {(0, 0), (0, 1), (1, 0), (2, 3), (2, 4)}
 
@@ -58,7 +59,8 @@ def test_a_hash_that_collides_is_told_by_the_words(monkeypatch, documents):
 def test_super_kmers_cover_every_window_once(monkeypatch):
     random.seed(1)
     words = [random.choice([b"a", b"b", b"c"]) for _ in range(500)]
-    hashes = sd.hashes_of(words)
+    text = b" ".join(words)
+    hashes = sd.hashes_of(text, *sd.bounds(text))
     for part in (1 << 22, 50):
         monkeypatch.setattr(sd, "PART", part)
         _, starts, counts = sd.super_kmers(hashes, 35, 4)
@@ -71,5 +73,24 @@ def test_super_kmers_cover_every_window_once(monkeypatch):
             assert seen.setdefault(tuple(words[i : i + 6]), mini) == mini
 
 
+def test_word_hashes(monkeypatch):
+    """They depend on the word's bytes, not on its place or on the blocks."""
+    random.seed(2)
+    words = [bytes(random.choices(b"abc", k=random.choice([1, 2, 3, 9, 200]))) for _ in range(3000)] + [b"\x00", b"\x00\x00", b"z" * 9000, b"z" * 9001]
+    random.shuffle(words)
+    text = b" ".join(words + words)
+    hashes = sd.hashes_of(text, *sd.bounds(text))
+    seen = {}
+    for word, value in zip(words + words, hashes.tolist()):
+        assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+    monkeypatch.setattr(sd, "BLOCK", 1 << 14)
+    sd.powers.cache_clear()
+    assert (sd.hashes_of(text, *sd.bounds(text)) == hashes).all()
+    monkeypatch.undo()
+    sd.powers.cache_clear()
+    assert sd.canonical(b"\n a\t b  c\r\n") == b"a b c" and sd.canonical(None) == b"" and sd.canonical(b" \n") == b""
+
+
 def test_empty_table(documents):
     assert sd.report(documents()).collect() == []
