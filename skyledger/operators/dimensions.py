@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.keys import date_key
 
-# A dimension is sent to every executor only up to this many rows.
+# A dimension is sent to every executor only up to this many rows, and values.
 BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 1_000_000
 
 
 def calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
@@ -50,15 +51,23 @@ def distinct_carriers(flights: DataFrame) -> DataFrame:
     return flights.select("carrier_code").distinct()
 
 
+def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, within: DataFrame | None = None) -> bool:
+    """Does a count prove `side` small?
+
+    `within` names a table that has at least as many rows and is cheaper to count: for a plain Parquet
+    table only footers are read.
+    """
+    rows = (side if within is None else within).count()
+    return rows <= max_rows and rows * len(side.columns) <= BROADCAST_VALUES
+
+
 def small_side(side: DataFrame, max_rows: int = BROADCAST_ROWS, within: DataFrame | None = None) -> DataFrame:
-    """Mark `side` for broadcast if a count proves it small.
+    """Mark `side` for broadcast if it is small.
 
     Otherwise it comes back unmarked: the join shuffles on its keys and adaptive execution splits
-    partitions that a hot key makes too large.  `within` names a table that has at least as many rows
-    and is cheaper to count: for a plain Parquet table only footers are read.
+    partitions that a hot key makes too large.
     """
-    rows = (side if within is None else within).count()
-    return F.broadcast(side) if rows <= max_rows else side
+    return F.broadcast(side) if is_small(side, max_rows, within) else side
 
 
 def lookup(
@@ -69,12 +78,14 @@ def lookup(
     take: Mapping[str, str],
     valid_on: str | None = None,
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Left join that adds the dimension columns `take` (dimension name -> fact name).
 
     With `valid_on` the version is chosen whose `effective_from`..`effective_to` holds that date.
     The equality stays the join key and the range a residual condition, so it remains a hash or
-    merge join.  Facts without a match keep NULLs.
+    merge join.  Facts without a match keep NULLs.  The dimension is counted, unless the caller knows
+    whether it is `small`.
     """
     columns = [F.col(dimension_key).alias("_key")]
     match = F.col(fact_key) == F.col("_key")
@@ -84,5 +95,7 @@ def lookup(
             F.col("_to").isNull() | (F.col(valid_on) <= F.col("_to"))
         )
     columns += [F.col(name).alias(alias) for name, alias in take.items()]
-    side = small_side(dimension.select(*columns), max_rows)
+    side = dimension.select(*columns)
+    if is_small(side, max_rows) if small is None else small:
+        side = F.broadcast(side)
     return facts.join(side, match, "left").drop("_key", "_from", "_to")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.delays import gold_category, total_delay, warehouse_category
 from skyledger.functions.keys import route_key, row_hash, surrogate_key
-from skyledger.operators.dimensions import lookup
+from skyledger.operators.dimensions import is_small, lookup
 from skyledger.schemas import BROKEN_LINE, FLIGHT_COLUMNS, SILVER_FLIGHTS, STAR_FLIGHTS
 
 FLIGHT_KEY = ("carrier_code", "flight_number", "flight_date", "origin_airport", "dest_airport")
@@ -104,6 +104,7 @@ def star_flights(
     ).withColumnsRenamed({"origin_airport": "origin_airport_code", "dest_airport": "dest_airport_code"})
     facts = lookup(facts, dates, "flight_date", "full_date", {"date_sk": "date_sk"})
     facts = lookup(facts, carriers, "carrier_code", "carrier_code", {"carrier_sk": "carrier_sk"}, valid_on)
+    few_airports = is_small(airports)
     for role in ("origin", "dest"):
         facts = lookup(
             facts,
@@ -112,5 +113,6 @@ def star_flights(
             "airport_code",
             {"airport_sk": f"{role}_airport_sk"},
             valid_on,
+            small=few_airports,
         )
     return facts.select(*STAR_FLIGHTS.names)
