@@ -203,7 +203,7 @@ def write_archive(
     ).distinct()
     rows = source.select("page_id", "sha1", "url", "html", F.lit(None).cast("struct<page_id:bigint,url:string>").alias("owner"))
     placed = rows.unionByName(marks).withColumn("shard", shard("page_id"))
-    placed = placed.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha1", F.isnull("html").desc(), "url")
+    placed = placed.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha1", F.isnull("html").desc(), "url")
 
     def write(batches):
         roll = Roll(folder, file_bytes, date)
