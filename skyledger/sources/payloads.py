@@ -80,12 +80,16 @@ def stamped_lines(records: DataFrame) -> DataFrame:
 
 
 def explode_positions(responses: DataFrame) -> DataFrame:
-    """Typed raw positions, stamped with the poll time.  Fields outside the schema are left out."""
+    """Typed raw positions, stamped with the poll time.  Fields outside the schema are left out.
+
+    Records are parsed one by one, so that an element that is no object (see `rejected_payloads`)
+    spoils no other.
+    """
     record = T.StructType([f for f in RAW_POSITION if f.name != STAMP])
-    response = T.StructType([T.StructField("data", T.ArrayType(record))])
-    parsed = F.from_json("payload", response)
-    return responses.select(F.explode(parsed["data"]).alias("p"), "polled_at").select(
-        "p.*", utc_iso(F.col("polled_at")).alias(STAMP)
+    return (
+        position_records(responses)
+        .select(F.from_json("record", record).alias("p"), "polled_at")
+        .select("p.*", utc_iso(F.col("polled_at")).alias(STAMP))
     )
 
 

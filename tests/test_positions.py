@@ -16,6 +16,7 @@ from skyledger.sources.payloads import (
     explode_state_vectors,
     position_records,
     read_responses,
+    rejected_payloads,
     stamped_lines,
 )
 from skyledger.sources.tables import read_positions, read_table
@@ -94,6 +95,14 @@ def test_typed_explode(responses):
     assert (row["icao24"], row["gspeed"], row["on_ground"]) == ("4CA7F2", 212, False)
 
 
+def test_an_element_that_is_no_object_spoils_no_other(responses):
+    a, b = {"fr24_id": "a", "lat": 53.42, "alt": 4125}, {"fr24_id": "b", "gspeed": 212}
+    mixed = [{"data": ["text", a, b]}, {"data": [a, [1], b]}, {"data": [None, a, 5, b]}, {"data": [a, b]}]
+    got = [(r["fr24_id"], r["lat"], r["alt"], r["gspeed"]) for r in explode_positions(responses(*mixed)).collect()]
+    assert sorted(got, key=str) == [("a", 53.42, 4125, None)] * 4 + [("b", None, None, 212)] * 4
+    assert rejected_payloads(responses(*mixed)).count() == 4
+
+
 def test_state_vectors_by_position(responses):
     head = ["4b1", "SWR1  ", "Switzerland", 1, 2, 8.5, 47.4, 1000, True, 12.5, 90, None]
     full = head + [[7, 8], 1010.5, "1000", False, 0, 3]
