@@ -32,6 +32,8 @@ GRAM = 4  # words of a minimiser
 FREQUENT = 2000  # places from which on a minimiser counts as frequent, at least
 MOST_FREQUENT = 100_000  # minimisers can be frequent
 FLUSH = 24 << 20  # bytes of super-k-mers that a task packs at a time
+BUCKET = 16 << 20  # bytes of super-k-mers and digests in a bucket, on average at most
+BUCKETS_PER_TASK = 4
 LEVEL = 3  # of compression
 PART = 1 << 22  # words of a text that are looked at together
 
@@ -335,38 +337,51 @@ def _each(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int | None, int,
             yield doc, mark, even, starts, ends
 
 
-def _frequent(rows: DataFrame, window: int, gram: int, least: int) -> np.ndarray:
+def _frequent(rows: DataFrame, window: int, gram: int, least: int) -> tuple[np.ndarray, int]:
     """The minimisers of more than `least` places, or of more than their share if that is more; sorted.
 
-    There are no more than `MOST_FREQUENT` of them, whatever the input.
+    There are no more than `MOST_FREQUENT` of them, whatever the input.  With them goes a bound of the
+    bytes that all buckets will hold: of every super-k-mer, and of digests for the frequent ones.
     """
 
     def count(batches):
         for batch in batches:
-            found = [super_kmers(hashes_of(*words), window, gram)[0] for _, _, *words in _each(batch, window)]
+            found, size = [], 0
+            for _, _, text, word_starts, word_ends in _each(batch, window):
+                minis, starts, counts = super_kmers(hashes_of(text, word_starts, word_ends), window, gram)
+                found.append(minis)
+                size += int((word_ends[starts + counts + window - 2] - word_starts[starts]).sum())
             if found:
                 minis, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(minis.view(np.int64)), pa.array(n.astype(np.int64))], ["mini", "n"])
+                size += np.dtype(STRINGS).itemsize * int(n.sum())
+                # The bytes go without a minimiser.
+                names = pa.concat_arrays([pa.array(minis.view(np.int64)), pa.nulls(1, pa.int64())])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.append(n, size).astype(np.int64))], ["mini", "n"])
 
     counted = rows.mapInArrow(count, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    counted = staged(counted.filter(F.col("n") > least), "frequent")
-    many = counted.agg(F.sum("n").alias("n")).first()["n"]
+    counted = staged(counted.filter((F.col("n") > least) | F.col("mini").isNull()), "frequent")
+    sums = {r["whole"]: r["n"] for r in counted.groupBy(F.col("mini").isNull().alias("whole")).agg(F.sum("n").alias("n")).collect()}
+    size, many = sums.get(True, 0), sums.get(False, 0)
     if not many:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), size
     # Each of them has more than a MOST_FREQUENT-th of all their places, so they cannot be more.
-    found = counted.filter(F.col("n") > many // MOST_FREQUENT).select("mini").collect()
-    return np.sort(np.array([r["mini"] for r in found], np.int64).view(np.uint64))
+    found = counted.filter(F.col("n") > many // MOST_FREQUENT).filter("mini is not null").select("mini").collect()
+    # A super-k-mer has no more windows than a window has places for its minimiser.
+    size += many * (window - gram + 1) * np.dtype(DIGESTS).itemsize
+    return np.sort(np.array([r["mini"] for r in found], np.int64).view(np.uint64)), size
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:
-    """Where windows lie that occur more than once: runs (`doc_id`, `mark`, `start`, `n`) of windows.
+def _dealt(docs: DataFrame, window: int, gram: int, frequent: int, buckets: int | None) -> DataFrame:
+    """The packed rows of all tasks, by bucket.
 
-    For frequent minimisers the runs have all their windows, and those that occur once follow with an
-    `n` of 0.
+    The number of buckets follows from what they hold, so that a bucket, which one task unpacks whole,
+    does not grow with the input; the partitions that they are dealt to follow from it.
     """
     rows = _rows(docs)
-    hot = docs.sparkSession.sparkContext.broadcast(_frequent(rows, window, gram, frequent))
-    n_buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    minis, size = _frequent(rows, window, gram, frequent)
+    hot = docs.sparkSession.sparkContext.broadcast(minis)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or max(BUCKETS_PER_TASK * partitions, -(-size // BUCKET))
 
     def pack(batches):
         packer = Packer(n_buckets, window, hot.value)
@@ -378,6 +393,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
                     yield packer.packed()
         yield packer.packed()
 
+    kinds = "bucket int, n_strings int, n_digests int, n_runs int, strings binary, digests binary, runs binary, text binary"
+    packed = rows.mapInArrow(pack, kinds)
+    tasks = n_buckets // BUCKETS_PER_TASK
+    return packed.repartition(tasks, "bucket") if tasks > partitions else packed
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:
+    """Where windows lie that occur more than once: runs (`doc_id`, `mark`, `start`, `n`) of windows.
+
+    For frequent minimisers the runs have all their windows, and those that occur once follow with an
+    `n` of 0.
+    """
+
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         def all_of(kind: str, form: list) -> np.ndarray:
             return np.concatenate([records_of(c, n, form) for c, n in zip(rows[kind], rows[f"n_{kind}"].tolist())])
@@ -399,8 +427,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
             }
         )
 
-    kinds = "bucket int, n_strings int, n_digests int, n_runs int, strings binary, digests binary, runs binary, text binary"
-    return rows.mapInArrow(pack, kinds).groupBy("bucket").applyInPandas(count, "doc_id long, mark long, start long, n long")
+    dealt = _dealt(docs, window, gram, frequent, buckets)
+    return dealt.groupBy("bucket").applyInPandas(count, "doc_id long, mark long, start long, n long")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:

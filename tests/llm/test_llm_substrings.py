@@ -35,6 +35,26 @@ def test_against_brute_force(clashing, window, gram, frequent, buckets):
     assert result(got) == sorted(str((i, *w)) for i, w in zip(ids, want))
 
 
+def test_buckets_do_not_grow_with_the_input(monkeypatch, documents):
+    """Eight times the text makes more buckets, not larger ones; the result stays."""
+    monkeypatch.setattr(sd, "BUCKET", 1 << 14, raising=False)
+    random.seed(3)
+    texts = [" ".join(random.choices([f"w{i}" for i in range(500)], k=2000)) for _ in range(80)]
+
+    def largest(part):
+        sizes = {}
+        unpack = sd.zstandard.ZstdDecompressor().decompress
+        for row in sd._dealt(documents(*enumerate(part)), 6, 2, 10**9, None).select("bucket", "text").collect():
+            sizes[row["bucket"]] = sizes.get(row["bucket"], 0) + len(unpack(row["text"]))
+        return len(sizes), max(sizes.values())
+
+    few, many = largest(texts[:10]), largest(texts)
+    assert many[0] > 4 * few[0] and many[1] < 2 << 14
+    want = plain.substring_dedup(texts[:10] + texts[5:10], 6)
+    got = sd.deduplicated(documents(*enumerate(texts[:10] + texts[5:10])), 6, 2, 10**9)
+    assert result(got) == sorted(str((i, *w)) for i, w in enumerate(want))
+
+
 def test_two_texts_of_one_id(documents):
     text = " ".join(f"x{i}" for i in range(8))
     got = sd.deduplicated(documents((1, text), (1, "other " + text), (1, "nothing")), 5, 2, 10**9, 2)
