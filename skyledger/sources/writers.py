@@ -120,9 +120,12 @@ def write_flight_files(flights: DataFrame, path: str) -> None:
 
 
 def append_lines(lines: DataFrame, header: str, path: str) -> None:
-    """Add files of text lines below a header to a folder of CSV files."""
-    first = lines.sparkSession.createDataFrame([(header,)], "value string")
-    first.unionByName(lines).coalesce(1).write.mode("append").text(path)
+    """Add files of text lines to a folder of CSV files, one per partition, each with the header first."""
+    # Row numbers start anew in each partition, in the lower 33 bits.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    headed = F.when(first, F.concat(F.lit(f"{header}\n"), F.coalesce("value", F.lit("")))).otherwise(F.col("value"))
+    # A partition must stay one file, or the reader takes a line for the header of the next.
+    lines.select(headed.alias("value")).write.mode("append").option("maxRecordsPerFile", 0).text(path)
 
 
 def _counted(rows: DataFrame, measures: Mapping[str, Column] | None) -> tuple[DataFrame, Observation]:

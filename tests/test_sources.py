@@ -16,7 +16,7 @@ from skyledger.sources.tables import (
     register_table,
     seed_table,
 )
-from skyledger.sources.writers import append_table, replace_table, write_by_date
+from skyledger.sources.writers import append_lines, append_table, replace_table, write_by_date
 
 FIRST = dt.date(2024, 1, 1)
 
@@ -122,6 +122,15 @@ def test_rebuilt_dates_without_rows_lose_their_folder(month, spark, tmp_path):
     assert days(tmp_path) == ["2024-01-02"] + [f"2024-01-{d:02d}" for d in range(4, 32)]
 
 
+def test_lines_are_written_by_all_partitions(spark, tmp_path):
+    numbers = spark.range(0, 1000, numPartitions=5).selectExpr("concat('x', id, ',\"') AS value")
+    append_lines(numbers.unionByName(numbers), "a,b", str(tmp_path))
+    append_lines(numbers.limit(0), "a,b", str(tmp_path))
+    files = [f.read_text().splitlines() for f in tmp_path.glob("*.txt") if f.stat().st_size]
+    assert len(files) == 10 and all(lines[0] == "a,b" for lines in files)
+    assert sorted(x for lines in files for x in lines[1:]) == sorted([f'x{k},"' for k in range(1000)] * 2)
+
+
 def test_no_rows_write_no_dates(month, spark, tmp_path):
     done = write_by_date(month.limit(0), str(tmp_path), "flight_date")
     assert done.rows == 0
