@@ -229,6 +229,8 @@ class Packer:
                 target, mine = int(bucket[rows[0]]), records[rows]
                 if kind == "digests":
                     mine = combined(mine)
+                if kind == "runs":
+                    mine = distinct(mine)
                 if kind == "strings":
                     cells["text"][target] = pack(b"".join(map(self.strings.__getitem__, rows.tolist())))
                 cells[kind][target], counts[kind][target] = pack(columns_of(mine)), len(mine)
@@ -250,6 +252,12 @@ def combined(windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(records: np.ndarray) -> np.ndarray:
+    """Each record once: copies of a row have equal ones."""
+    ordered = records[np.lexsort([records[n] for n in records.dtype.names])]
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
 def columns_of(records: np.ndarray) -> bytes:
     """Field by field and byte by byte, so that the zeros of small numbers lie together."""
     fields = [np.diff(records[n], prepend=records[n].dtype.type(0)) if n == "doc" else records[n] for n in records.dtype.names]
@@ -403,7 +411,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
     """Where windows lie that occur more than once: runs (`doc_id`, `mark`, `start`, `n`) of windows.
 
     For frequent minimisers the runs have all their windows, and those that occur once follow with an
-    `n` of 0.
+    `n` of 0.  Runs are distinct, however often a row is repeated.
     """
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -418,7 +426,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
         once, passed = once[once["n"] == 1], all_of("runs", RUNS)
         join = lambda *parts: np.concatenate([p.astype(np.int64) for p in parts])
         mine = entries[which]
-        return pd.DataFrame(
+        runs = pd.DataFrame(
             {
                 "doc_id": join(mine["doc"], passed["doc"], once["doc"]),
                 "mark": join(mine["mark"], passed["mark"], once["mark"]),
@@ -426,6 +434,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fr
                 "n": join(n, passed["n"], np.zeros(len(once))),
             }
         )
+        # Equal runs, from copies of a row, have equal minimisers and so meet in this bucket.
+        return runs.drop_duplicates()
 
     dealt = _dealt(docs, window, gram, frequent, buckets)
     return dealt.groupBy("bucket").applyInPandas(count, "doc_id long, mark long, start long, n long")

@@ -55,6 +55,16 @@ def test_buckets_do_not_grow_with_the_input(monkeypatch, documents):
     assert result(got) == sorted(str((i, *w)) for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_runs_of_repeated_rows_come_once(documents, frequent):
+    texts = [" ".join(f"{a}{i}" for i in range(40)) for a in "xy"]
+    rows = [(1, texts[0])] * 50 + [(None, texts[1])] * 50 + [(2, texts[0])]
+    runs = list(map(tuple, sd.repeated_windows(documents(*rows), 5, 2, frequent, 3).collect()))
+    assert len(runs) == len(set(runs)) > 0
+    want = [(i, *w) for (i, _), w in zip(rows, plain.substring_dedup([t for _, t in rows], 5))]
+    assert result(sd.deduplicated(documents(*rows), 5, 2, frequent, 3)) == sorted(map(str, want))
+
+
 def test_two_texts_of_one_id(documents):
     text = " ".join(f"x{i}" for i in range(8))
     got = sd.deduplicated(documents((1, text), (1, "other " + text), (1, "nothing")), 5, 2, 10**9, 2)
