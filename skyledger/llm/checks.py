@@ -146,3 +146,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+_WORDS13 = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# A step of CRC-32 looks up one byte in a table of 256 entries, which follow from the polynomial.
+CHECKS["op13_importance_resampling"] = f"""
+WITH steps AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i)) AS step
+),
+docs AS (SELECT doc_id, {_WORDS13} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word FROM docs),
+targets AS (SELECT unnest({_WORDS13}) AS word FROM benchmark),
+hashed AS (
+    SELECT word, xor(list_reduce(
+        list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INTEGER, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, step[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+    FROM (SELECT word FROM words UNION SELECT word FROM targets), steps
+),
+corpus AS (SELECT bucket, count(*)::DOUBLE AS s FROM words JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*)::DOUBLE AS t FROM targets JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM corpus) + 10000)
+        / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000))))::BIGINT AS gain
+    FROM corpus LEFT JOIN target USING (bucket)
+),
+summed AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+    SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM docs LEFT JOIN summed USING (doc_id)
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) OVER (PARTITION BY n_features >= 20) AS n
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""

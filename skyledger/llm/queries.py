@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, line_dedup, secrets, simhash, substring_dedup, warc
+from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, line_dedup, resampling, secrets, simhash, substring_dedup, warc
 from skyledger.llm.checks import CHECKS as CHECKS
 from skyledger.llm.common import read
 from skyledger.session import work_folder
@@ -77,6 +77,11 @@ def op10_line_dedup(spark, folder):
     return line_dedup.report(read(spark, folder, "documents"))
 
 
+@query
+def op13_importance_resampling(spark, folder):
+    return resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 @query
 def pipeline(spark, folder):
     import corpus_pipeline
