@@ -149,6 +149,33 @@ FROM judged GROUP BY doc_id
 
 _WORDS13 = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS12 = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CHECKS["op12_lexical_search"] = f"""
+WITH docs AS (SELECT doc_id, {_TERMS12} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS12}) AS term FROM benchmark),
+tfs AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+    FROM tfs, totals GROUP BY term
+),
+impacts AS (
+    SELECT doc_id, term, weight * (1000000000 * tf // (1000 * tf + 20 * (100 - 50 + 50 * n * docs // terms))) AS impact
+    FROM tfs JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+),
+scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 # A step of CRC-32 looks up one byte in a table of 256 entries, which follow from the polynomial.
 CHECKS["op13_importance_resampling"] = f"""
 WITH steps AS (
