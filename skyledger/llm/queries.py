@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, lexical_search, line_dedup, resampling, secrets, simhash, substring_dedup, warc
+from skyledger.llm import bpe, chat, decontamination, embedding_dedup, language, lexical_search, line_dedup, resampling, secrets, simhash, substring_dedup, toxicity, warc
 from skyledger.llm.checks import CHECKS as CHECKS
 from skyledger.llm.common import read
 from skyledger.session import work_folder
@@ -77,6 +77,12 @@ def op10_line_dedup(spark, folder):
     return line_dedup.report(read(spark, folder, "documents"))
 
 
+@query
+def op11_toxicity(spark, folder):
+    docs = read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels")))
+
+
 @query
 def op12_lexical_search(spark, folder):
     return lexical_search.search(lexical_search.build_index(read(spark, folder, "documents")), read(spark, folder, "benchmark"))

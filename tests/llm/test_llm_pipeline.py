@@ -114,8 +114,8 @@ def test_components_against_brute_force(spark, seed):
     assert common.components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
-def test_ten_operators_and_the_pipeline():
-    assert [n.split("_")[0] for n in NAMES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"]
+def test_all_operators_and_the_pipeline():
+    assert [n.split("_")[0] for n in NAMES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13", "pipeline"]
     assert set(queries.CHECKS) < set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
