@@ -27,9 +27,11 @@ from skyledger.schemas import (
     FACT_POSITIONS,
     FLIGHT_COLUMNS,
     REJECTED_PAYLOADS,
+    ROUTE_OVERVIEW,
     ROUTE_PERFORMANCE,
     RUN_LOG,
     SILVER_FLIGHTS,
+    STAR_FLIGHTS,
 )
 from skyledger.plans import warehouse
 from skyledger.plans.gold import silver_to_gold
@@ -49,6 +51,7 @@ BATCH_UNTIL = dt.date(2002, 12, 31)
 RETENTION_RUN = dt.date(2000, 9, 1)
 EMPTIED = dt.date(1997, 6, 1)
 RERUN_AT = dt.datetime(2002, 1, 2, 6)
+CORRECTED_AT = dt.datetime(2002, 2, 1)
 REPORT_RUN = dt.date(2000, 9, 15)
 
 
@@ -393,28 +396,64 @@ def mart_refresh(spark, folder):
     return tables.read_table(spark, path, DELAY_ANALYSIS)
 
 
+def _warehouse(spark, name, silver):
+    """A new warehouse for silver flights: its folder, and a function that makes a run over what silver holds."""
+    work = work_folder(spark, name)
+    warehouse.write_calendar(spark, f"{work}/dw", dt.date(1990, 1, 1), dt.date(2005, 12, 31))
+    carriers = dimensions.distinct_carriers(silver).withColumn("carrier_name", F.col("carrier_code"))
+    codes = silver.select(F.explode(F.array("origin_airport", "dest_airport")).alias("airport_code")).distinct()
+    airports = codes.selectExpr("airport_code", "airport_code AS airport_name", "0D AS latitude", "0D AS longitude")
+
+    def run(part, since=None):
+        writers.write_by_date(writers.staged(part, "part"), f"{work}/silver/bts", "flight_date", spread=True)
+        return warehouse.refresh(spark, f"{work}/silver", f"{work}/dw", RERUN_AT, carriers, airports, since=since)
+
+    return f"{work}/dw", run
+
+
 @query
 def warehouse_rerun(spark, folder):
     """The same run twice, with more silver in between: the mart holds all flights."""
-    work = work_folder(spark, "warehouse")
-    silver = testbed.silver(spark, folder)
+    silver = writers.staged(testbed.silver(spark, folder), "silver")
     early = F.col("flight_date") < LOADED_UNTIL
-    warehouse.write_calendar(spark, f"{work}/dw", dt.date(1990, 1, 1), dt.date(2005, 12, 31))
-    carriers = dimensions.distinct_carriers(silver).withColumn("carrier_name", F.col("carrier_code"))
-    codes = silver.select(F.col("origin_airport").alias("airport_code")).distinct()
-    airports = codes.selectExpr("airport_code", "airport_code AS airport_name", "0D AS latitude", "0D AS longitude")
-    for part in (early, ~early):
-        writers.write_by_date(silver.filter(part), f"{work}/silver/bts", "flight_date")
-        warehouse.refresh(spark, f"{work}/silver", f"{work}/dw", RERUN_AT, carriers, airports)
-    return tables.read_table(spark, f"{work}/dw/mart_delay_analysis", DELAY_ANALYSIS)
+    root, run = _warehouse(spark, "warehouse", silver)
+    run(silver.filter(early))
+    run(silver.filter(~early))
+    return tables.read_table(spark, f"{root}/mart_delay_analysis", DELAY_ANALYSIS)
+
+
+def _corrected(spark, folder):
+    """A warehouse after late reports changed the delays of some flights that it held."""
+    silver = writers.staged(testbed.silver(spark, folder), "silver")
+    root, run = _warehouse(spark, "corrected", silver)
+    run(silver)
+    late = F.pmod(F.substring_index("flight_number", "-", 1).cast("bigint"), F.lit(50)) == 0
+    days = silver.filter(late).select("flight_date").distinct()
+    delay = F.when(late, F.col("arr_delay_minutes") + 60).otherwise(F.col("arr_delay_minutes"))
+    reported = silver.join(days, "flight_date", "left_semi").withColumn("arr_delay_minutes", delay)
+    run(flights.stamp_silver(reported, F.lit(CORRECTED_AT)), since=CORRECTED_AT)
+    return root
+
+
+@query
+def corrected_flights(spark, folder):
+    """The facts after a correction: corrected delays once, everything else as it was."""
+    facts = tables.read_table(spark, f"{_corrected(spark, folder)}/fact_flights", STAR_FLIGHTS)
+    return facts.select("flight_sk", "flight_date", "carrier_code", "arr_delay_minutes", "delay_category", "is_cancelled")
+
+
+@query
+def corrected_marts(spark, folder):
+    """The all-time mart after a correction, from what the correction added and took away."""
+    return tables.read_table(spark, f"{_corrected(spark, folder)}/mart_route_performance", ROUTE_OVERVIEW)
 
 
 @query
 def gold_emptied_day(spark, folder):
     """All flights of one day become cancelled; rebuilding the day leaves no row of it in the mart."""
     work = work_folder(spark, "emptied")
-    silver = testbed.silver(spark, folder).filter(F.year("flight_date") == EMPTIED.year)
-    writers.write_by_date(silver, f"{work}/silver/bts", "flight_date")
+    silver = writers.staged(testbed.silver(spark, folder), "silver")
+    writers.write_by_date(silver, f"{work}/silver/bts", "flight_date", spread=True)
     run = f"{EMPTIED:%Y%m%d}"
     silver_to_gold(spark, run, f"{work}/silver", f"{work}/gold")
     day = silver.filter(F.col("flight_date") == EMPTIED).withColumn("is_cancelled", F.lit(True))

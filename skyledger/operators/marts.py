@@ -22,6 +22,8 @@ SEVERE = WAREHOUSE_BANDS[-1][1]
 ROUTE = ["origin_airport", "dest_airport", "carrier_code"]
 PART_SUMS = ["flights", "arr_delay_sum", "arr_delay_count", "on_time", "severe"]
 
+CAUSES = ("carrier", "weather", "nas")
+
 # Grain of a mart -> name and expression of its period column.
 PERIODS = {
     "day": ("flight_date", lambda: F.col("flight_date")),
@@ -86,6 +88,11 @@ def carrier_daily(flights: DataFrame, carriers: DataFrame, key: str = "carrier_c
         F.count_if(category == ON_TIME).alias("on_time_count"),
         F.count_if(category == SEVERE).alias("severe_delay_count"),
     )
+    return _carrier_days(summed, carriers, key)
+
+
+def _carrier_days(summed: DataFrame, carriers: DataFrame, key: str) -> DataFrame:
+    """Sums per carrier key and day, named, those with one name put together, with rates."""
     versions = carriers.filter("is_current") if key == "carrier_code" else carriers
     named = lookup(summed, versions, key, key, {"carrier_name": "carrier_name"})
     keys = ["carrier_code", "carrier_name", "flight_date"]
@@ -161,27 +168,115 @@ def with_airports(routes: DataFrame, airports: DataFrame) -> DataFrame:
 
 def delay_analysis(flights: DataFrame) -> DataFrame:
     """Per carrier and month: averages and shares of the delay causes, where there is any delay."""
-    causes = {c: F.col(f"{c}_delay_minutes") for c in ("carrier", "weather", "nas")}
+    causes = {c: F.col(f"{c}_delay_minutes") for c in CAUSES}
     minutes = {c: F.coalesce(F.sum(v), F.lit(0.0)).alias(f"{c}_minutes") for c, v in causes.items()}
-    grouped = (
-        flights.groupBy("carrier_code", F.trunc("flight_date", "month").alias("flight_month"))
-        .agg(
-            *[F.avg(v).alias(f"avg_{c}_delay") for c, v in causes.items()],
-            *minutes.values(),
-        )
-        .withColumn("total_delay_minutes", sum((F.col(f"{c}_minutes") for c in causes), F.lit(0.0)))
+    grouped = flights.groupBy("carrier_code", F.trunc("flight_date", "month").alias("flight_month")).agg(
+        *[F.avg(v).alias(f"avg_{c}_delay") for c, v in causes.items()],
+        *minutes.values(),
     )
+    return _cause_shares(grouped)
+
+
+def _cause_shares(grouped: DataFrame) -> DataFrame:
+    """Shares of the causes' minutes, where there are any."""
+    grouped = grouped.withColumn("total_delay_minutes", sum((F.col(f"{c}_minutes") for c in CAUSES), F.lit(0.0)))
     total = F.col("total_delay_minutes")
     return grouped.filter(total > 0).select(
         "carrier_code",
         "flight_month",
-        *[f"avg_{c}_delay" for c in causes],
+        *[f"avg_{c}_delay" for c in CAUSES],
         total,
         share(F.col("weather_minutes"), total).alias("weather_delay_share"),
         share(F.col("carrier_minutes"), total).alias("carrier_delay_share"),
     )
 
 
+# Parts under signed changes.  Minutes are summed as whole millionths, so that what was added and taken
+# away again leaves nothing behind.
+
+MILLIONTHS = 1_000_000
+CARRIER_SUMS = [
+    "total_flights", "cancelled_flights", "dep_sum", "dep_count", "arr_sum", "arr_count", "on_time_count", "severe_delay_count",
+]
+CAUSE_SUMS = [f"{c}_{kind}" for c in CAUSES for kind in ("minutes", "count")]
+
+
+def _minutes(value: str) -> Column:
+    return F.coalesce(F.sum(F.col("sign") * F.round(F.col(value) * MILLIONTHS).cast("bigint")), F.lit(0))
+
+
+def _number(condition: Column) -> Column:
+    return F.sum(F.when(condition, F.col("sign")).otherwise(0))
+
+
+def carrier_parts(changes: DataFrame) -> DataFrame:
+    """What signed changes of flights add to the sums of each carrier version and day."""
+    category = warehouse_category(F.col("arr_delay_minutes"))
+    return changes.groupBy("flight_date", "carrier_code", "carrier_sk").agg(
+        F.sum("sign").alias("total_flights"),
+        _number(F.col("is_cancelled")).alias("cancelled_flights"),
+        _minutes("dep_delay_minutes").alias("dep_sum"),
+        _number(F.col("dep_delay_minutes").isNotNull()).alias("dep_count"),
+        _minutes("arr_delay_minutes").alias("arr_sum"),
+        _number(F.col("arr_delay_minutes").isNotNull()).alias("arr_count"),
+        _number(category == ON_TIME).alias("on_time_count"),
+        _number(category == SEVERE).alias("severe_delay_count"),
+    )
+
+
+def carrier_daily_of(parts: DataFrame, carriers: DataFrame) -> DataFrame:
+    """`carrier_daily` by carrier version, from any number of parts."""
+    keys = ["carrier_code", "flight_date", "carrier_sk"]
+    summed = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CARRIER_SUMS]).filter("total_flights <> 0")
+    return _carrier_days(_as_minutes(summed, "dep_sum", "arr_sum"), carriers, "carrier_sk")
+
+
+def route_changes(changes: DataFrame) -> DataFrame:
+    """What signed changes of flights add to the sums of each route, carrier and month."""
+    category = warehouse_category(F.col("arr_delay_minutes"))
+    named = changes.withColumnsRenamed({"origin_airport_code": "origin_airport", "dest_airport_code": "dest_airport"})
+    return named.groupBy(F.trunc("flight_date", "month").alias("flight_month"), *ROUTE).agg(
+        F.sum("sign").alias("flights"),
+        _minutes("arr_delay_minutes").alias("arr_delay_sum"),
+        _number(F.col("arr_delay_minutes").isNotNull()).alias("arr_delay_count"),
+        _number(category == ON_TIME).alias("on_time"),
+        _number(category == SEVERE).alias("severe"),
+    )
+
+
+def route_sums(parts: DataFrame) -> DataFrame:
+    """The all-time sums that `route_overview` takes, from any number of parts."""
+    summed = parts.groupBy(*ROUTE).agg(*[F.sum(m).alias(m) for m in PART_SUMS]).filter("flights <> 0")
+    return _as_minutes(summed, "arr_delay_sum")
+
+
+def cause_parts(changes: DataFrame) -> DataFrame:
+    """What signed changes of flights add to the minutes and counts of each carrier's delay causes in a month."""
+    sums = [
+        column
+        for c in CAUSES
+        for column in (
+            _minutes(f"{c}_delay_minutes").alias(f"{c}_minutes"),
+            _number(F.col(f"{c}_delay_minutes").isNotNull()).alias(f"{c}_count"),
+        )
+    ]
+    return changes.groupBy(F.trunc("flight_date", "month").alias("flight_month"), "carrier_code").agg(
+        F.sum("sign").alias("flights"), *sums
+    )
+
+
+def delay_analysis_of(parts: DataFrame) -> DataFrame:
+    """`delay_analysis` from any number of parts."""
+    summed = parts.groupBy("carrier_code", "flight_month").agg(*[F.sum(c).alias(c) for c in ("flights", *CAUSE_SUMS)])
+    minutes = _as_minutes(summed.filter("flights <> 0"), *[f"{c}_minutes" for c in CAUSES])
+    averages = {f"avg_{c}_delay": F.try_divide(F.col(f"{c}_minutes"), F.col(f"{c}_count")) for c in CAUSES}
+    return _cause_shares(minutes.withColumns(averages))
+
+
+def _as_minutes(summed: DataFrame, *columns: str) -> DataFrame:
+    return summed.withColumns({c: F.col(c) / MILLIONTHS for c in columns})
+
+
 def headline_measures() -> list[Column]:
     """Total flights, average delay, on-time rate, cancellation rate."""
     total = F.count(F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from skyledger.operators.flights import fact_flights
 from skyledger.operators.loading import days_of, on_days
 from skyledger.operators.marts import route_performance
 from skyledger.schemas import SILVER_FLIGHTS
+from skyledger.sources.stores import folders
 from skyledger.sources.tables import lies_by_day, read_table
 from skyledger.sources.writers import write_by_date
 
 log = logging.getLogger(__name__)
 
 FLIGHT_CLUSTER = ["carrier_code", "origin_airport"]
+MART_DAYS_PER_TASK = 8
 ROUTE_CLUSTER = ["origin_airport", "dest_airport"]
 
 
@@ -29,8 +32,8 @@ def build_fact_flights(
     By default every date is rebuilt; `only_run_date` rebuilds the one date `run_date` (YYYYMMDD).
     If silver has a folder per date, nothing is shuffled.
     """
-    flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
     rebuilt = [parse_day(run_date)] if only_run_date else []
+    flights = _silver(spark, silver, rebuilt)
     if only_run_date:
         flights = flights.filter(F.col("flight_date") == rebuilt[0])
     mode = "replace_dates" if only_run_date else "replace_all"
@@ -55,18 +58,29 @@ def build_route_aggregates(
     `touched` (one column `flight_date`) restricts the refresh to days that changed; a day that has no
     flights for the mart any more loses its rows.
     """
-    flights = read_table(spark, f"{silver}/bts", SILVER_FLIGHTS)
     days = [] if touched is None else days_of(touched, "flight_date")
+    flights = _silver(spark, silver, days)
     if touched is not None:
         flights = on_days(flights, days, "flight_date")
     mode = "replace_all" if touched is None else "replace_dates"
     mart = route_performance(flights, "day")
     path = f"{gold}/mart_route_performance"
-    done = write_by_date(mart, path, "flight_date", ROUTE_CLUSTER, mode, rebuilt=days)
+    # A day of the mart is bounded by its routes and carriers; a rebuild of all days deals them over tasks.
+    tasks = None if days else math.ceil(len(folders(spark, f"{silver}/bts")) / MART_DAYS_PER_TASK)
+    done = write_by_date(mart, path, "flight_date", ROUTE_CLUSTER, mode, rebuilt=days, tasks=tasks)
     log.info("mart_route_performance: %s rows", f"{done.rows:,}")
     return done.rows
 
 
+def _silver(spark: SparkSession, silver: str, days: list[dt.date | None]) -> DataFrame:
+    """Silver flights; for a single day no other folder is listed."""
+    path = f"{silver}/bts"
+    only = f"flight_date={days[0]}" if len(days) == 1 and days[0] is not None else ""
+    if only and only in folders(spark, path):
+        return read_table(spark, path, SILVER_FLIGHTS, only)
+    return read_table(spark, path, SILVER_FLIGHTS)
+
+
 def silver_to_gold(
     spark: SparkSession, run_date: str, silver: str, gold: str, only_run_date: bool = False
 ) -> dict[str, int]:

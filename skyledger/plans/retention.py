@@ -15,7 +15,6 @@ DATED = {
     "fact_flights": "flight_date",
     "fact_positions": "position_date",
     "mart_carrier_daily": "flight_date",
-    "route_parts_daily": "flight_date",
 }
 
 

@@ -123,6 +123,34 @@ MONTHLY_ROUTE_PARTS = T.StructType(
     [T.StructField("flight_month", T.DateType()), *ROUTE_PARTS.fields[1:]]
 )
 
+# What a load changes in the flight facts, and what that adds to the sums behind the marts; minutes of
+# parts are whole millionths.
+FLIGHT_CHANGES = T.StructType([*STAR_FLIGHTS.fields, T.StructField("sign", T.IntegerType())])
+
+CARRIER_PARTS = struct(
+    """flight_date DATE, carrier_code STRING, carrier_sk STRING, total_flights BIGINT,
+       cancelled_flights BIGINT, dep_sum BIGINT, dep_count BIGINT, arr_sum BIGINT, arr_count BIGINT,
+       on_time_count BIGINT, severe_delay_count BIGINT"""
+)
+
+ROUTE_CHANGES = struct(
+    """flight_month DATE, origin_airport STRING, dest_airport STRING, carrier_code STRING,
+       flights BIGINT, arr_delay_sum BIGINT, arr_delay_count BIGINT, on_time BIGINT, severe BIGINT"""
+)
+
+CAUSE_PARTS = struct(
+    """flight_month DATE, carrier_code STRING, flights BIGINT, carrier_minutes BIGINT,
+       carrier_count BIGINT, weather_minutes BIGINT, weather_count BIGINT, nas_minutes BIGINT,
+       nas_count BIGINT"""
+)
+
+ROUTE_OVERVIEW = struct(
+    """origin_airport STRING, dest_airport STRING, carrier_code STRING, total_flights BIGINT,
+       avg_arr_delay DOUBLE, on_time_rate DOUBLE, pct_severe_delays DOUBLE, origin_name STRING,
+       origin_latitude DOUBLE, origin_longitude DOUBLE, dest_name STRING, dest_latitude DOUBLE,
+       dest_longitude DOUBLE"""
+)
+
 DELAY_ANALYSIS = struct(
     """carrier_code STRING, flight_month DATE, avg_carrier_delay DOUBLE, avg_weather_delay DOUBLE,
        avg_nas_delay DOUBLE, total_delay_minutes DOUBLE, weather_delay_share DOUBLE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,6 +17,8 @@ from skyledger.sources.stores import NO_VALUE, remove_days
 
 # Keeps the files of a large date at a size that several tasks can read.
 ROWS_PER_FILE = 5_000_000
+# Folders that one task opens where days are many and small.
+DAYS_PER_TASK = 32
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,8 @@ def write_by_date(
     measures: Mapping[str, Column] | None = None,
     gathered: bool = False,
     rebuilt: Iterable[dt.date | None] = (),
+    spread: bool = False,
+    tasks: int | None = None,
 ) -> Written:
     """Write one folder per date, rows sorted by `cluster_by` for row-group skipping.
 
@@ -46,12 +51,20 @@ def write_by_date(
     The rebalance hint gives each date to one task as long as it is small and lets adaptive
     execution cut a date that is not.  With `gathered` there is no shuffle: the rows come unshuffled
     from a table with a folder per date, so a task holds few dates; of a large file that several tasks
-    read, each writes a file of its own.
+    read, each writes a file of its own.  With `spread` the rows are a written table, whose days are
+    counted first: a small batch over very many days is written by as many tasks as its files need,
+    where the hint would leave one, see `_spread`.  A caller who knows the number of days, none of
+    which is large, names the `tasks` that they are dealt over.
 
     The count sits in the stage that writes: there a task's figures are taken once, also when
     executors are lost and tasks run again.
     """
-    placed = rows if gathered else rows.hint("rebalance", day)
+    if gathered:
+        placed = rows
+    elif spread:
+        placed = _spread(rows, day)
+    else:
+        placed = rows.repartition(tasks, day) if tasks else rows.hint("rebalance", day)
     days = list(rebuilt)
     written = {"_days": F.collect_set(F.coalesce(F.col(day).cast("string"), F.lit(NO_VALUE)))} if days else {}
     counted, seen = _counted(placed, {**(measures or {}), **written})
@@ -71,6 +84,20 @@ def write_by_date(
     return _report(path, seen)
 
 
+def _spread(rows: DataFrame, day: str) -> DataFrame:
+    """Rows dealt by day over tasks by the number of days and rows; a large day gets several tasks.
+
+    The driver gets one row per day.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(day).agg(F.count(F.lit(1))).collect()}
+    tasks = max(1, math.ceil(len(counts) / DAYS_PER_TASK), math.ceil(sum(counts.values()) / ROWS_PER_FILE))
+    parts = F.lit(1)
+    for value, n in counts.items():
+        if n > ROWS_PER_FILE:
+            parts = F.when(F.col(day).eqNullSafe(F.lit(value)), math.ceil(n / ROWS_PER_FILE)).otherwise(parts)
+    return rows.repartition(tasks, day, F.pmod(F.monotonically_increasing_id(), parts))
+
+
 def append_table(rows: DataFrame, path: str, measures: Mapping[str, Column] | None = None) -> Written:
     """Append to an unpartitioned staging table."""
     counted, seen = _counted(rows, measures)
