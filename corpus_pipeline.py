@@ -27,9 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    gone = simhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates one row, that with the smallest id; see `simhash.representatives`."""
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

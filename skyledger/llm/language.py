@@ -19,7 +19,7 @@ from skyledger.llm.common import LETTER, classes
 
 RANKS = 300  # n-grams of a profile
 SAMPLE = 3000  # documents per language that profiles are fitted on, on average
-LANGUAGES = 1000  # at most so many are fitted, the most frequent ones
+LANGUAGES = 1000  # at most so many are fitted unless the caller says otherwise
 UNKNOWN = "und"
 POINT = 21  # bits of a code point
 
@@ -67,17 +67,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Profiles:
+def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Profiles:
     """Profiles from documents with text and label that are not held out.
 
     From each language about `sample` documents are taken, by a hash of their ids, so that fitting
     takes the same time for any number of documents.  N-grams are counted by Spark; the driver gets
-    `RANKS` rows per language.  Without labelled rows there are no languages, and every text is
+    `RANKS` rows per language.  Of more labels than `languages`, which bounds what driver and tasks hold,
+    the most frequent are learned, and documents of others go to the nearest of these.  Without labelled rows there are no languages, and every text is
     unknown.
     """
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col(label).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])

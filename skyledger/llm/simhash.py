@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.llm.common import byte_texts, components, staged
 
@@ -110,3 +111,41 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
     )
+
+
+def _unused(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def representatives(docs: DataFrame, radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs`, unchanged: one of each group of near-duplicates.
+
+    Groups are rows whose fingerprints links connect; the ids play no part in that, so rows with one id and
+    different texts are documents of their own.  Of a group the row with the smallest id stays, one without
+    an id only if no other is there; of several such rows one, equal rows among them.
+
+    The verdict is on rows: each is written with its fingerprint and a number of its own, and the numbers
+    of those that go come back to it.
+    """
+    bits, row = _unused(docs.columns, "bits"), _unused(docs.columns, "row")
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            prints = pa.array([fingerprint(text, shingle) for text in byte_texts(batch.column(place))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, bits])
+
+    # A schema of its own: `add` would change that of `docs`.
+    schema = T.StructType([*docs.schema.fields, T.StructField(bits, T.LongType())])
+    printed = staged(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    nameless = F.col("doc_id").isNull().alias("nameless")
+    slim = printed.select(nameless, F.col("doc_id").alias("id"), F.col(bits).alias("bits"), F.col(row).alias("row"))
+    points = slim.select("bits", F.col("bits").alias("node")).distinct()
+    found = components(links(points, radius), "node", "other").withColumnRenamed("node", "bits")
+    grouped = slim.join(found, "bits", "left").withColumn("group", F.coalesce("component", "bits"))
+    # Copies are combined before the shuffle.
+    first = grouped.groupBy("group").agg(F.min(F.struct("nameless", "id", "row")).alias("first"))
+    gone = grouped.join(first, "group").filter("row <> first.row").select(F.col("row").alias(row))
+    return printed.join(gone, row, "left_anti").select(*docs.columns)

@@ -8,12 +8,14 @@ with equal hashes compared word by word.
 
 A minimiser in very many places, as in a passage that a third of all documents hold, would make one
 bucket too large.  A first pass counts minimisers; windows of the few very frequent ones are told by
-128-bit digests, which go to buckets of their own, counted up by each task before.  What comes back is
-the windows that occur once: all others of these minimisers are repeated.
+128-bit BLAKE2 digests of their bytes, which go to buckets of their own, counted up by each task before.
+What comes back is the windows that occur once: all others of these minimisers are repeated.  No two
+different windows with one such digest are known; word hashes, which can collide, decide nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -190,7 +192,7 @@ class Packer:
         minis, starts, counts = super_kmers(hashes, self.window, gram)
         hot = among(minis, self.hot)
         if hot.any():
-            self._add_windows(doc, mark, hashes, minis[hot], starts[hot], counts[hot])
+            self._add_windows(doc, mark, text, word_starts, word_ends, starts[hot], counts[hot])
             minis, starts, counts = minis[~hot], starts[~hot], counts[~hot]
         if not len(minis):
             return
@@ -202,14 +204,18 @@ class Packer:
         self.strings += map(text.__getitem__, map(slice, first.tolist(), last.tolist()))
         self.size += int((last - first).sum())
 
-    def _add_windows(self, doc: int, mark: int, hashes: np.ndarray, minis: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+    def _add_windows(
+        self, doc: int, mark: int, text: bytes, word_starts: np.ndarray, word_ends: np.ndarray, starts: np.ndarray, counts: np.ndarray
+    ) -> None:
         runs = np.empty(len(starts), RUNS)
         runs["doc"], runs["mark"], runs["start"], runs["n"] = doc, mark, starts, counts
         # Runs may go to any bucket.
         self._put("runs", runs, mixed(starts.astype(np.uint64) ^ np.uint64(mark & (1 << 64) - 1)))
         places = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         records = np.empty(len(places), DIGESTS)
-        records["a"], records["b"] = (windows_hash(hashes, self.window, base)[places] for base in BASES[1:])
+        cuts = map(slice, word_starts[places].tolist(), word_ends[places + self.window - 1].tolist())
+        digests = b"".join([hashlib.blake2b(text[cut], digest_size=16).digest() for cut in cuts])
+        records["a"], records["b"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
         records["n"], records["doc"], records["mark"], records["start"] = 1, doc, mark, places
         self._put("digests", records, records["a"] >> np.uint64(32))
         self.size += records.nbytes

@@ -97,7 +97,7 @@ def test_stages_keep_further_columns(spark, tmp_path, clashing):
         after = stage(spark, frame, str(tmp_path))
         assert after.columns == frame.columns
         frame = common.staged(after, "stage")
-    assert sorted(map(str, (r["doc_id"] for r in frame.select("doc_id").collect()))) == ["1", "2", "3", "None"]
+    assert sorted(map(str, (r["doc_id"] for r in frame.select("doc_id").collect()))) == ["1", "2", "3"]
 
 
 

@@ -76,3 +76,39 @@ def test_no_ids_repeated_rows_and_clashing_names(clashing):
 
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents()).collect() == []
+
+
+A, B, C = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+
+
+@pytest.mark.parametrize(
+    "rows,kept",
+    [
+        ([(1, A), (5, A), (5, B)], [(1, A), (5, B)]),
+        ([(1, A), (1, A)], [(1, A)]),
+        ([(1, A), (None, A)], [(1, A)]),
+        ([(None, A), (None, A), (None, B)], [(None, A), (None, B)]),
+        ([(3, None), (2, ""), (4, " "), (None, None)], [(2, "")]),
+        ([(1, A), (1, B), (2, B), (2, C)], [(1, A), (1, B), (2, C)]),
+        ([], []),
+    ],
+)
+def test_one_row_of_each_group_stays(clashing, rows, kept):
+    docs = clashing(*rows)
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(kept, key=str)
+
+
+def test_rows_that_stay_against_brute_force(documents):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(50)}" for _ in range(60)] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(base))
+        if rng.random() < 0.5:
+            words[rng.randrange(60)] = "x"
+        rows.append((i, " ".join(words)))
+    classes = plain.simhash_classes(dict(rows))
+    got = {r["doc_id"] for r in simhash.representatives(documents(*rows)).collect()}
+    assert got == {i for i, c in classes.items() if i == c} and len(got) < 120
