@@ -308,6 +308,12 @@ versions AS (
 SELECT flight_date, flight_number, origin_airport, airport_sk AS origin_airport_sk, airport_name AS origin_name
 FROM flights LEFT JOIN versions ON origin_airport = airport_code AND flight_date >= f
  AND (t IS NULL OR flight_date <= t)""",
+    "mart_route_rollup": f"""WITH {FLIGHTS}, spans AS (
+ SELECT *, CAST(date_trunc('month', flight_date) AS DATE) AS flight_month FROM flights
+ UNION ALL SELECT *, NULL FROM flights)
+SELECT flight_month, origin_airport, dest_airport, carrier_code, count(*) AS total_flights, avg(arr_delay_minutes) AS avg_arr_delay,
+ quantile_disc(arr_delay_minutes, 0.5) AS median_arr_delay, quantile_disc(arr_delay_minutes, 0.95) AS p95_arr_delay
+FROM spans GROUP BY flight_month, origin_airport, dest_airport, carrier_code""",
     "mart_route_daily": f"WITH {FLIGHTS} {_ROUTES.format(period='flight_date, ')}",
     "mart_route_monthly": f"""WITH {FLIGHTS}
 {_ROUTES.format(period="CAST(date_trunc('month', flight_date) AS DATE) AS flight_month, ")}""",
@@ -395,3 +401,6 @@ FROM typed GROUP BY ALL""",
  avg(arr_delay_minutes) FILTER (faults = 0) AS avg_delay_minutes, CAST(NULL AS VARCHAR) AS gemini_summary,
  'success' AS pipeline_status, TIMESTAMP '2024-06-15 06:00:00' AS created_at FROM typed""",
 }
+
+CHECKS["fact_as_of"] = CHECKS["fact_point_in_time"]
+CHECKS["incremental_load_by_filter"] = CHECKS["incremental_load"]

@@ -12,6 +12,7 @@ from skyledger.functions.delays import warehouse_category
 from skyledger.operators import (
     audit,
     dimensions,
+    filters,
     flights,
     history,
     loading,
@@ -20,6 +21,7 @@ from skyledger.operators import (
     positions,
     quality,
     ranking,
+    sketches,
 )
 from skyledger.schemas import (
     BROKEN_LINE,
@@ -304,6 +306,21 @@ def fact_point_in_time(spark, folder):
     )
 
 
+@query
+def fact_as_of(spark, folder):
+    """The same versions as `fact_point_in_time`, by one order of facts and versions instead of a range join."""
+    routes = testbed.flights(spark, folder).select("flight_date", "flight_number", "origin_airport")
+    return dimensions.as_of(
+        routes,
+        testbed.airport_versions(spark, folder),
+        "origin_airport",
+        "airport_code",
+        "flight_date",
+        {"airport_sk": "origin_airport_sk", "airport_name": "origin_name"},
+        salts=4,
+    )
+
+
 # Marts and reports
 
 
@@ -317,6 +334,13 @@ def mart_route_monthly(spark, folder):
     return marts.route_performance(testbed.flights(spark, folder), "month")
 
 
+@query
+def mart_route_rollup(spark, folder):
+    """Quantiles of months and of all time, merged from stored daily sketches; the flights are read once."""
+    daily = writers.staged(sketches.daily_sketches(testbed.flights(spark, folder)), "sketches")
+    return sketches.route_rollup(daily)
+
+
 @query
 def mart_carrier_daily(spark, folder):
     return marts.carrier_daily(testbed.flights(spark, folder), testbed.carriers(spark, folder))
@@ -383,6 +407,19 @@ def incremental_load(spark, folder):
     return held.unionByName(fresh).select(*flights.FLIGHT_KEY, "flight_surrogate_key", "delay_category")
 
 
+@query
+def incremental_load_by_filter(spark, folder):
+    """The same load as `incremental_load`, which looks only for keys that a day's Bloom filter may hold."""
+    facts = flights.fact_flights(testbed.silver(spark, folder))
+    key, day = "flight_surrogate_key", "flight_date"
+    held = writers.staged(facts.filter(F.col(day) < LOADED_UNTIL), "held")
+    batch = facts.filter(F.col(day) >= BATCH_FROM)
+    stored = writers.staged(filters.day_filters(held, key, day), "filters")
+    marked = writers.staged(filters.may_hold(batch, stored, key, day), "marked")
+    fresh = filters.only_new_by_filter(marked, held, key, day)
+    return held.unionByName(fresh).select(*flights.FLIGHT_KEY, key, "delay_category")
+
+
 @query
 def mart_refresh(spark, folder):
     """A mart of the flights up to a day in mid-month; then the months of all later flights again."""

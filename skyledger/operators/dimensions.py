@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.keys import date_key
@@ -99,3 +99,69 @@ def lookup(
     if is_small(side, max_rows) if small is None else small:
         side = F.broadcast(side)
     return facts.join(side, match, "left").drop("_key", "_from", "_to")
+
+
+def as_of(
+    facts: DataFrame,
+    versions: DataFrame,
+    fact_key: str,
+    version_key: str,
+    valid_on: str,
+    take: Mapping[str, str],
+    salts: int = 1,
+) -> DataFrame:
+    """`lookup` with `valid_on`, for dimensions with very many versions per key.
+
+    A range join compares each fact with all versions of its key.  Here facts and versions are put in one
+    order by key and date, and each fact takes the last version before it; so the work grows with
+    facts plus versions, not with their product.  Versions of a key must not overlap; where none is
+    valid, facts keep NULLs.
+
+    So that a hot key is no single group, the order is cut by month: a version stands at the head of
+    each month that it reaches into, within the months of the facts.  `salts` cuts the facts of a key
+    and month further, at the price of so many copies of its versions.
+    """
+    names = facts.columns
+    row = F.struct(*[F.col(c) for c in names])
+    open_ended = F.coalesce("effective_to", F.lit(dt.date(9999, 12, 31)))
+    taken = F.struct(open_ended.alias("_to"), *[F.col(c).alias(a) for c, a in take.items()])
+    blank = F.lit(None).cast(versions.select(taken.alias("v")).schema["v"].dataType)
+
+    # Without a key or a date there is no version; such facts are not sorted.
+    dated = F.col(fact_key).isNotNull() & F.col(valid_on).isNotNull()
+    first, last = facts.filter(dated).agg(F.min(valid_on), F.max(valid_on)).first()
+    placed = facts.filter(dated).select(
+        F.col(fact_key).alias("_key"),
+        F.trunc(valid_on, "month").alias("_month"),
+        F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int").alias("_salt"),
+        F.col(valid_on).alias("_at"),
+        F.lit(True).alias("_fact"),
+        row.alias("_row"),
+        blank.alias("_version"),
+    )
+    begin = F.greatest("effective_from", F.lit(first).cast("date"))
+    end = F.least(open_ended, F.lit(last).cast("date"))
+    months = F.sequence(F.trunc(begin, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))
+    reaching = versions.filter(F.col(version_key).isNotNull() & (begin <= end)).select(
+        F.col(version_key).alias("_key"),
+        F.explode(months).alias("_month"),
+        F.array(*[F.lit(n) for n in range(salts)]).alias("_salts"),
+        F.col("effective_from").alias("_from"),
+        taken.alias("_version"),
+    )
+    heads = reaching.select(
+        "_key",
+        "_month",
+        F.explode("_salts").alias("_salt"),
+        F.greatest("_from", "_month").alias("_at"),
+        F.lit(False).alias("_fact"),
+        F.lit(None).cast(placed.schema["_row"].dataType).alias("_row"),
+        "_version",
+    )
+    # Of one date the version comes before the facts.
+    order = Window.partitionBy("_key", "_month", "_salt").orderBy("_at", "_fact")
+    carried = placed.unionByName(heads).withColumn("_last", F.last("_version", ignorenulls=True).over(order))
+    valid = F.when(F.col("_at") <= F.col("_last._to"), F.col("_last"))
+    found = carried.filter("_fact").select("_row.*", valid.alias("_valid"))
+    rest = facts.filter(~dated).withColumn("_valid", blank)
+    return found.unionByName(rest).select(*names, *[F.col(f"_valid.{a}").alias(a) for a in take.values()])

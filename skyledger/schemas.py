@@ -17,6 +17,7 @@ _TYPES = {
     "INT": T.IntegerType(),
     "BOOLEAN": T.BooleanType(),
     "STRINGS": T.ArrayType(T.StringType()),
+    "BINARY": T.BinaryType(),
 }
 
 
@@ -144,6 +145,11 @@ CAUSE_PARTS = struct(
        nas_count BIGINT"""
 )
 
+ROUTE_SKETCHES = struct(
+    """flight_date DATE, origin_airport STRING, dest_airport STRING, carrier_code STRING,
+       flights BIGINT, arr_delay_sum DOUBLE, arr_delay_count BIGINT, delays BINARY"""
+)
+
 ROUTE_OVERVIEW = struct(
     """origin_airport STRING, dest_airport STRING, carrier_code STRING, total_flights BIGINT,
        avg_arr_delay DOUBLE, on_time_rate DOUBLE, pct_severe_delays DOUBLE, origin_name STRING,
