@@ -270,6 +270,20 @@ UNION ALL SELECT 'no object', 3 * count(*), count(DISTINCT ts) FROM e""",
   FROM supplier WHERE s_acctbal >= 1000
   UNION ALL SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_acctbal > 9000""",
     ),
+    "scd2_late_snapshot": f"""WITH seen AS (
+ SELECT DISTINCT * FROM (
+  SELECT DATE '1990-01-01' AS seen, 'S' || CAST(s_suppkey AS VARCHAR) AS carrier_code, s_name AS carrier_name FROM supplier
+  UNION ALL SELECT DATE '2010-03-01', 'S' || CAST(s_suppkey AS VARCHAR), CASE WHEN s_nationkey < 3 THEN s_name || ' Group'
+   WHEN s_nationkey % 4 = 1 THEN s_name || ' Ltd' ELSE s_name END FROM supplier WHERE s_nationkey % 4 <> 3
+  UNION ALL SELECT DATE '2024-06-15', 'S' || CAST(s_suppkey AS VARCHAR),
+   CASE WHEN s_nationkey < 5 THEN s_name || ' Group' ELSE s_name END FROM supplier WHERE s_acctbal >= 1000
+  UNION ALL SELECT DATE '2024-06-15', 'C' || CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_acctbal > 9000)),
+hashed AS (SELECT *, {_hash(["carrier_name"])} AS row_hash FROM seen),
+starts AS (
+ SELECT * FROM hashed QUALIFY lag(row_hash) OVER (PARTITION BY carrier_code ORDER BY seen) IS DISTINCT FROM row_hash)
+SELECT md5(carrier_code || '|' || CAST(seen AS VARCHAR)) AS carrier_sk, carrier_code, carrier_name, row_hash, seen AS effective_from,
+ CAST(lead(seen) OVER (PARTITION BY carrier_code ORDER BY seen) - 1 AS DATE) AS effective_to,
+ lead(seen) OVER (PARTITION BY carrier_code ORDER BY seen) IS NULL AS is_current FROM starts""",
     "scd2_airport": "WITH "
     + _merge(
         "airport_code",

@@ -54,6 +54,7 @@ RETENTION_RUN = dt.date(2000, 9, 1)
 EMPTIED = dt.date(1997, 6, 1)
 RERUN_AT = dt.datetime(2002, 1, 2, 6)
 CORRECTED_AT = dt.datetime(2002, 2, 1)
+LATE_SNAPSHOT = dt.date(2010, 3, 1)
 REPORT_RUN = dt.date(2000, 9, 15)
 
 
@@ -263,6 +264,14 @@ def scd2_carrier(spark, folder):
     )
 
 
+@query
+def scd2_late_snapshot(spark, folder):
+    """A snapshot that arrives after a later one was merged takes its place in the history."""
+    merged = scd2_carrier(spark, folder)
+    seen = testbed.supplier_carriers_seen(spark, folder, LATE_SNAPSHOT)
+    return history.splice(merged, seen, "carrier_code", ["carrier_name"], "carrier_sk", "seen", LATE_SNAPSHOT)
+
+
 @query
 def scd2_airport(spark, folder):
     return history.merge_versions(

@@ -182,6 +182,24 @@ def supplier_carriers_later(spark: SparkSession, folder: str) -> DataFrame:
     return kept.unionByName(added)
 
 
+def supplier_carriers_seen(spark: SparkSession, folder: str, between: dt.date) -> DataFrame:
+    """All snapshots of that dimension with their day `seen`: the two others, and one `between` them.
+
+    It lacks the carriers of some nations, has the later names of others, and some names of its own.
+    """
+    suppliers = table(spark, folder, "supplier").filter(F.col("s_nationkey") % 4 != 3)
+    name = (
+        F.when(F.col("s_nationkey") < 3, F.concat("s_name", F.lit(" Group")))
+        .when(F.col("s_nationkey") % 4 == 1, F.concat("s_name", F.lit(" Ltd")))
+        .otherwise(F.col("s_name"))
+    )
+    middle = suppliers.select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("carrier_code"), name.alias("carrier_name"))
+    first = supplier_carriers(spark, folder).select("carrier_code", "carrier_name")
+    snapshots = {FIRST_SNAPSHOT: first, between: middle, RUN_DATE: supplier_carriers_later(spark, folder)}
+    seen = [rows.withColumn("seen", F.lit(day)) for day, rows in snapshots.items()]
+    return functools.reduce(DataFrame.unionByName, seen)
+
+
 def customer_airports(spark: SparkSession, folder: str) -> DataFrame:
     """An airport dimension as large as the customer table."""
     rows = _customer_airports(spark, folder)
