@@ -11,12 +11,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from skyledger.functions.order import interleaved
 from skyledger.functions.times import utc_date
 from skyledger.session import work_folder
 from skyledger.sources.stores import NO_VALUE, remove_days
 
 # Keeps the files of a large date at a size that several tasks can read.
 ROWS_PER_FILE = 5_000_000
+# Rows of a day that one task takes at least, before a day is cut.
+ROWS_PER_TASK = 1_000_000
 # Folders that one task opens where days are many and small.
 DAYS_PER_TASK = 32
 
@@ -41,8 +44,9 @@ def write_by_date(
     rebuilt: Iterable[dt.date | None] = (),
     spread: bool = False,
     tasks: int | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> Written:
-    """Write one folder per date, rows sorted by `cluster_by` for row-group skipping.
+    """Write one folder per date, rows sorted for row-group skipping by `cluster_by`, several columns in turn.
 
     `mode`: "replace_dates" rewrites only the dates that occur in `rows`, "replace_all" the table,
     "append" adds files.  With "replace_dates", `rebuilt` names the dates that `rows` were made for:
@@ -62,19 +66,21 @@ def write_by_date(
     if gathered:
         placed = rows
     elif spread:
-        placed = _spread(rows, day)
+        placed = _spread(rows, day, max(rows_per_file, ROWS_PER_TASK))
     else:
         placed = rows.repartition(tasks, day) if tasks else rows.hint("rebalance", day)
     days = list(rebuilt)
     written = {"_days": F.collect_set(F.coalesce(F.col(day).cast("string"), F.lit(NO_VALUE)))} if days else {}
     counted, seen = _counted(placed, {**(measures or {}), **written})
-    ordered = counted.sortWithinPartitions(day, *cluster_by)
+    # A column alone keeps its own order.
+    order = [interleaved(*cluster_by)] if len(cluster_by) > 1 else list(cluster_by)
+    ordered = counted.sortWithinPartitions(day, *order)
     save = "append" if mode == "append" else "overwrite"
     overwrite = "static" if mode == "replace_all" else "dynamic"
     (
         ordered.write.mode(save)
         .option("partitionOverwriteMode", overwrite)
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(day)
         .parquet(path)
     )
@@ -84,17 +90,17 @@ def write_by_date(
     return _report(path, seen)
 
 
-def _spread(rows: DataFrame, day: str) -> DataFrame:
+def _spread(rows: DataFrame, day: str, per_task: int) -> DataFrame:
     """Rows dealt by day over tasks by the number of days and rows; a large day gets several tasks.
 
     The driver gets one row per day.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(day).agg(F.count(F.lit(1))).collect()}
-    tasks = max(1, math.ceil(len(counts) / DAYS_PER_TASK), math.ceil(sum(counts.values()) / ROWS_PER_FILE))
+    tasks = max(1, math.ceil(len(counts) / DAYS_PER_TASK), math.ceil(sum(counts.values()) / per_task))
     parts = F.lit(1)
     for value, n in counts.items():
-        if n > ROWS_PER_FILE:
-            parts = F.when(F.col(day).eqNullSafe(F.lit(value)), math.ceil(n / ROWS_PER_FILE)).otherwise(parts)
+        if n > per_task:
+            parts = F.when(F.col(day).eqNullSafe(F.lit(value)), math.ceil(n / per_task)).otherwise(parts)
     return rows.repartition(tasks, day, F.pmod(F.monotonically_increasing_id(), parts))
 
 
