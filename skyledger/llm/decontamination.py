@@ -10,15 +10,20 @@ more passes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skyledger.llm.common import byte_texts
+from skyledger.llm.common import byte_texts, staged
 
 WINDOW = 13  # words
 BLOCK = 16 << 20  # characters of test items that tasks hold at a time
@@ -165,32 +170,103 @@ class Shard:
         return np.cumsum(cover)[:-1] > 0, items
 
 
-def _blocks(benchmark: DataFrame, size: int) -> list:
-    """Broadcasts of the test items in blocks of about `size` characters."""
+def _blocks(benchmark: DataFrame, size: int) -> tuple[int, Iterator[Broadcast]]:
+    """The number of blocks of about `size` characters of test items, and the blocks, broadcast one at a time.
+
+    Equal rows count once.  A block is collected when it is asked for and released after that; an item
+    longer than a block is one of its own with whatever shares its number.
+    """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string")).filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string"))
+    items = staged(items.filter("text is not null").distinct(), "test-items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-chars // size))
     part = F.pmod(F.xxhash64("name", "text"), F.lit(count))
-    blocks = []
-    for number in range(count):
-        rows = items.filter(part == number).select("name", F.encode("text", "UTF-8").alias("text")).collect()
-        blocks.append(spark.sparkContext.broadcast(Tests.of([(r["name"], bytes(r["text"])) for r in rows])))
-    return blocks
-
-
-def _hits(batch_texts: list[bytes | None], blocks: list) -> list[tuple[int, int, set[str]]]:
-    """Per document: words, hit words, names of the items."""
-    words = covered = names = None
-    for block in blocks:
-        shard = Shard(batch_texts, block.value)
-        cover, items = shard.hits(block.value)
-        covered = cover if covered is None else covered | cover
-        names = items if names is None else [a | b for a, b in zip(names, items)]
-        words = shard
-    sums = np.append(0, np.cumsum(covered))
-    hit = sums[words.starts + words.sizes] - sums[words.starts]
-    return list(zip(words.sizes.tolist(), hit.tolist(), names))
+
+    def each() -> Iterator[Broadcast]:
+        for number in range(count):
+            rows = items.filter(part == number).select("name", F.encode("text", "UTF-8").alias("text")).collect()
+            block = spark.sparkContext.broadcast(Tests.of([(r["name"], bytes(r["text"])) for r in rows]))
+            yield block
+            block.destroy()
+
+    return count, each()
+
+
+HITS = T.StructType(
+    [
+        T.StructField("starts", T.ArrayType(T.LongType())),
+        T.StructField("ends", T.ArrayType(T.LongType())),
+        T.StructField("names", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def _hits(texts: list[bytes | None], tests: Tests) -> list[dict | None]:
+    """Per text the runs of words that windows cover and the items they are of; None without any."""
+    shard = Shard(texts, tests)
+    cover, items = shard.hits(tests)
+    out: list[dict | None] = []
+    for start, size, names in zip(shard.starts.tolist(), shard.sizes.tolist(), items):
+        starts, ends = _runs(cover[start : start + size]) if names else ([], [])
+        out.append({"starts": starts, "ends": ends, "names": sorted(names)} if names else None)
+    return out
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """The rows of `docs` with a column of `HITS`, null where nothing is hit, and its name.
+
+    If all items are one block, that is one pass.  Otherwise the rows are written with a number, each block
+    is one search over all of them whose finds are written before the next block is loaded, and what
+    several blocks find in a row comes back by its number.
+    """
+    row, column = _unused(docs.columns, "row"), _unused(docs.columns, "found")
+    count, blocks = _blocks(benchmark, size)
+    kind = to_arrow_type(HITS)
+
+    def search(block: Broadcast, rows: DataFrame, kept: int, hit_only: bool) -> DataFrame:
+        """The first `kept` columns of the rows, and what is found in their text."""
+        place = rows.columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                found = pa.array(_hits(byte_texts(batch.column(place)), block.value), kind)
+                whole = pa.RecordBatch.from_arrays([*batch.columns[:kept], found], [*batch.schema.names[:kept], column])
+                yield whole.filter(found.is_valid()) if hit_only else whole
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:kept], T.StructField(column, HITS)]))
+
+    if count == 1:
+        return search(next(blocks), docs, len(docs.columns), False), column
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(row, "text")
+    parts = [staged(search(block, texts, 1, True), "found") for block in blocks]
+    # At most one row per block and document.
+    joined = [F.flatten(F.collect_list(f"{column}.{c}")).alias(c) for c in HITS.names]
+    merged = reduce(DataFrame.unionByName, parts).groupBy(row).agg(*joined).select(row, F.struct(*HITS.names).alias(column))
+    return numbered.join(merged, row, "left").drop(row), column
+
+
+def _runs(cover: np.ndarray) -> tuple[list[int], list[int]]:
+    edges = np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))
+    return np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+
+
+def _judged(text: bytes | None, found: dict | None) -> tuple[int, int, list[str]]:
+    """Words, hit words, names of the items in order."""
+    words = len(words_of(text))
+    if found is None:
+        return words, 0, []
+    change = np.zeros(words + 1, np.int64)
+    np.add.at(change, found["starts"], 1)
+    np.add.at(change, found["ends"], -1)
+    return words, int((np.cumsum(change)[:-1] > 0).sum()), sorted(set(found["names"]))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
 
 
 def contaminated(words: int, hit: int) -> bool:
@@ -205,12 +281,12 @@ def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFra
     text has no words; nor has a benchmark item without text.  Items with the same id count as one.
     Rows are taken one by one: repeated ones come out repeatedly, a null id stays null.
     """
-    blocks = _blocks(benchmark, block)
+    rows, column = _found(docs.select("doc_id", "text"), benchmark, block)
 
     def run(batches):
         for batch in batches:
-            found = _hits(byte_texts(batch.column("text")), blocks)
-            joined = [",".join(sorted(names)).encode() for _, _, names in found]
+            found = list(map(_judged, byte_texts(batch.column("text")), batch.column(column).to_pylist()))
+            joined = [",".join(names).encode() for _, _, names in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -225,19 +301,21 @@ def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFra
 
     kind = dict(docs.dtypes)["doc_id"]
     columns = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {columns}")
+    return rows.select("doc_id", F.col("text").cast("string"), column).mapInArrow(run, f"doc_id {kind}, {columns}")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of `docs`, unchanged, that are not contaminated."""
-    blocks, place = _blocks(benchmark, block), docs.columns.index("text")
+    place = docs.columns.index("text")
+    rows, _ = _found(docs, benchmark, block)
 
     def run(batches):
         for batch in batches:
-            found = _hits(byte_texts(batch.column(place)), blocks)
-            yield batch.filter(pa.array([not contaminated(words, hit) for words, hit, _ in found], pa.bool_()))
+            found = map(_judged, byte_texts(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist())
+            clean = batch.filter(pa.array([not contaminated(words, hit) for words, hit, _ in found], pa.bool_()))
+            yield clean.select(list(range(batch.num_columns - 1)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -247,15 +325,16 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -
     smallest document and place.  Shards report one match per suffix, the longest are chosen with
     partial maxima.  Items with the same id are told apart by nothing: the longest of them counts.
     """
-    blocks = _blocks(benchmark, block)
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = byte_texts(batch.column("text"))
-            for broadcast in blocks:
-                tests = broadcast.value
-                shard = Shard(texts, tests)
+    names = "item_id string, offset bigint, length bigint, doc_id bigint, position bigint"
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = []
+    for block_of in _blocks(benchmark, block)[1]:
+
+        def run(batches, block_of=block_of):
+            tests = block_of.value
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                shard = Shard(byte_texts(batch.column("text")), tests)
                 length, place, _ = shard.search(tests)
                 got = np.flatnonzero(length)
                 doc = shard.document_of(place[got])
@@ -270,9 +349,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -
                     ["item_id", "offset", "length", "doc_id", "position"],
                 )
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "item_id string, offset bigint, length bigint, doc_id bigint, position bigint"
-    )
+        parts.append(staged(source.mapInArrow(run, names), "matches"))
+    found = reduce(DataFrame.unionByName, parts)
     best = F.min(F.struct(-F.col("length"), "doc_id", "position")).alias("best")
     return found.groupBy("item_id", "offset").agg(best).select(
         "item_id", "offset", (-F.col("best.col1")).alias("length"), "best.doc_id", "best.position"

@@ -37,6 +37,7 @@ from skyledger.llm.common import byte_texts, staged
 SHARD_BYTES = 64 << 20  # of payload
 FILE_BYTES = 16 << 20  # compressed
 BINS = 4096  # ranges of ids that are weighed at a time
+LEAST_BINS = 16  # that a heavy range is divided into
 LEVEL = 6  # of compression
 DATE = "2000-01-01T00:00:00Z"  # of all records, unless given
 
@@ -131,29 +132,56 @@ class Archive:
     manifest: DataFrame
 
 
+def _sums(sizes: DataFrame, lows: np.ndarray, highs: np.ndarray, widths: np.ndarray) -> DataFrame:
+    """`range`, `bin`, `bytes`: the bytes in each bin of these ranges of ids."""
+    shared = sizes.sparkSession.sparkContext.broadcast((lows.astype(np.int64), highs.astype(np.int64), widths))
+
+    def run(batches):
+        lows, highs, widths = shared.value
+        for batch in batches:
+            ids, weight = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("page_id", "bytes"))
+            place = np.searchsorted(lows, ids, "right") - 1
+            inside = (place >= 0) & (ids <= highs[np.maximum(place, 0)])
+            ids, weight, place = ids[inside], weight[inside], place[inside]
+            # Unsigned, so that ranges wider than half of all numbers divide alike.
+            bins = (ids.view(np.uint64) - lows[place].view(np.uint64)) // widths[place]
+            pairs, which = np.unique(np.stack([place.astype(np.uint64), bins]), axis=1, return_inverse=True)
+            total = np.zeros(pairs.shape[1], np.int64)
+            np.add.at(total, which.ravel(), weight)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64)), pa.array(total)], ["range", "bin", "bytes"]
+            )
+
+    summed = sizes.mapInArrow(run, "range bigint, bin bigint, bytes bigint")
+    return summed.groupBy("range", "bin").agg(F.sum("bytes").alias("bytes"))
+
+
 def cut_points(sizes: DataFrame, shard_bytes: int) -> list[int]:
     """The smallest id of each shard but the first one.
 
-    Ranges of ids are weighed by their payload bytes; a range that is heavier than a shard is divided
-    further, so clustered ids do no harm.  The driver gets `BINS` sums at a time.
+    Ranges of ids are weighed by their payload bytes; ranges that are heavier than a shard are divided
+    further, all of a level by one job, so clustered ids do no harm.  There are fewer of these than
+    shards; the driver gets `BINS` sums at a time, or `LEAST_BINS` for each if that is more.
     """
-    ends = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+    known = sizes.filter("page_id is not null").select("page_id", "bytes")
+    ends = known.agg(F.min("page_id"), F.max("page_id")).first()
     if ends[0] is None:
         return []
     weights: list[tuple[int, int]] = []  # first id of a range, its bytes
     todo = [(ends[0], ends[1])]
     while todo:
-        low, high = todo.pop()
-        width = max(1, -(-(high - low + 1) // BINS))
-        # Both ends of the range divide alike, below zero too.
-        bin_ = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
-        inside = sizes.filter(F.col("page_id").between(low, high))
-        for row in inside.groupBy(bin_.cast("bigint").alias("bin")).agg(F.sum("bytes").alias("bytes")).collect():
+        bins = max(LEAST_BINS, BINS // len(todo))
+        widths = [max(1, -(-(high - low + 1) // bins)) for low, high in todo]
+        sums = _sums(known, *(np.array(x) for x in zip(*todo)), np.array(widths, np.uint64))
+        heavy = []
+        for row in sums.collect():
+            (low, high), width = todo[row["range"]], widths[row["range"]]
             first = low + row["bin"] * width
             if row["bytes"] > shard_bytes and width > 1:
-                todo.append((first, min(high, first + width - 1)))
+                heavy.append((first, min(high, first + width - 1)))
             else:
                 weights.append((first, row["bytes"]))
+        todo = sorted(heavy)
     cuts, filled = [], 0
     for first, weight in sorted(weights):
         if filled and filled + weight > shard_bytes:

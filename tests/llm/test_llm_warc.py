@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 
 from skyledger.llm import warc
@@ -112,6 +113,20 @@ def test_cut_points_split_the_bytes(spark, ids):
         assert max(shards.values()) <= 1100 and len(shards) >= 4
 
 
+def test_many_heavy_ranges_take_one_job_per_level(spark, monkeypatch):
+    """Clusters of ids far apart: every level of division is one job, however many ranges are heavy."""
+    levels = []
+    whole = warc._sums
+    monkeypatch.setattr(warc, "_sums", lambda *a: levels.append(len(a[1])) or whole(*a))
+    monkeypatch.setattr(warc, "BINS", 64)
+    ids = [c * 2**50 + i for c in range(-30, 30) for i in range(200)]
+    sizes = spark.createDataFrame([(i, 10) for i in ids] + [(None, 10)], "page_id long, bytes long")
+    cuts = warc.cut_points(sizes, 500)
+    assert max(levels) > 50 and len(levels) <= 16
+    shards = np.bincount(np.searchsorted(cuts, ids, "right")) * 10
+    assert shards.max() <= 1000 and len(cuts) >= 200
+
+
 def test_commit_can_be_repeated(spark, tmp_path):
     folder = f"{tmp_path}/a"
     archive = warc.write_archive(spark.createDataFrame(corpus(), PAGES), folder)
