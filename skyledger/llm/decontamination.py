@@ -10,7 +10,7 @@ more passes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -213,38 +213,55 @@ def _hits(texts: list[bytes | None], tests: Tests) -> list[dict | None]:
     return out
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, str]:
-    """The rows of `docs` with a column of `HITS`, null where nothing is hit, and its name.
+Verdict = tuple[int, int, list[str]]  # words, hit words, names of the items in order
 
-    If all items are one block, that is one pass.  Otherwise the rows are written with a number, each block
-    is one search over all of them whose finds are written before the next block is loaded, and what
-    several blocks find in a row comes back by its number.
+
+def _judged_rows(
+    docs: DataFrame, benchmark: DataFrame, size: int, finish: Callable[[pa.RecordBatch, list[Verdict]], pa.RecordBatch], schema: T.StructType
+) -> DataFrame:
+    """What `finish` makes of the batches of `docs` and the verdicts on their rows.
+
+    If all items are one block, that is one pass by one Python worker per task.  Otherwise the rows are
+    written with a number, each block is one search over all of them whose finds are written before the
+    next block is loaded, and what several blocks find in a row comes back by its number.
     """
-    row, column = _unused(docs.columns, "row"), _unused(docs.columns, "found")
+    place, kept = docs.columns.index("text"), len(docs.columns)
     count, blocks = _blocks(benchmark, size)
-    kind = to_arrow_type(HITS)
-
-    def search(block: Broadcast, rows: DataFrame, kept: int, hit_only: bool) -> DataFrame:
-        """The first `kept` columns of the rows, and what is found in their text."""
-        place = rows.columns.index("text")
+    if count == 1:
+        only = next(blocks)
 
-        def run(batches):
+        def at_once(batches):
             for batch in batches:
-                found = pa.array(_hits(byte_texts(batch.column(place)), block.value), kind)
-                whole = pa.RecordBatch.from_arrays([*batch.columns[:kept], found], [*batch.schema.names[:kept], column])
-                yield whole.filter(found.is_valid()) if hit_only else whole
+                texts = byte_texts(batch.column(place))
+                yield finish(batch, list(map(_judged, texts, _hits(texts, only.value))))
 
-        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:kept], T.StructField(column, HITS)]))
+        return docs.mapInArrow(at_once, schema)
 
-    if count == 1:
-        return search(next(blocks), docs, len(docs.columns), False), column
+    row, column = _unused(docs.columns, "row"), _unused(docs.columns, "found")
+    kind = to_arrow_type(HITS)
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(row, "text")
-    parts = [staged(search(block, texts, 1, True), "found") for block in blocks]
+    texts = numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    parts = []
+    for block in blocks:
+
+        def search(batches, block=block):
+            for batch in batches:
+                found = pa.array(_hits(byte_texts(batch.column(1)), block.value), kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "found"]).filter(found.is_valid())
+
+        schema_found = T.StructType([T.StructField("row", T.LongType()), T.StructField("found", HITS)])
+        parts.append(staged(texts.mapInArrow(search, schema_found), "found"))
     # At most one row per block and document.
-    joined = [F.flatten(F.collect_list(f"{column}.{c}")).alias(c) for c in HITS.names]
-    merged = reduce(DataFrame.unionByName, parts).groupBy(row).agg(*joined).select(row, F.struct(*HITS.names).alias(column))
-    return numbered.join(merged, row, "left").drop(row), column
+    joined = [F.flatten(F.collect_list(f"found.{c}")).alias(c) for c in HITS.names]
+    merged = reduce(DataFrame.unionByName, parts).groupBy(F.col("row").alias(row)).agg(*joined)
+    found = numbered.join(merged.select(row, F.struct(*HITS.names).alias(column)), row, "left").select(*docs.columns, column)
+
+    def from_finds(batches):
+        for batch in batches:
+            verdicts = list(map(_judged, byte_texts(batch.column(place)), batch.column(kept).to_pylist()))
+            yield finish(batch.select(list(range(kept))), verdicts)
+
+    return found.mapInArrow(from_finds, schema)
 
 
 def _runs(cover: np.ndarray) -> tuple[list[int], list[int]]:
@@ -252,8 +269,7 @@ def _runs(cover: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
 
 
-def _judged(text: bytes | None, found: dict | None) -> tuple[int, int, list[str]]:
-    """Words, hit words, names of the items in order."""
+def _judged(text: bytes | None, found: dict | None) -> Verdict:
     words = len(words_of(text))
     if found is None:
         return words, 0, []
@@ -281,41 +297,33 @@ def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFra
     text has no words; nor has a benchmark item without text.  Items with the same id count as one.
     Rows are taken one by one: repeated ones come out repeatedly, a null id stays null.
     """
-    rows, column = _found(docs.select("doc_id", "text"), benchmark, block)
-
-    def run(batches):
-        for batch in batches:
-            found = list(map(_judged, byte_texts(batch.column("text")), batch.column(column).to_pylist()))
-            joined = [",".join(names).encode() for _, _, names in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.int64()),
-                    pa.array([len(f[2]) for f in found], pa.int64()),
-                    pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
-                    pa.array([contaminated(f[0], f[1]) for f in found], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    columns = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return rows.select("doc_id", F.col("text").cast("string"), column).mapInArrow(run, f"doc_id {kind}, {columns}")
+    source = docs.select("doc_id", F.col("text").cast("string"))
+
+    def finish(batch, found):
+        joined = [",".join(names).encode() for _, _, names in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([f[0] for f in found], pa.int64()),
+                pa.array([f[1] for f in found], pa.int64()),
+                pa.array([len(f[2]) for f in found], pa.int64()),
+                pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
+                pa.array([contaminated(f[0], f[1]) for f in found], pa.bool_()),
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+    schema = T.StructType([source.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add("n_items", "long")
+    return _judged_rows(source, benchmark, block, finish, schema.add("items_sha256", "string").add("contaminated", "boolean"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of `docs`, unchanged, that are not contaminated."""
-    place = docs.columns.index("text")
-    rows, _ = _found(docs, benchmark, block)
 
-    def run(batches):
-        for batch in batches:
-            found = map(_judged, byte_texts(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist())
-            clean = batch.filter(pa.array([not contaminated(words, hit) for words, hit, _ in found], pa.bool_()))
-            yield clean.select(list(range(batch.num_columns - 1)))
+    def finish(batch, found):
+        return batch.filter(pa.array([not contaminated(words, hit) for words, hit, _ in found], pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return _judged_rows(docs, benchmark, block, finish, docs.schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
