@@ -43,5 +43,5 @@ def compact(
         rows = staged(on_days(read_table(spark, path, schema), part, day), "compacted")
         size = sum(sum(chosen[d]) for d in part)
         per_file = max(1, math.ceil(rows.count() * target / max(size, 1)))
-        write_by_date(rows, path, day, cluster_by, spread=True, rows_per_file=per_file)
+        write_by_date(rows, path, day, cluster_by, spread=True, rows_per_file=per_file, interleave=len(cluster_by) > 1)
     return days

@@ -45,6 +45,7 @@ def build_fact_flights(
         mode,
         gathered=lies_by_day(spark, f"{silver}/bts", "flight_date"),
         rebuilt=rebuilt,
+        interleave=True,
     )
     log.info("fact_flights: %s rows", f"{done.rows:,}")
     return done.rows
@@ -67,7 +68,7 @@ def build_route_aggregates(
     path = f"{gold}/mart_route_performance"
     # A day of the mart is bounded by its routes and carriers; a rebuild of all days deals them over tasks.
     tasks = None if days else math.ceil(len(folders(spark, f"{silver}/bts")) / MART_DAYS_PER_TASK)
-    done = write_by_date(mart, path, "flight_date", ROUTE_CLUSTER, mode, rebuilt=days, tasks=tasks)
+    done = write_by_date(mart, path, "flight_date", ROUTE_CLUSTER, mode, rebuilt=days, tasks=tasks, interleave=True)
     log.info("mart_route_performance: %s rows", f"{done.rows:,}")
     return done.rows
 

@@ -45,8 +45,11 @@ def write_by_date(
     spread: bool = False,
     tasks: int | None = None,
     rows_per_file: int = ROWS_PER_FILE,
+    interleave: bool = False,
 ) -> Written:
-    """Write one folder per date, rows sorted for row-group skipping by `cluster_by`, several columns in turn.
+    """Write one folder per date, rows sorted by `cluster_by` for row-group skipping.
+
+    With `interleave` its columns take turns bit by bit, so that a filter on any of them skips row groups.
 
     `mode`: "replace_dates" rewrites only the dates that occur in `rows`, "replace_all" the table,
     "append" adds files.  With "replace_dates", `rebuilt` names the dates that `rows` were made for:
@@ -72,8 +75,7 @@ def write_by_date(
     days = list(rebuilt)
     written = {"_days": F.collect_set(F.coalesce(F.col(day).cast("string"), F.lit(NO_VALUE)))} if days else {}
     counted, seen = _counted(placed, {**(measures or {}), **written})
-    # A column alone keeps its own order.
-    order = [interleaved(*cluster_by)] if len(cluster_by) > 1 else list(cluster_by)
+    order = [interleaved(*cluster_by)] if interleave else cluster_by
     ordered = counted.sortWithinPartitions(day, *order)
     save = "append" if mode == "append" else "overwrite"
     overwrite = "static" if mode == "replace_all" else "dynamic"

@@ -40,7 +40,7 @@ def groups_read(path, column, value):
 
 def test_a_filter_on_the_second_column_skips_row_groups(spark, tmp_path):
     rows = flights(spark, 40_000)
-    size = {"rows_per_file": 1000}
+    size = {"rows_per_file": 1000, "interleave": True}
     write_by_date(rows, f"{tmp_path}/turns", "flight_date", ["carrier", "origin"], **size)
     # One column after another, as before.
     (rows.coalesce(1).sortWithinPartitions("carrier", "origin").write.option("maxRecordsPerFile", 1000)
