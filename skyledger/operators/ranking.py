@@ -3,70 +3,88 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-BANDS = 256
+ROWS_PER_BAND = 500_000
 STRIDE = 16
 
 
-def rank_all(rows: DataFrame, measure: str, rank: str = "rank", bands: int = BANDS) -> DataFrame:
+def rank_all(rows: DataFrame, measure: str, rank: str = "rank", per_band: int = ROWS_PER_BAND) -> DataFrame:
     """`rank() OVER (ORDER BY measure DESC NULLS LAST)`, computed in parallel.
 
     A window without partition would sort everything in one task.  Instead, rows are counted per
     distinct value, the values are cut into bands at their quantiles, and each band is ranked on its
-    own, starting after the rows of all bands ahead of it.  The cut points and band totals are the
-    only things seen by every task: at most `bands` + 1 entries each, whatever the input.  Copies of
-    one value are a single row in the window, so a frequent value does not fill a band.
+    own, starting after the rows of all bands ahead of it.  There are as many bands as it takes for
+    one to hold about `per_band` values, so a band stays the work of one task however many values
+    there are.  The cut points form a tree: a value is compared with `STRIDE` of them on each level.
+    Every task sees the cut points, one for `per_band` values; band totals are joined by band.  Copies
+    of one value are a single row in the window, so a frequent value does not fill a band.
 
-    `rows` is read several times: pass a table, not a costly aggregation.
+    `rows` is read several times, once while planning: pass a table, not a costly aggregation.
     """
     value = F.col(measure)
+    bands = bands_for(rows, measure, per_band)
     tally = rows.groupBy(measure).agg(F.count(F.lit(1)).alias("_rows"))
-    steps = [i / bands for i in range(1, bands)]
-    # One row: the cut points in order, and every sixteenth of them.  A value is placed among these
-    # first and then among sixteen, instead of being compared with all.
-    none = F.array().cast(ArrayType(rows.schema[measure].dataType))
-    cuts = tally.agg(F.coalesce(F.percentile_approx(value, steps), none).alias("all")).select(
-        F.struct("all", F.filter("all", lambda _, i: i % STRIDE == STRIDE - 1).alias("some"))
-    )
-    passed = F.size(F.filter("_cuts.some", lambda c: c < value)) * STRIDE
-    nearby = F.slice("_cuts.all", F.col("_passed") + 1, F.lit(STRIDE))
-    place = F.col("_passed") + F.size(F.filter(nearby, lambda c: c < value))
-    banded = (
-        tally.withColumn("_cuts", cuts.scalar())
-        .withColumn("_passed", passed)
-        # The band of NULL is -1: behind all others.
-        .withColumn("_band", F.when(value.isNull(), F.lit(-1)).otherwise(place))
-        .drop("_cuts", "_passed")
+    banded = _banded(tally, measure, bands)
+    # One row with all band totals from the highest band to the lowest, as running sums, and a row per band of it.
+    totals = banded.groupBy("_band").agg(F.sum("_rows").alias("_total"))
+    falling = F.reverse(F.array_sort(F.collect_list(F.struct("_band", "_total"))))
+    nothing = F.struct(
+        F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<_of: int, _ahead: bigint>>").alias("bands")
     )
-    # One row: how many rows stand before each band, at position band + 2.
-    ahead = (
-        banded.groupBy("_band")
-        .agg(F.sum("_rows").alias("_total"))
-        .agg(F.collect_list(F.struct("_band", "_total")).alias("t"))
-        .select(F.transform(F.sequence(F.lit(-1), F.lit(bands)), lambda b: _rows_after(F.col("t"), b)))
+    running = F.aggregate(
+        falling,
+        nothing,
+        lambda acc, t: F.struct(
+            (acc["sum"] + t["_total"]).alias("sum"),
+            F.concat(acc["bands"], F.array(F.struct(t["_band"].alias("_of"), acc["sum"].alias("_ahead")))).alias("bands"),
+        ),
     )
+    ahead = totals.agg(running.alias("t")).select(F.inline("t.bands"))
     earlier = Window.partitionBy("_band").orderBy(value.desc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ranks = banded.withColumn("_ahead", ahead.scalar()).select(
+    ranks = banded.join(ahead, F.col("_band") == F.col("_of")).select(
         value.alias("_value"),
-        (
-            F.element_at("_ahead", F.col("_band") + 2)
-            + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-            + 1
-        ).alias(rank),
+        (F.col("_ahead") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1).alias(rank),
     )
     return rows.join(ranks, value.eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def _rows_after(totals: Column, band: Column) -> Column:
-    """Sum of the totals of all bands above `band`."""
-    above = F.filter(totals, lambda t: t["_band"] > band)
-    return F.aggregate(above, F.lit(0).cast("bigint"), lambda acc, t: acc + t["_total"])
+def bands_for(rows: DataFrame, measure: str, per_band: int = ROWS_PER_BAND) -> int:
+    """How many bands the distinct values make, counted by a sketch."""
+    return max(1, math.ceil(rows.agg(F.approx_count_distinct(measure)).first()[0] / per_band))
+
+
+def _banded(tally: DataFrame, measure: str, bands: int) -> DataFrame:
+    """`tally` with `_band`: the number of cut points below the value, or -1 for NULL, behind all others."""
+    value = F.col(measure)
+    steps = [i / bands for i in range(1, bands)]
+    if not steps:
+        return tally.withColumn("_band", F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    none = F.array().cast(ArrayType(tally.schema[measure].dataType))
+    # The sketch's error must stay well below the width of a band.
+    points = F.coalesce(F.percentile_approx(value, steps, max(10_000, 20 * bands)), none)
+    # Level k holds every cut point that is the last of STRIDE**k; the top one has at most STRIDE.
+    widths = [1]
+    while len(steps) // widths[-1] > STRIDE:
+        widths.append(widths[-1] * STRIDE)
+    levels = [_every("all", width).alias(f"l{k}") for k, width in enumerate(widths)]
+    cuts = tally.agg(points.alias("all")).select(F.struct(*levels))
+    placed = tally.withColumn("_cuts", cuts.scalar()).withColumn("_place", F.lit(0))
+    for k in reversed(range(len(widths))):
+        nearby = F.slice(F.col(f"_cuts.l{k}"), F.col("_place") * STRIDE + 1, F.lit(STRIDE))
+        passed = F.size(F.filter(nearby, lambda c: c < value))
+        placed = placed.withColumn("_place", F.col("_place") * STRIDE + passed)
+    return placed.withColumn("_band", F.when(value.isNull(), F.lit(-1)).otherwise(F.col("_place"))).drop("_cuts", "_place")
+
+
+def _every(points: str, width: int) -> Column:
+    return F.filter(points, lambda _, i: i % width == width - 1)
 
 
 def route_delays(flights: DataFrame) -> DataFrame:
