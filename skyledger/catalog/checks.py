@@ -172,6 +172,12 @@ SELECT md5({key} || '|2024-06-15'), {key}, {cols}, row_hash, DATE '2024-06-15',
 WHERE {key} IN (FROM changed) OR {key} NOT IN (SELECT {key} FROM old)"""
 
 
+def _pad(byte: int) -> str:
+    """The padded key of `masked_view`, combined with a byte, as a literal."""
+    return "'" + "".join(f"\\x{b ^ byte:02X}" for b in b"a key for the check".ljust(64, b"\0")) + "'::BLOB"
+
+
+
 _RULES = {
     "flight_date_present": "flight_date IS NOT NULL",
     "carrier_present": "carrier_code IS NOT NULL",
@@ -254,6 +260,8 @@ UNION ALL SELECT 'no object', 3 * count(*), count(DISTINCT ts) FROM e""",
     "surrogate_key": f"""WITH {FACTS} SELECT carrier_code, flight_number, flight_date, origin_airport, dest_airport,
  route_key, flight_surrogate_key FROM facts""",
     "mask_tail": f"WITH {FLIGHTS} SELECT flight_number, carrier_code, sha256(tail_number) AS tail_number FROM flights",
+    "masked_view": f"""WITH {FLIGHTS} SELECT flight_number, carrier_code,
+ sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(tail_number)))) AS tail_number FROM flights""",
     "dim_date": f"""WITH {CALENDAR} SELECT strftime(full_date, '%Y%m%d') AS date_sk, full_date,
  CAST(year(full_date) AS INTEGER) AS year, CAST(month(full_date) AS INTEGER) AS month,
  CAST(day(full_date) AS INTEGER) AS day_of_month, dayname(full_date) AS day_name, monthname(full_date) AS month_name,
@@ -368,6 +376,14 @@ SELECT * FROM marts WHERE flight_date <> DATE '1997-06-01'""",
     "daily_stats": f"""WITH {LABELLED} SELECT flight_date, count(*) AS total_flights,
  avg(arr_delay_minutes) AS avg_delay_minutes, count(*) FILTER (is_cancelled) AS cancelled_flights,
  count(*) FILTER (delay_category = 'Severe') AS severe_delay_count FROM labelled GROUP BY flight_date""",
+    "daily_health": f"""WITH {LABELLED}, volume AS (
+ SELECT flight_date, carrier_code, count(*) AS n FROM labelled WHERE flight_date IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY flight_date ORDER BY n DESC, carrier_code) AS position FROM volume),
+busiest AS (SELECT flight_date, string_agg(carrier_code || ':' || n, ',' ORDER BY position) AS top_carriers
+ FROM ranked WHERE position <= 3 GROUP BY flight_date)
+SELECT flight_date, count(*) AS total_flights, count(*) FILTER (is_cancelled) AS cancelled_flights,
+ count(*) FILTER (delay_category = 'Severe') AS severe_delay_count, avg(arr_delay_minutes) AS avg_delay_minutes,
+ any_value(top_carriers) AS top_carriers FROM labelled JOIN busiest USING (flight_date) GROUP BY flight_date""",
     "scorecards": f"WITH {LABELLED} SELECT {_HEADLINES} FROM labelled",
     "daily_trend": f"WITH {LABELLED} SELECT flight_date, {_HEADLINES} FROM labelled GROUP BY flight_date",
     "top_carriers": f"""WITH {FLIGHTS}, volume AS (

@@ -36,7 +36,9 @@ from skyledger.schemas import (
     STAR_FLIGHTS,
 )
 from skyledger.plans import warehouse
+from skyledger.plans.access import READS_SENSITIVE
 from skyledger.plans.gold import silver_to_gold
+from skyledger.plans.health import health
 from skyledger.plans.ingest import REJECTED, land_positions
 from skyledger.session import work_folder
 from skyledger.sources import payloads, stores, tables, testbed, writers
@@ -56,6 +58,7 @@ RERUN_AT = dt.datetime(2002, 1, 2, 6)
 CORRECTED_AT = dt.datetime(2002, 2, 1)
 LATE_SNAPSHOT = dt.date(2010, 3, 1)
 REPORT_RUN = dt.date(2000, 9, 15)
+MASK_KEY = "a key for the check"
 
 
 def query(function: Query) -> Query:
@@ -239,6 +242,15 @@ def mask_tail(spark, folder):
     return masking.masked(testbed.silver(spark, folder)).select("flight_number", "carrier_code", "tail_number")
 
 
+@query
+def masked_view(spark, folder):
+    """What a reader without the role sees: keyed hashes, of which the role's members would see the texts."""
+    name = F.col("s_name").alias("user_name")
+    members = spark.read.parquet(f"{folder}/supplier.parquet").select(name, F.lit(READS_SENSITIVE).alias("role"))
+    seen = masking.readable(testbed.silver(spark, folder), members, READS_SENSITIVE, key=MASK_KEY)
+    return seen.select("flight_number", "carrier_code", "tail_number")
+
+
 # Dimensions
 
 
@@ -371,6 +383,15 @@ def daily_stats(spark, folder):
     return marts.daily_stats(testbed.flights(spark, folder))
 
 
+@query
+def daily_health(spark, folder):
+    """The figures of the daily health run, for every day: statistics and the three busiest carriers."""
+    facts = testbed.flights(spark, folder)
+    figures = health(facts, facts.filter("flight_date IS NOT NULL").select("flight_date").distinct())
+    busiest = F.transform("top_carriers", lambda c: F.concat_ws(":", c["carrier_code"], c["total_flights"].cast("string")))
+    return figures.withColumn("top_carriers", F.array_join(busiest, ","))
+
+
 @query
 def scorecards(spark, folder):
     return marts.scorecards(testbed.flights(spark, folder))

@@ -21,7 +21,28 @@ def masked(
     """
     if hide:
         return rows.drop(*columns)
-    return rows.withColumns({c: _keyed(F.col(c), key) if key else F.sha2(F.col(c), 256) for c in columns})
+    return rows.withColumns({c: _hidden(F.col(c), key) for c in columns})
+
+
+def readable(
+    rows: DataFrame,
+    members: DataFrame,
+    role: str,
+    columns: Sequence[str] = SENSITIVE,
+    key: str = "",
+) -> DataFrame:
+    """Sensitive columns as they are for users who have the role, masked for all others.
+
+    `members` lists who has which role (`user_name`, `role`).  The user is looked up when a query runs, not
+    when this is called; one membership test serves the whole query.
+    """
+    held = members.filter((F.col("role") == role) & (F.col("user_name") == F.session_user()))
+    allowed = held.agg((F.count(F.lit(1)) > 0).alias("allowed")).scalar()
+    return rows.withColumns({c: F.when(allowed, F.col(c)).otherwise(_hidden(F.col(c), key)) for c in columns})
+
+
+def _hidden(text: Column, key: str) -> Column:
+    return _keyed(text, key) if key else F.sha2(text, 256)
 
 
 def _keyed(text: Column, key: str) -> Column:

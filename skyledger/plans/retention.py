@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
-from skyledger.plans.ingest import FLIGHTS, POSITIONS, STAGED, STATES
-from skyledger.sources.stores import day_folders, folders, remove
+from skyledger.plans.ingest import FLIGHTS, POSITIONS, REJECTED, STAGED, STATES
+from skyledger.sources.stores import day_folders, folders, remove, remove_older
 
 KEEP_DAYS = 365
 # Below the warehouse: tables with a folder per date, and the column of that date.
@@ -16,6 +16,15 @@ DATED = {
     "fact_positions": "position_date",
     "mart_carrier_daily": "flight_date",
 }
+# Tables that runs only add to, by the root they lie below; they have no date of their own.
+ADDED_TO = {
+    "silver": ("load_log",),
+    "bronze": (REJECTED,),
+    "root": ("raw_fr24_positions", "rejected_payloads", "pipeline_run_log"),
+}
+# A ledger tells which months were loaded and is small, so it outlives what it tells of.
+KEEP_LEDGERS = 3 * KEEP_DAYS
+LEDGERS = ("load_log", "pipeline_run_log")
 
 
 def drop_expired(
@@ -30,8 +39,10 @@ def drop_expired(
 
     Silver flights and staged months below `silver`, landed feeds below `bronze`, facts and daily marts
     below the warehouse `root`.  A month is dropped when all its days are too old; rows without a day
-    are kept.  Monthly marts stay: they are the history that is left.  Folders are found by listing, no
-    rows are read.
+    are kept.  Monthly marts stay: they are the history that is left.  Staged position batches, rejects and
+    run logs, which are only added to, lose the files that were written so long ago, the logs after
+    `KEEP_LEDGERS` (or `keep_days`, if that is longer).  Folders and files are found by listing, no rows
+    are read.
     """
     first_kept = run_date - dt.timedelta(keep_days)
     dropped: list[str] = []
@@ -53,6 +64,11 @@ def drop_expired(
     if root:
         for table, column in DATED.items():
             drop(day_folders(spark, f"{root}/{table}", column))
+    for place, parent in (("silver", silver), ("bronze", bronze), ("root", root)):
+        for table in ADDED_TO[place] if parent else ():
+            days = max(KEEP_LEDGERS, keep_days) if table in LEDGERS else keep_days
+            oldest = dt.datetime.combine(run_date - dt.timedelta(days), dt.time())
+            dropped += remove_older(spark, f"{parent}/{table}", oldest)
     return dropped
 
 

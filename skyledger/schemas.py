@@ -168,3 +168,17 @@ RUN_LOG = struct(
        total_rows_loaded BIGINT, rows_rejected BIGINT, avg_delay_minutes DOUBLE,
        gemini_summary STRING, pipeline_status STRING, created_at TIMESTAMP"""
 )
+# Who has which role.
+ROLE_MEMBERS = struct("user_name STRING, role STRING")
+_VOLUMES = T.ArrayType(struct("carrier_code STRING, total_flights BIGINT"))
+# The health of a day, as the daily run found it.
+DAILY_HEALTH = T.StructType(
+    [
+        *struct(
+            """flight_date DATE, total_flights BIGINT, cancelled_flights BIGINT, severe_delay_count BIGINT,
+               avg_delay_minutes DOUBLE"""
+        ).fields,
+        T.StructField("top_carriers", _VOLUMES),
+        *struct("usual_flights DOUBLE, alerts STRINGS, run_timestamp TIMESTAMP").fields,
+    ]
+)

@@ -28,6 +28,7 @@ from skyledger.schemas import (
     SILVER_FLIGHTS,
     STAR_FLIGHTS,
 )
+from skyledger.sources.stores import set_age
 from skyledger.sources.tables import read_table
 from skyledger.sources.writers import write_by_date
 
@@ -400,6 +401,26 @@ def test_retention_program(spark, silver_of, tmp_path):
     assert drop_expired(spark, run, silver, bronze, root) == []
 
 
+def test_retention_of_what_is_only_added_to(spark, tmp_path):
+    """Staged batches, rejects and logs lose old files; logs are kept longer, marks and young files stay."""
+    bronze, root = str(tmp_path / "bronze"), str(tmp_path / "dw")
+    tables = [f"{bronze}/rejected/fr24", f"{root}/raw_fr24_positions/batch=0", f"{root}/raw_fr24_positions/batch=1", f"{root}/pipeline_run_log"]
+    for path in tables:
+        spark.range(3).coalesce(1).write.parquet(path)
+    today = dt.datetime.now(dt.timezone.utc).date()
+    assert drop_expired(spark, today, bronze=bronze, root=root) == []
+    for path in (tables[0], tables[1], tables[3]):
+        set_age(spark, path, 400)
+    gone = drop_expired(spark, today, bronze=bronze, root=root)
+    assert gone == [tables[0], tables[1]]
+    assert spark.read.parquet(f"{root}/raw_fr24_positions").count() == 3
+    assert spark.read.parquet(tables[3]).count() == 3
+    set_age(spark, tables[3], 1200)
+    spark.range(2).coalesce(1).write.mode("append").parquet(tables[3])
+    (old,) = drop_expired(spark, today, bronze=bronze, root=root)
+    assert old.startswith(f"{tables[3]}/part-") and spark.read.parquet(tables[3]).count() == 2
+
+
 def test_command_line(spark, silver_of, tmp_path, monkeypatch):
     import skyledger.__main__ as cli
 
