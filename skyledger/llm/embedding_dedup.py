@@ -5,7 +5,7 @@ nearly every line, others on few; so pairs are told by the number of lines on wh
 window centred at the other, and those with enough collisions are verified by their cosine.
 
 Every line lets a fixed share of all pairs collide, which would make counting quadratic.  So a first
-set of lines, cut at the median of the sorted projections, puts vectors into cells, several times with
+set of lines, cut close to the median of the sorted projections, puts vectors into cells, several times with
 other lines; collisions are counted within cells.  Cells hold a fixed number of vectors on average,
 whatever the number of vectors.  How many such tables there are, and how many collisions a pair needs,
 is calibrated for the wanted recall: vectors of a bounded sample get artificial partners exactly at the
@@ -41,6 +41,9 @@ TABLES = 96  # at most
 SAMPLE = 4096  # vectors that medians, tables and counts are calibrated on, on average
 PAIRS = 20_000  # links among them that are looked at
 SEED = 20
+BLOCK = 64  # vectors that are projected at once
+MIDDLE = 0.02  # how far from the median a cut may lie, as a share of the ranks
+NARROW = 1e-9  # gaps below this are due to rounding
 
 
 @lru_cache(maxsize=8)
@@ -48,6 +51,36 @@ def lines(dimension: int, count: int, kind: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimension, kind]).standard_normal((dimension, count))
 
 
+def projected(unit: np.ndarray, cast: np.ndarray) -> np.ndarray:
+    """`unit @ cast`, in blocks of one size.
+
+    The last bit of a matrix product depends on the shape of the matrix.  A vector's cells are computed
+    by several tasks, among other vectors each time, and must not differ.
+    """
+    blocks = -(-len(unit) // BLOCK)
+    padded = np.zeros((blocks * BLOCK, unit.shape[1]))
+    padded[: len(unit)] = unit
+    out = np.empty((len(padded), cast.shape[1]))
+    for start in range(0, len(padded), BLOCK):
+        np.matmul(padded[start : start + BLOCK], cast, out=out[start : start + BLOCK])
+    return out[: len(unit)]
+
+
+def cuts(values: np.ndarray) -> np.ndarray:
+    """Where to cut each column near its median: in the middle of a gap, so that no value lies on a cut.
+
+    The widest gap among the middle ranks is taken.  Where they are all alike, the cut lies beyond them.
+    """
+    ranked = np.sort(values, axis=0)
+    middle, about = len(ranked) // 2, int(MIDDLE * len(ranked)) + 1
+    window = ranked[max(0, middle - about) : middle + about + 1]
+    if len(window) < 2:
+        return window[-1] + NARROW
+    widest = np.diff(window, axis=0).argmax(axis=0)[None]
+    below, above = (np.take_along_axis(window, widest + k, axis=0)[0] for k in (0, 1))
+    return np.where(above - below > NARROW, (below + above) / 2, window[-1] + NARROW)
+
+
 @dataclass(frozen=True)
 class Plan:
     """What all tasks agree on, for vectors of one number of dimensions."""
@@ -64,7 +97,7 @@ class Plan:
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """The cell of each vector in each table."""
-        sides = unit @ lines(unit.shape[1], len(self.medians), 0)[:, : self.tables * self.bits] > self.medians[: self.tables * self.bits]
+        sides = projected(unit, lines(unit.shape[1], len(self.medians), 0)[:, : self.tables * self.bits]) > self.medians[: self.tables * self.bits]
         weights = np.left_shift(np.int64(1), np.arange(self.bits, dtype=np.int64))
         return sides.reshape(len(unit), self.tables, self.bits).astype(np.int64) @ weights
 
@@ -108,7 +141,7 @@ def calibrated(sample: np.ndarray, vectors: int, threshold: float) -> Plan:
     bits = int(np.clip(np.ceil(np.log2(max(2, vectors) / CELL)), 0, 40))
     medians, tables = np.empty(0), 1
     while bits:
-        medians = np.median(sample @ lines(dimension, TABLES * bits, 0), axis=0)
+        medians = cuts(projected(sample, lines(dimension, TABLES * bits, 0)))
         whole = Plan(threshold, bits, TABLES, medians, 0)
         found = [np.maximum.accumulate(whole.cells(a) == whole.cells(b), axis=1).mean(axis=0) for a, b in pairs]
         tables = int(np.searchsorted(np.minimum.reduce(found), RECALL)) + 1

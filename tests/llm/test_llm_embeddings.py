@@ -108,6 +108,45 @@ def test_calibration_reaches_its_recall():
         assert (counts >= plan.least).mean() > 0.985
 
 
+@pytest.mark.parametrize("n", [2, 3, 701, 4097])
+def test_cells_do_not_depend_on_the_batch(n):
+    """Each vector of the sample, odd or even, has the same cells alone, among few, and among all."""
+    rng = np.random.default_rng(n)
+    sample = ed._unit(rng.standard_normal((n, 24)))
+    plan = ed.calibrated(sample, 200_000, 0.95)
+    assert plan.bits
+    whole = plan.cells(sample)
+    some = sample[:: max(1, n // 200)]
+    for size in (1, 3, 7, 65):
+        parts = [plan.cells(some[k : k + size]) for k in range(0, len(some), size)]
+        assert (np.concatenate(parts) == whole[:: max(1, n // 200)]).all()
+
+
+def test_no_value_lies_on_a_cut():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 101, 4097):
+        for values in (rng.standard_normal((n, 50)), np.ones((n, 3)), 1 + 1e-15 * rng.integers(0, 3, (n, 3))):
+            at = ed.cuts(values)
+            assert np.abs(values - at).min() >= ed.NARROW / 2.01
+            if n > 100 and values.shape[1] == 50:
+                assert np.abs((values > at).mean(axis=0) - 0.5).max() <= ed.MIDDLE + 2 / n
+
+
+def test_links_are_exact_where_all_are_found(vectors, monkeypatch):
+    """An odd sample that holds all vectors: every link counts once for both of its vectors."""
+    monkeypatch.setattr(ed, "CELL", 4)
+    monkeypatch.setattr(ed, "RECALL", 1.0)
+    rows = clusters(9, 467)
+    assert len(rows) % 2 == 0
+    rows = rows[:-1]
+    links, classes = exact(rows)
+    got = as_rows(ed.near_duplicates(vectors(*rows)))
+    count = {i: sum(i in link for link in links) for i, _ in rows}
+    found = sum(n for n, _, _ in got.values())
+    assert all(got[i][0] <= count[i] for i in count)
+    assert found % 2 == 0 and found >= 0.998 * 2 * len(links)
+
+
 def test_collisions_are_windows_around_each_vector():
     rng = np.random.default_rng(4)
     a, b = ed._unit(rng.standard_normal((20, 8))), ed._unit(rng.standard_normal((30, 8)))
