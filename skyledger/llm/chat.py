@@ -45,20 +45,18 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     sides have two empty completions.  Rows without `pair_id` are left out; turns given twice count
     twice.  Other columns are not looked at.
 
-    The first difference of a pair is a minimum that is formed before the shuffle; a task gathers no
-    more than one conversation, which is a row of the result.
+    Turns are shuffled once, by pair, and all else is done in that partitioning: windows over the two
+    sides of a pair spill, and what a task gathers is no more than one pair, which is a row of the result.
     """
     turns = _turns(chosen, "chosen").unionByName(_turns(rejected, "rejected"))
     # A place at which both sides have the same turn has two rows and one distinct turn.
-    place = turns.groupBy("pair", "place").agg(
-        F.count(F.lit(1)).alias("sides"), F.min(F.struct("role", "text")).alias("low"), F.max(F.struct("role", "text")).alias("high")
-    )
-    differs = (F.col("sides") < 2) | ~F.col("low").eqNullSafe(F.col("high"))
-    first = place.groupBy("pair").agg(
-        F.coalesce(F.min(F.when(differs, F.col("place"))), F.max("place") + 1).alias("split")
-    )
+    place, pair = Window.partitionBy("pair", "place"), Window.partitionBy("pair")
+    turn = F.struct("role", "text")
+    differs = (F.count(F.lit(1)).over(place) < 2) | ~F.min(turn).over(place).eqNullSafe(F.max(turn).over(place))
+    compared = turns.withColumn("differs", differs)
+    first = F.coalesce(F.min(F.when(F.col("differs"), F.col("place"))).over(pair), F.max("place").over(pair) + 1)
     header, body = _header(F.col("role")), _body(F.col("text"))
-    rendered = turns.join(first, "pair").select(
+    rendered = compared.withColumn("split", first).select(
         "pair",
         "side",
         "place",
@@ -108,16 +106,20 @@ def degraded(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Chosen is the conversation.  Rejected ends with one of its assistant replies, reversed: of n
     replies the one numbered `conv_id` mod n, so that pairs part early and late.  A conversation
     without a reply is rejected as it is.  The numbers of replies are counted in order of turns.
+
+    One order of the turns numbers replies and finds the last one, and both sides start from the same
+    shuffle.  Turns without `conv_id`, of which no pair can be made, are left out before it.
     """
-    rows = conversations.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    chosen = rows.withColumnRenamed("conv_id", "pair_id")
-    replies = rows.filter(F.col("role") == ASSISTANT)
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("text"))
-    numbered = replies.withColumn("number", F.row_number().over(order) - 1)
-    numbered = numbered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
-    last = numbered.filter(F.pmod("conv_id", "n") == F.col("number")).select(F.col("conv_id").alias("conv"), F.col("turn").alias("last"))
-    joined = rows.join(last, F.col("conv_id") == F.col("conv"), "left")
-    known = F.coalesce(F.col("turn") <= F.col("last"), F.col("conv").isNull() | F.col("turn").isNull())
-    final = F.col("turn").eqNullSafe(F.col("last")) & (F.col("role") == ASSISTANT) & F.col("conv").isNotNull()
+    said = conversations.filter("conv_id IS NOT NULL")
+    rows = said.select(F.col("conv_id").alias("pair_id"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = rows.repartition("pair_id")
+    whole = Window.partitionBy("pair_id")
+    so_far = whole.orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reply = F.coalesce(F.col("role") == ASSISTANT, F.lit(False))
+    numbered = rows.select("*", F.count_if(reply).over(so_far).alias("number"), F.count_if(reply).over(whole).alias("n"))
+    chosen_reply = reply & (F.pmod("pair_id", "n") == F.col("number") - 1)
+    ended = numbered.withColumn("last", F.max(F.when(chosen_reply, F.col("turn"))).over(whole))
+    known = F.coalesce(F.col("turn") <= F.col("last"), (F.col("n") == 0) | F.col("turn").isNull())
+    final = reply & F.col("turn").eqNullSafe(F.col("last"))
     text = F.when(final, F.reverse("text")).otherwise(F.col("text"))
-    return chosen, joined.filter(known).select(F.col("conv_id").alias("pair_id"), "turn", "role", text.alias("text"))
+    return rows, ended.filter(known).select("pair_id", "turn", "role", text.alias("text"))

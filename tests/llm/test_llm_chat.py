@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from skyledger.llm import chat
 
 TURNS = "pair_id long, turn long, role string, text string"
@@ -70,13 +72,39 @@ def test_degraded(spark):
             (2, 0, "user", "q"), (None, 0, "user", "x")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     chosen, rejected = chat.degraded(conversations)
-    assert sorted(map(str, map(tuple, chosen.collect()))) == sorted(map(str, rows))
+    assert sorted(map(str, map(tuple, chosen.collect()))) == sorted(map(str, [r for r in rows if r[0] is not None]))
     assert sorted(map(tuple, rejected.filter("pair_id is not null").collect())) == [
         (0, 0, "user", "q"), (0, 1, "assistant", "cba"),
         (1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "r"), (1, 3, "assistant", "fed"), (2, 0, "user", "q"),
     ]
 
 
+def test_degraded_ties_and_nulls(spark):
+    """A turn without a number comes first; of equal turns the smaller text; a conversation that is many rows."""
+    rows = [(2, None, "assistant", "ab"), (2, 0, "assistant", "cd"), (2, 1, "user", "q"), (2, 2, None, None), (2, 3, "assistant", None), (2, 4, "user", "z")]
+    rows += [(None, n, "assistant", "lost") for n in range(50)] + [(7, None, "assistant", "xy"), (7, 1, "user", "u")]
+    rows += [(1001, n, "assistant" if n % 2 else "user", str(n)) for n in range(400)]
+    _, rejected = chat.degraded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("last", F.lit(1)))
+    got = {}
+    for r in rejected.collect():
+        got.setdefault(r["pair_id"], []).append((r["turn"], r["text"]))
+    assert sorted(got[2], key=str) == sorted([(0, "cd"), (1, "q"), (2, None), (3, None), (None, "ab")], key=str)
+    assert got[7] == [(None, "yx")]
+    assert max(n for n, _ in got[1001]) == 3 and dict(got[1001])[3] == "3"
+    assert sorted(got) == [2, 7, 1001]
+
+
+def test_conversations_are_read_and_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/c")
+    pairs = chat.preference_pairs(*chat.degraded(spark.read.parquet(f"{tmp_path}/c")))
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = [line.strip(" :+-*") for line in plan.splitlines()]
+    assert sum("FileScan" in line for line in lines) == 1
+    assert sum(line.startswith("Exchange") for line in lines) == 1
+    assert sum(line.startswith("ReusedExchange") for line in lines) == 1
+
+
 def test_no_python_on_the_way(spark):
     one = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
     plan = chat.preference_pairs(one, one)._jdf.queryExecution().executedPlan().toString()
