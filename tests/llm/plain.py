@@ -112,3 +112,87 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(found)
+
+
+def ngrams(text: str | None) -> Counter:
+    """Of one to three characters, words bounded by one blank; blanks stand at the ends only."""
+    import regex
+
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    bounded = f" {' '.join(words)} "
+    found: Counter = Counter("".join(words))
+    if words:
+        found.update(bounded[i : i + 2] for i in range(len(bounded) - 1))
+        found.update(g for i in range(len(bounded) - 2) if (g := bounded[i : i + 3])[1] != " ")
+    return found
+
+
+def profile(counts: Counter, ranks: int = 300) -> dict[str, int]:
+    """Rank by n-gram: the most frequent first, then the shorter, then by code points."""
+    order = sorted(counts, key=lambda g: (-counts[g], len(g), g))
+    return {gram: rank for rank, gram in enumerate(order[:ranks])}
+
+
+def languages(rows: list[tuple[str | None, str]]) -> dict[str, dict[str, int]]:
+    """Profiles from (text, language)."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for text, lang in rows:
+        counts[lang].update(ngrams(text))
+    return {lang: profile(c) for lang, c in counts.items() if c}
+
+
+def nearest(text: str | None, profiles: dict[str, dict[str, int]], ranks: int = 300) -> tuple[str, float]:
+    own = profile(ngrams(text), ranks)
+    if not own or not profiles:
+        return "und", 0.0
+    apart = {
+        lang: sum(abs(rank - theirs[g]) if g in theirs else ranks for g, rank in own.items()) for lang, theirs in profiles.items()
+    }
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (ranks * len(own))
+
+
+def without_secrets(text: str | None) -> tuple[list[str], str]:
+    """What the patterns find (of assignments the value), and the text with their finds blanked."""
+    text = text or ""
+    assign = re.compile(
+        r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
+    )
+    values = [m[1] for m in assign.finditer(text) if len(m[1]) >= 6]
+    others = ["AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"]
+    values += [m[0] for pattern in others for m in re.finditer(pattern, text)]
+    rest = assign.sub(lambda m: " " * len(m[0]) if len(m[1]) >= 6 else m[0], text)
+    for pattern in others:
+        rest = re.sub(pattern, lambda m: " " * len(m[0]), rest)
+    return values, rest
+
+
+def markov_ratios(texts: list[str | None]) -> dict[str, float]:
+    """Log-likelihood ratio of each pair of characters, random against ordinary."""
+    import math
+
+    pairs = {True: Counter(), False: Counter()}
+    for text in texts:
+        values, rest = without_secrets(text)
+        for random, strings in ((True, values), (False, re.findall("[A-Za-z0-9+/_=-]{4,}", rest))):
+            for s in strings:
+                pairs[random].update(s[i : i + 2] for i in range(len(s) - 1))
+    firsts = {kind: Counter() for kind in pairs}
+    for kind, counts in pairs.items():
+        for pair, n in counts.items():
+            firsts[kind][pair[0]] += n
+    known = [chr(c) for c in range(32, 128)]
+    likely = {
+        kind: {a + b: math.log((counts[a + b] + 0.5) / (firsts[kind][a] + 0.5 * 66)) for a in known for b in known}
+        for kind, counts in pairs.items()
+    }
+    return {pair: likely[True][pair] - likely[False][pair] for pair in likely[True]}
+
+
+def random_strings(text: str | None, ratios: dict[str, float], odds: float = 1e6) -> list[tuple[int, int, float]]:
+    """Start, end and ratio of each long string outside the patterns' finds."""
+    _, rest = without_secrets(text)
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", rest):
+        found.append((m.start(), m.end(), sum(ratios[m[0][i : i + 2]] for i in range(len(m[0]) - 1))))
+    return found

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import plain
 import pytest
 
 from skyledger.llm import language
@@ -79,6 +80,19 @@ def test_distance():
     assert fitted.nearest("ab") == ("one", 1 - apart / (language.RANKS * len(order)))
 
 
+def test_against_brute_force(spark, documents):
+    """Profiles, languages and scores of a plain version, ties and odd letters among them."""
+    rows = [(i, t, l) for i, t, l in corpus(200)] + [(900, "ẞß İi ǅ", "xx"), (901, "1 2", "yy"), (902, "a", "zz"), (903, "Ωμέγα привет", "vv")]
+    fitted = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = plain.languages([(t, l) for i, t, l in rows if zlib.crc32(str(i).encode()) % 5])
+    assert fitted.languages == sorted(learned)
+    asked = rows + [(1000 + k, t, "xx") for k, t in enumerate([None, "", "!", "a", "ß", "ka lo", "q" * 5000, "mi-tu RE"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(documents(*asked), fitted).collect()}
+    for i, text, _ in asked:
+        lang, score = plain.nearest(text, learned)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-12, (i, text)
+
+
 def test_nothing_to_learn_from(documents):
     empty = documents()
     assert language.identify(empty, language.fit(empty)).collect() == []

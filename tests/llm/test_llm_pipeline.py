@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import plain
@@ -120,6 +121,60 @@ def test_all_operators_and_the_pipeline():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+@pytest.fixture(scope="module")
+def given_rows():
+    return {r["doc_id"]: r for r in pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()}
+
+
+def rows_of(spark, name):
+    return {r["doc_id"]: r for r in queries.QUERIES[name](spark, FOLDER).collect()}
+
+
+@HERE
+def test_rows_of_op2(spark, given_rows):
+    got = rows_of(spark, "op2_simhash_near_dedup")
+    want = plain.simhash_classes({i: r["text"] for i, r in given_rows.items()})
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert all(r["fingerprint"] == f"{plain.fingerprint(given_rows[i]['text']):016x}" for i, r in got.items())
+
+
+@HERE
+def test_rows_of_op3(spark, given_rows):
+    model = Tokenizer.from_file(queries.TOKENIZER)
+    model.no_truncation()
+    model.no_padding()
+    got = rows_of(spark, "op3_bpe_round_trip")
+    assert set(got) == set(given_rows)
+    for i, r in got.items():
+        ids = model.encode(given_rows[i]["text"] or "", add_special_tokens=False).ids
+        text = model.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), plain.sha(text)
+        )
+
+
+@HERE
+def test_rows_of_op4(spark, given_rows):
+    got = rows_of(spark, "op4_secret_scan")
+    ratios = plain.markov_ratios([r["text"] for r in given_rows.values()])
+    kinds = ("assign", "access", "hex", "random")
+    for i, r in given_rows.items():
+        base = plain.base_secrets(r["text"])
+        added = [(s, 3, e) for s, e, ratio in plain.random_strings(r["text"], ratios) if ratio > np.log(1e6)]
+        shown = lambda spans: ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
+        assert (got[i]["base_sha256"], got[i]["spans"]) == (plain.sha(shown(base)), shown(sorted(base + added)))
+
+
+@HERE
+def test_rows_of_op8(spark, given_rows):
+    got = rows_of(spark, "op8_language_id")
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in given_rows}
+    learned = plain.languages([(r["text"], r["lang"]) for i, r in given_rows.items() if not held[i] and r["lang"] is not None])
+    for i, r in given_rows.items():
+        lang, score = plain.nearest(r["text"], learned)
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (lang, held[i]) and abs(got[i]["score"] - score) < 1e-12
+
+
 @HERE
 @pytest.mark.parametrize("name", [n for n in NAMES if n not in queries.CHECKS])
 def test_queries_beyond_sql(spark, name):
