@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -33,17 +35,31 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
+def staged(rows: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 
     For results that are read more than once, and to cut lineage: a lost executor costs no more than
-    reading again.
+    reading again.  With `large`, rows of megabytes each, every row is a row group of its own: writers
+    gather and readers decode a row group at a time.
     """
     path = work_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    writer = rows.write.option("parquet.block.row.count.limit", 1) if large else rows.write
+    writer.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Plans that run in here pass rows to Python one at a time, not all of a partition in one batch of Arrow."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; its files go when the result is dropped."""
     context = rows.sparkSession.sparkContext

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import byte_texts, staged
+from skyledger.llm.common import byte_texts, row_by_row, staged
 from skyledger.llm.decontamination import words_of
 
 DEPTH = 50  # documents per query
@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """The index of all documents: a row per shard, with its documents, terms and posting lists.
 
     A task cuts its documents into shards of about `shard` bytes; a longer text is one of its own.  The
-    result is a written table.  Terms are runs of letters, digits and non-ASCII characters with A-Z in
+    result is a written table, which tasks read a shard at a time however many there are in a file.  Terms are runs of letters, digits and non-ASCII characters with A-Z in
     lower case; texts that are null or empty have none.
     """
 
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         return lists.append_column("n_docs", pa.array([with_terms], pa.int64())).append_column("n_terms", pa.array([sum(sizes)], pa.int64()))
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return staged(source.mapInArrow(run, INDEX), "lexical-index")
+    return staged(source.mapInArrow(run, INDEX), "lexical-index", large=True)
 
 
 @dataclass(frozen=True)
@@ -185,8 +185,9 @@ def document_frequencies(index: DataFrame, terms: list[str]) -> np.ndarray:
 
     counted = index.select("terms", "starts").mapInArrow(run, "term bigint, df bigint")
     df = np.zeros(len(terms), np.int64)
-    for row in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[row["term"]] = row["df"]
+    with row_by_row(index.sparkSession):
+        for row in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():
+            df[row["term"]] = row["df"]
     wanted.destroy()
     return df
 
@@ -228,7 +229,8 @@ def with_impacts(index: DataFrame, queries: Queries, weights: Weights, pairs: Pa
                 )
 
     source = index.select("doc_ids", "sizes", "terms", "starts", "places", "tfs")
-    found = staged(source.mapInArrow(run, IMPACTS), "lexical-impacts")
+    with row_by_row(index.sparkSession):
+        found = staged(source.mapInArrow(run, IMPACTS), "lexical-impacts", large=True)
     shared.destroy()
     return found
 
@@ -361,7 +363,8 @@ def _best(impacts: DataFrame, queries: Queries, pairs: Pairs, depth: int) -> Dat
     for keys in (["query", "part"], ["query"]):
         order = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
         found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
-    found = staged(found.select("query", "rank", "doc_id", "score"), "lexical-found")
+    with row_by_row(impacts.sparkSession):
+        found = staged(found.select("query", "rank", "doc_id", "score"), "lexical-found")
     shared.destroy()
     return found
 

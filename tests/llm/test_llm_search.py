@@ -121,3 +121,27 @@ def test_search_of_a_shard_against_brute_force():
         depth = rng.randint(1, 6)
         seed = shard.seed(pairs, 0, depth)
         assert sum(s >= seed for s in total.values()) >= depth or seed == 0
+
+
+def test_one_shard_at_a_time(spark, documents, monkeypatch):
+    """Tasks of many shards hold one of them: in the file, and on the way to Python."""
+    from pyarrow import parquet
+
+    def groups(frame):
+        files = [parquet.ParquetFile(f.removeprefix("file://")) for f in frame.inputFiles()]
+        return [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, ls.staged
+    before = spark.conf.get(name)
+
+    def spy(rows, table, **more):
+        seen[table] = (spark.conf.get(name), done := write(rows, table, **more))
+        return done
+
+    monkeypatch.setattr(ls, "staged", spy)
+    index = ls.build_index(documents(*[(i, f"w{i} w{i % 3}") for i in range(30)]).coalesce(1), 1)
+    items = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
+    assert len(rows(ls.search(index, items))) == 20
+    assert groups(index) == groups(seen["lexical-impacts"][1]) == [1] * 30
+    assert seen["lexical-impacts"][0] == seen["lexical-found"][0] == "1"
+    assert spark.conf.get(name) == before
