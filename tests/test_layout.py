@@ -66,6 +66,28 @@ def test_bits_take_turns(spark):
     assert got == {key: plain(*key) for key in got}
 
 
+def test_sort_keys_are_computed_once_per_row(spark, tmp_path, monkeypatch):
+    """The write sorts by a finished column; a column of the key is looked at once, not once per bit."""
+    rows, sorts = flights(spark, 10), []
+    kind, sort = type(rows), type(rows).sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *by, **more: sorts.append(by) or sort(self, *by, **more))
+    write_by_date(rows, str(tmp_path), "flight_date", ["carrier", "origin"], interleave=True)
+    assert sorts == [("flight_date", "_order")]
+    assert read_table(spark, str(tmp_path), FLIGHTS).columns == rows.columns
+    plan = rows.select(interleaved("carrier", "origin"))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("carrier#") == plan.split("\n")[0].count("origin#") == 1
+
+
+def test_bits_of_many_columns_take_turns(spark):
+    for n in (1, 3, 7):
+        texts = [chr(200 + k) + "xyz"[k % 3] * 3 for k in range(n)]
+        frame = spark.createDataFrame([tuple(texts)], ", ".join(f"c{k} string" for k in range(n)))
+        width = min(63 // n, 32) // 8
+        bits = ["".join(f"{b:08b}" for b in t.encode()[:width]) for t in texts]
+        wanted = int("".join(map("".join, zip(*bits))), 2)
+        assert frame.select(interleaved(*frame.columns)).first()[0] == wanted
+
+
 def test_fifty_appends_end_at_the_target_size(spark, tmp_path):
     path = str(tmp_path)
     for batch in range(50):
