@@ -15,8 +15,9 @@ from skyledger.operators.loading import is_loaded
 from skyledger.operators.quality import load_measures
 from skyledger.plans.runs import SUCCESS, logged
 from skyledger.schemas import FLIGHT_COLUMNS, REJECTED_PAYLOADS, RUN_LOG, SILVER_FLIGHTS, STAGED_FLIGHTS
+from skyledger.session import work_folder
 from skyledger.sources.payloads import explode_state_vectors, position_records, rejected_payloads, stamped_lines
-from skyledger.sources.stores import exists
+from skyledger.sources.stores import exists, remove
 from skyledger.sources.tables import read_flight_files, read_table, read_table_or_empty
 from skyledger.sources.writers import Written, append_table, land_lines, replace_table, write_by_date
 from skyledger.streaming.positions import OLDEST_FILE
@@ -59,7 +60,12 @@ def land_state_vectors(responses: DataFrame, bronze: str) -> Written:
 
 
 def _with_rejects(landed: Written, rejects: DataFrame, path: str) -> Written:
-    refused = 0 if rejects.isEmpty() else append_table(rejects, path).rows
+    # Found in one pass over the responses; without any, the table gets no file.
+    found = work_folder(rejects.sparkSession, "rejects")
+    refused = replace_table(rejects, found).rows
+    if refused:
+        append_table(read_table(rejects.sparkSession, found, REJECTED_PAYLOADS), path)
+    remove(rejects.sparkSession, found)
     return Written(landed.path, landed.rows, {"rejected": refused})
 
 

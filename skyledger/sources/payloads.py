@@ -34,7 +34,8 @@ def position_records(responses: DataFrame) -> DataFrame:
     `rejected_payloads`.
     """
     parsed = _parsed("data", "array<string>")
-    records = responses.select(F.explode(parsed["data"]).alias("record"), "polled_at")
+    # An inner explode would have Spark filter by the parsed list first, that is parse again for each condition.
+    records = responses.select(F.explode_outer(parsed["data"]).alias("record"), "polled_at")
     return records.filter(_is_object(F.col("record")))
 
 
@@ -46,12 +47,17 @@ def rejected_payloads(responses: DataFrame, field: str = "data", objects: bool =
     """
     parsed = responses.select("payload", "polled_at", _parsed(field, "array<string>").alias("p"))
     no_response = F.col("p").isNull() | F.col("p.broken").isNotNull()
-    whole = parsed.filter(no_response).select("payload", "polled_at", F.lit("no response").alias("reason"))
-    element = F.col("element")
-    fits = _is_object(element) if objects else _is_list(element)
-    elements = parsed.filter(~no_response).select(F.explode(f"p.{field}").alias("element"), "polled_at").filter(~fits)
-    reason = F.lit("no object" if objects else "no list")
-    return whole.unionByName(elements.select(element.alias("payload"), "polled_at", reason.alias("reason")))
+    fits = _is_object if objects else _is_list
+
+    def refused(payload: Column, reason: str) -> Column:
+        return F.struct(payload.alias("payload"), F.lit(reason).alias("reason"))
+
+    unfit = F.filter(F.col("p")[field], lambda e: ~fits(e))
+    elements = F.transform(unfit, lambda e: refused(e, "no object" if objects else "no list"))
+    found = F.when(no_response, F.array(refused(F.col("payload"), "no response"))).otherwise(elements)
+    # In one pass that parses once, see `position_records`.
+    rejects = parsed.select(F.explode_outer(found).alias("r"), "polled_at").filter(F.col("r").isNotNull())
+    return rejects.select("r.payload", "polled_at", "r.reason")
 
 
 def _is_object(element: Column) -> Column:

@@ -14,8 +14,8 @@ from skyledger.schemas import FACT_POSITIONS, RAW_POSITION, STATE_VECTOR
 from skyledger.sources.payloads import (
     explode_positions,
     explode_state_vectors,
-    position_records,
     read_responses,
+    position_records,
     rejected_payloads,
     stamped_lines,
 )
@@ -103,6 +103,21 @@ def test_an_element_that_is_no_object_spoils_no_other(responses):
     assert rejected_payloads(responses(*mixed)).count() == 4
 
 
+def test_responses_are_parsed_once_and_leave_nothing_where_nothing_is(spark, responses, tmp_path):
+    mixed = responses({"data": ["text", {"fr24_id": "a"}]})
+    for rows in (rejected_payloads(mixed), position_records(mixed)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
+    done = land_positions(responses({"data": []}), str(tmp_path / "empty"))
+    assert (done.path, done.rows, done.measures["rejected"]) == (None, 0, 0)
+    assert not (tmp_path / "empty" / "fr24").exists() and not (tmp_path / "empty" / "rejected").exists()
+    first = land_positions(mixed, str(tmp_path))
+    files = sorted(f for f in tmp_path.rglob("part-*"))
+    again = land_positions(responses({"data": []}), str(tmp_path))
+    assert (first.rows, first.measures["rejected"], again.path, again.rows) == (1, 1, None, 0)
+    assert sorted(f for f in tmp_path.rglob("part-*")) == files
+
+
 def test_state_vectors_by_position(responses):
     head = ["4b1", "SWR1  ", "Switzerland", 1, 2, 8.5, 47.4, 1000, True, 12.5, 90, None]
     full = head + [[7, 8], 1010.5, "1000", False, 0, 3]
