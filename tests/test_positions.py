@@ -14,8 +14,8 @@ from skyledger.schemas import FACT_POSITIONS, RAW_POSITION, STATE_VECTOR
 from skyledger.sources.payloads import (
     explode_positions,
     explode_state_vectors,
-    read_responses,
     position_records,
+    read_responses,
     rejected_payloads,
     stamped_lines,
 )
