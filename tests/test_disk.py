@@ -1,0 +1,178 @@
+"""Loads leave little on disk besides their tables: shuffles go, staged tables go, few rows are shuffled."""
+
+import datetime as dt
+import os
+import random
+import time
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from test_changes import RUN, check_marts
+from test_plans import DAY, airports, carriers, rows_of, some_flights
+
+from skyledger.operators import changes as comparing
+from skyledger.operators import loading
+from skyledger.operators.changes import changes, newest, without
+from skyledger.operators.loading import day_passes
+from skyledger.plans import warehouse
+from skyledger.schemas import RUN_LOG, SILVER_FLIGHTS
+from skyledger.session import work_folder
+from skyledger.sources import writers
+from skyledger.sources.tables import read_table
+from skyledger.sources.writers import staged, staging, write_by_date
+
+KEYED = "key string, day date, value double"
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {os.path.basename(name) for name in found.split("\n") if "shuffle_" in name}
+
+
+def work_tables(spark):
+    root = os.path.dirname(work_folder(spark, "any")).removeprefix("file://")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, KEYED)
+
+
+def on(day):
+    return None if day is None else dt.date(2024, 1, day)
+
+
+def test_shuffles_go_with_their_write(spark, tmp_path):
+    before, counted = shuffle_files(spark), spark.range(1000).rdd.getNumPartitions()
+    rows = spark.range(1000).select("id", F.date_add(F.lit(DAY), F.col("id").cast("int") % 5).alias("day"))
+    write_by_date(rows, f"{tmp_path}/dated", "day", spread=True)
+    writers.replace_table(rows.groupBy("day").count(), f"{tmp_path}/plain")
+    staged(rows.repartition(4, "id"), "dealt")
+    until = time.time() + 20
+    # Executors are told to remove them, nobody waits.  Counting days is a read and leaves its few rows.
+    while len(left := {f for f in shuffle_files(spark) - before if f.endswith(".data")}) > counted and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= counted
+    assert spark.conf.get(writers.DROP_SHUFFLES, "false") == "false"
+    assert spark.read.parquet(f"{tmp_path}/dated").count() == 1000
+
+
+def test_staged_tables_go_with_their_block(spark):
+    before = work_tables(spark)
+    with pytest.raises(RuntimeError), staging(spark) as stage:
+        assert stage(spark.range(7), "few").count() == 7
+        assert len(work_tables(spark) - before) == 1
+        raise RuntimeError("lost")
+    assert work_tables(spark) == before
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0], ids=["sent", "shuffled"])
+@pytest.mark.parametrize("whole", [False, True])
+def test_changes_like_a_plain_comparison(spark, monkeypatch, most, whole):
+    """Also where hashes of keys collide, and on days that the table lacks."""
+    monkeypatch.setattr(comparing, "MOST_SPOTS", most)
+    monkeypatch.setattr(comparing, "_spot", lambda key: F.pmod(F.xxhash64(key), F.lit(20)))
+    rng = random.Random(5)
+    day_of = {f"k{n}": on(rng.choice([None, 1, 2, 3, 4])) for n in range(60)}
+    pick = lambda days: [(k, d, float(rng.randrange(2))) for k, d in day_of.items() if d in days for _ in range(rng.randrange(3))]
+    have, batch = pick([None, on(1), on(2), on(4)]), pick([None, on(1), on(2), on(3)])
+    batch += [row for row in have if row[1] == on(2) and row not in batch]
+    days = sorted({d for _, d, _ in batch}, key=str)
+    got = changes(keyed(spark, batch), keyed(spark, have), "key", "day", days, ["value"], whole, staged)
+    wanted = Counter()
+    for key, day in day_of.items():
+        new, old = (Counter(r for r in rows if r[0] == key) for rows in (batch, have))
+        if day in days and new != old and (new or whole):
+            wanted.update({(*r, 1): n for r, n in new.items()})
+            wanted.update({(*r, -1): n for r, n in old.items()})
+    assert Counter(map(tuple, got.collect())) == wanted and wanted
+    gone = {k for k in day_of if rng.random() < 0.3}
+    left = without(keyed(spark, have), keyed(spark, [(k, None, None) for k in gone] * 2), "key", staged)
+    assert Counter(map(tuple, left.collect())) == Counter(r for r in have if r[0] not in gone)
+
+
+def test_rows_without_a_change_are_not_shuffled(spark, tiny_partitions, tmp_path):
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS key", "DATE '2024-01-01' AS day", "CAST(id AS DOUBLE) AS value")
+    have = staged(rows, "held")
+    batch = staged(rows.withColumn("value", F.when(F.col("key") == "7", -1.0).otherwise(F.col("value"))), "batch")
+    found = changes(batch, have, "key", "day", [DAY.replace(month=1, day=1, year=2024)], ["value"], stage=staged)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    exchanges = [n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert exchanges
+    for n in exchanges:
+        below = []
+        for line in lines[n + 1 :]:
+            if depth(line) <= depth(lines[n]):
+                break
+            below.append(line)
+        assert any("BroadcastHashJoin" in line and "_spot" in line for line in below), lines[n]
+    assert sorted((r["key"], r["sign"]) for r in found.collect()) == [("7", -1), ("7", 1)]
+    # What comes on days that the table lacks is not compared at all.
+    first = changes(batch, have, "key", "day", [DAY.replace(month=2, day=1, year=2024)], ["value"], stage=staged)
+    assert "Exchange" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_by_day(spark):
+    rng = random.Random(8)
+    rows = [(f"k{n % 40}", on([None, 1, 2, 3][n % 4]), rng.choice([None, 1, 2, 3]) if n % 4 else 2, n) for n in range(160)]
+    frame = spark.createDataFrame(rows, "key string, day date, at int, v int")
+    last = {k: max((r[2] for r in rows if r[0] == k and r[2] is not None), default=None) for k, *_ in rows}
+    wanted = sorted(r[3] for r in rows if r[2] == last[r[0]])
+    for more in ({}, {"day": "day"}, {"day": "day", "stage": staged}):
+        assert sorted(r["v"] for r in newest(frame, F.col("key"), "at", **more).collect()) == wanted
+    one = frame.filter("day IS NULL")
+    assert newest(one, F.col("key"), "at", "day") is one  # one stamp: nothing came again
+
+
+def test_day_passes():
+    counts = {on(d): n for d, n in zip((3, None, 1, 2, 4), (5, 1, 4, 5, 30))}
+    assert day_passes(counts, rows=10) == [[None, on(1), on(2)], [on(3)], [on(4)]]
+    assert day_passes(counts, rows=1, most=1) == [[None, on(1), on(2), on(3), on(4)]]
+    assert day_passes({}) == []
+    many = {DAY + dt.timedelta(n): 1 for n in range(100)}
+    passes = day_passes(many, rows=3, most=8)
+    assert len(passes) == 8 and sorted(sum(passes, [])) == sorted(many)
+
+
+def test_a_write_in_passes_is_the_same_write(spark, tmp_path, monkeypatch):
+    dated = spark.range(500).select("id", F.date_add(F.lit(DAY), F.col("id").cast("int") % 9).alias("day"))
+    rows = dated.withColumn("day", F.when(F.col("id") % 9 < 8, F.col("day")))
+    put, calls = writers._write_days, []
+    monkeypatch.setattr(writers, "_write_days", lambda *a, **b: calls.append(b) or put(*a, **b))
+    got = []
+    for limit in (10_000, 100):
+        monkeypatch.setattr(loading, "ROWS_PER_PASS", limit)
+        calls.clear()
+        path = f"{tmp_path}/{limit}"
+        write_by_date(rows, path, "day", mode="append", spread=True)
+        emptied = DAY + dt.timedelta(3)
+        days = [None, *(DAY + dt.timedelta(n) for n in range(8))]
+        done = write_by_date(rows.filter(F.col("day").isNull() | (F.col("day") != emptied)), path, "day", rebuilt=days, spread=True)
+        got.append((done.rows, rows_of(spark.read.schema("id bigint, day date").parquet(path)), len(calls) > 2))
+    assert got[0][:2] == got[1][:2] and (got[0][2], got[1][2]) == (False, True)
+    assert got[0][0] == len(got[0][1]) == sum(n % 9 != 3 for n in range(500))
+
+
+def test_a_load_in_passes_leaves_nothing_but_its_tables(spark, silver_of, tmp_path, monkeypatch):
+    """Two runs by passes of few rows give the facts and marts, the figures of the log, and no staged table."""
+    monkeypatch.setattr(loading, "ROWS_PER_PASS", 7)
+    silver, root = str(tmp_path / "silver"), str(tmp_path / "dw")
+    warehouse.write_calendar(spark, root)
+    source = carriers(spark, AA="Alpha", BB="Beta")
+    days = F.date_add(F.lit(DAY), F.col("flight_number").cast("int") % 6)
+    flights = staged(some_flights(silver_of, 0, 60).withColumn("flight_date", days), "flights")
+    before = work_tables(spark)
+    write_by_date(flights, f"{silver}/bts", "flight_date")
+    assert warehouse.refresh(spark, silver, root, RUN, source, airports(spark)) == 60
+    late = dt.datetime(2024, 2, 9)
+    touched = flights.filter(F.col("flight_date") != F.lit(DAY)).withColumn("ingestion_timestamp", F.lit(late))
+    delay = F.when(F.col("flight_number").cast("int") % 10 == 3, 500.0).otherwise(F.col("arr_delay_minutes"))
+    worse = touched.withColumn("arr_delay_minutes", delay)
+    write_by_date(worse, f"{silver}/bts", "flight_date")
+    assert warehouse.refresh(spark, silver, root, RUN.replace(hour=7), source, airports(spark), since=late) == 6
+    check_marts(spark, root, read_table(spark, f"{silver}/bts", SILVER_FLIGHTS))
+    log = read_table(spark, f"{root}/pipeline_run_log", RUN_LOG).orderBy("run_timestamp").collect()
+    assert [r["total_rows_loaded"] for r in log] == [60, 6] and log[1]["avg_delay_minutes"] == 500.0
+    assert work_tables(spark) == before
