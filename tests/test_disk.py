@@ -181,7 +181,7 @@ def test_a_load_in_passes_leaves_nothing_but_its_tables(spark, silver_of, tmp_pa
 
 
 @pytest.mark.skipif(not os.path.isdir(contract.SMOKE_FOLDER), reason="test tables are not there")
-@pytest.mark.parametrize("name, kept", [("corrected_marts", "corrected")])
+@pytest.mark.parametrize("name, kept", [("corrected_marts", "corrected"), ("warehouse_rerun", "warehouse")])
 def test_a_query_leaves_silver_and_its_warehouse(spark, name, kept):
     before = work_tables(spark)
     assert QUERIES[name](spark, contract.SMOKE_FOLDER).count() > 0
